@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact, simhash, urls
+from . import bpe, exact, simhash, urls
 
 QUERIES = {
+    "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_url_filter": urls.op7_url_filter,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
