@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -96,7 +97,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defa
     """
     spark = pages.sparkSession
     of = {r: v for v, r in rules}
-    name = f"urls-{xxhash.xxh64_hexdigest(repr(sorted(of.items())))}"
+    name = f"urls-{uuid.uuid4().hex}"
     packed = {"\0".join(_split_rule(r)).encode(): int(v == "block") for r, v in of.items()}
     for path in DigestArray.write(f"{tempfile.mkdtemp(prefix='rules-')}/{name}", packed):
         spark.sparkContext.addFile(path)
