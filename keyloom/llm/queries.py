@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, simhash, urls
+from . import bpe, exact, mixing, simhash, urls
 
 QUERIES = {
+    "op1_mix": mixing.op1_mix,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_url_filter": urls.op7_url_filter,
