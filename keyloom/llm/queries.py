@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, mixing, simhash, urls
+from . import bpe, exact, langid, mixing, quality, simhash, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op4_quality": quality.op4_quality,
+    "op10_language": langid.op10_language,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_url_filter": urls.op7_url_filter,
