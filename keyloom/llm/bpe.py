@@ -1,8 +1,7 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the bytes of distinct words.
 
 Words are the matches of the tokenizer's pattern. ``encode_words`` is the operator's core: it turns a
-word into an array of its bytes (two hex digits each) and folds merges over it; a literal of hash buckets holds the rank of each
-token. ``encode_texts`` counts all distinct words, encodes the frequent ones once, and
+word into an array of its bytes' ids and folds merges over it; literal arrays hold the rank map. ``encode_texts`` counts all distinct words, encodes the frequent ones once, and
 broadcasts these (HOT words of at most HOT_BYTES bytes: that bounds the broadcast); the words of a text that aren't among them are folded where they occur. So
 no occurrence of a word is ever shuffled.
 """
@@ -11,25 +10,28 @@ from __future__ import annotations
 
 import base64
 import json
-import zlib
+import random
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: How many words are broadcast at most, and of how many bytes each.
-HOT, HOT_BYTES = 1 << 18, 64
+#: How many words are broadcast at most, and of how many bytes each; the most frequent LISTED of them are looked up in a dict.
+HOT, HOT_BYTES, LISTED = 1 << 20, 32, 1 << 16
 #: Words of more bytes merge all places of the best pair in one step.
 LONG = 48
-_BUCKETS = 1 << 16
 _NONE = 1 << 30
+_PLACES = 1 << 17
 #: Unicode's white space, as tiktoken's \s has it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -45,28 +47,66 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _own_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two pieces that merge into a token: what the merges of lower ranks make of its bytes. None if those leave more pieces."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        least, at = min((ranks.get(parts[i] + parts[i + 1], _NONE), i) for i in range(len(parts) - 1))
+        if least >= ranks[token]:
+            return None
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 else None
+
+
+def _slots(x, y):
+    """The two places of a pair of ids in the rank map."""
+    return (x * 40503 + y * 613) % _PLACES, (x * 941 + y * 30011) % _PLACES
+
+
+def _placed(pairs: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """The keys and the ranks of a map in which each pair (x, y, rank) stands at one of its two places."""
+    table: dict[int, tuple[int, int, int]] = {}
+    dice = random.Random(0)
+    for entry in pairs:
+        for _ in range(1000):
+            free = [s for s in _slots(*entry[:2]) if s not in table]
+            if free:
+                table[free[0]] = entry
+                break
+            at = dice.choice(_slots(*entry[:2]))
+            table[at], entry = entry, table[at]
+        else:
+            raise ValueError("too many tokens for the rank map")
+    keys, ranks = [-2] * _PLACES, [-1] * _PLACES  # -2 is no pair's key, with sentinels neither
+    for at, (x, y, k) in table.items():
+        key = x << 16 | y
+        keys[at], ranks[at] = key - (1 << 32) if key >> 31 else key, k
+    return keys, ranks
+
+
 @lru_cache(4)
-def _literals(path: str) -> tuple[str, str, str]:
-    """As JSON: the hash buckets of ranks, the token of each rank, and 1 for each rank whose merges must go one by one.
+def _literals(path: str) -> tuple[str, ...]:
+    """As JSON: the rank map (keys, ranks), the ids of single bytes, 1 for each rank whose merges must go one by one; the tokens.
 
-    After a merge that makes the token t, its places can all merge at once unless t with a neighbour makes a token of a
-    lower rank.
+    Only the pair that really merges into a token is in the map: no other pair with that token's bytes is ever the best one. After a merge that
+    makes the token t, its places can all merge at once unless t with a neighbour makes a token of a lower rank.
     """
     ranks = load_ranks(path)
-    buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
-    tokens = [""] * (max(ranks.values(), default=-1) + 1)
-    single = [0] * len(tokens)
+    size = max(ranks.values(), default=-1) + 1
+    tokens, single = [""] * size, [0] * size
+    pairs = []
     for t, k in ranks.items():
-        h = t.hex().upper()
-        buckets[zlib.crc32(h.encode()) % _BUCKETS][h] = k
-        tokens[k] = h
+        tokens[k] = t.hex().upper()
         for i in range(1, len(t)):
             a, b = ranks.get(t[:i]), ranks.get(t[i:])
             if a is not None and b is not None:
                 for x in (a, b):
                     if x > k:
                         single[x] = 1
-    return tuple(json.dumps(x, separators=(",", ":")) for x in (buckets, tokens, single))
+        if len(t) > 1 and (pair := _own_merge(t, ranks)):
+            pairs.append((ranks[pair[0]], ranks[pair[1]], k))
+    parts = (*_placed(pairs), [ranks[bytes([i])] for i in range(256)], single, tokens)
+    return tuple(json.dumps(x, separators=(",", ":")) for x in parts)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -75,50 +115,61 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def encode_words(word: Column, path: str) -> Column:
-    """The ids of a word, by ranked merges: the leftmost pair of the lowest rank merges, until no pair has a rank."""
-    buckets, _, single = _literals(path)
+    """The ids of a word, by ranked merges: the leftmost pair of the lowest rank merges, until no pair has a rank.
 
-    def folded(ranks: Column) -> Column:
-        def rank(key: Column) -> Column:
-            return F.try_element_at(F.get(ranks, (F.crc32(key.cast("binary")) % _BUCKETS).cast("int")), key)
+    The fold's state is the ids, between two sentinels, and the ranks of neighbours; a merge looks up the two new pairs only. Long words merge
+    all places of the best pair in one step.
+    """
+    names = ("key", "rank", "byte", "single")
+    literals = F.struct(*(F.from_json(F.lit(x), "array<int>").alias(n) for n, x in zip(names, _literals(path), strict=False)))
 
-        def pair_ranks(acc: Column) -> Column:
-            n = F.size(acc) - 1
-            return F.zip_with(F.slice(acc, 1, n), F.slice(acc, 2, n), lambda x, y: F.coalesce(rank(F.concat(x, y)), F.lit(_NONE)))
+    def folded(m: Column) -> Column:
+        def rank(x: Column, y: Column) -> Column:
+            key = F.shiftleft(x, 16).bitwiseOR(y)
+            one, two = _slots(x, y)
+            return F.when(F.get(m["key"], one) == key, F.get(m["rank"], one)).when(F.get(m["key"], two) == key, F.get(m["rank"], two)).otherwise(F.lit(_NONE))
 
-        def merged(acc: Column, r: Column, low: Column) -> Column:
-            p = F.array_position(r, low).cast("int")
-            return F.concat(F.slice(acc, F.lit(1), p - 1), F.array(F.concat(F.get(acc, p - 1), F.get(acc, p))), F.slice(acc, p + 2, F.size(acc)))
+        def state(ids: Column) -> Column:
+            return F.struct(ids.alias("a"), F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), rank).alias("r"))
 
-        def step(acc: Column) -> Column:
-            return F.when(F.size(acc) < 2, acc).otherwise(_let(pair_ranks(acc), lambda r: _let(F.array_min(r), lambda low: F.when(low == _NONE, acc).otherwise(merged(acc, r, low)))))
+        def merged(s: Column, low: Column, p: Column) -> Column:
+            a, r = s["a"], s["r"]
+            ids = F.concat(F.slice(a, F.lit(1), p - 1), F.array(low), F.slice(a, p + 2, F.size(a)))
+            new = F.array(rank(F.get(a, p - 2), low), rank(low, F.get(a, p + 1)))
+            return F.struct(ids.alias("a"), F.concat(F.slice(r, F.lit(1), p - 2), new, F.slice(r, p + 2, F.size(r))).alias("r"))
 
-        def all_merged(acc: Column, r: Column, low: Column, alone: Column) -> Column:
-            marks = F.array_join(F.transform(r, lambda v: F.when(v == low, "1").otherwise("0")), "")
-            first = F.rpad(F.concat(F.regexp_extract(marks, "^0*", 0), F.lit("1")), F.size(r), F.lit("0"))
-            chosen = F.when(F.get(alone, low) == 1, first).otherwise(F.replace(marks, F.lit("11"), F.lit("10")))
+        def step(s: Column) -> Column:
+            return _let(F.array_min(s["r"]), lambda low: F.when(low == _NONE, s).otherwise(_let(F.array_position(s["r"], low).cast("int"), lambda p: merged(s, low, p))))
+
+        def all_merged(s: Column, low: Column) -> Column:
+            marks = F.array_join(F.transform(s["r"], lambda v: F.when(v == low, "1").otherwise("0")), "")
+            first = F.rpad(F.concat(F.regexp_extract(marks, "^0*", 0), F.lit("1")), F.size(s["r"]), F.lit("0"))
+            chosen = F.when(F.get(m["single"], low) == 1, first).otherwise(F.replace(marks, F.lit("11"), F.lit("10")))
 
             def joined(bits: Column) -> Column:
-                return F.array_compact(F.transform(acc, lambda v, i: F.when(F.get(bits, i) == "1", F.concat(v, F.get(acc, i + 1))).when(F.coalesce(F.get(bits, i - 1), F.lit("0")) == "1", F.lit(None)).otherwise(v)))
+                return F.array_compact(F.transform(s["a"], lambda v, i: F.when(F.get(bits, i) == "1", low).when(F.coalesce(F.get(bits, i - 1), F.lit("0")) == "1", F.lit(None)).otherwise(v)))
+
+            return _let(_let(F.split(chosen, ""), joined), state)
 
-            return _let(F.regexp_extract_all(F.concat(chosen, F.lit("0")), F.lit("."), F.lit(0)), joined)
+        def long_step(s: Column) -> Column:
+            return _let(F.array_min(s["r"]), lambda low: F.when(low == _NONE, s).otherwise(all_merged(s, low)))
 
-        def long_step(s: Column, alone: Column) -> Column:
-            acc = s["a"]
-            work = _let(pair_ranks(acc), lambda r: _let(F.array_min(r), lambda low: F.when(low == _NONE, F.struct(acc.alias("a"), F.lit(True).alias("done"))).otherwise(F.struct(all_merged(acc, r, low, alone).alias("a"), F.lit(False).alias("done")))))
-            return F.when(s["done"] | (F.size(acc) < 2), s).otherwise(work)
+        def run(ids: Column) -> Column:
+            turns = F.slice(ids, F.lit(3), F.size(ids))
+            short = F.aggregate(turns, state(ids), lambda s, _: step(s), lambda s: s["a"])
+            long = F.aggregate(turns, state(ids), lambda s, _: long_step(s), lambda s: s["a"])
+            return _let(F.when(F.size(ids) <= LONG, short).otherwise(long), lambda a: F.slice(a, F.lit(2), F.size(a) - 2))
 
-        short = F.aggregate(pieces, pieces, lambda acc, _: step(acc))
-        long = _let(F.from_json(F.lit(single), "array<int>"), lambda alone: F.aggregate(pieces, F.struct(pieces.alias("a"), F.lit(False).alias("done")), lambda s, _: long_step(s, alone), lambda s: s["a"]))
-        return F.transform(F.when(F.size(pieces) <= LONG, short).otherwise(long), rank)
+        # ISO-8859-1 makes a character of each byte
+        ids = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(m["byte"], F.ascii(c)))
+        return _let(F.concat(F.array(F.lit(-1)), ids, F.array(F.lit(-1))), run)
 
-    pieces = F.regexp_extract_all(F.hex(word.cast("binary")), F.lit(".."), F.lit(0))
-    return _let(F.from_json(F.lit(buckets), "array<map<string,int>>"), folded)
+    return _let(literals, folded)
 
 
 def decode_ids(ids: Column, path: str) -> Column:
     """The bytes of ids: their tokens' bytes, concatenated."""
-    tokens = F.from_json(F.lit(_literals(path)[1]), "array<string>")
+    tokens = F.from_json(F.lit(_literals(path)[-1]), "array<string>")
     return _let(tokens, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
 
 
@@ -129,14 +180,67 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def frequent_words(words: DataFrame, most: int) -> DataFrame:
-    """The words of (word, n) in the classes of highest n that together hold at most ``most`` words; none of over HOT_BYTES bytes."""
+    """Those of (word, n) in the classes of highest n that together hold at most ``most`` words; none of over HOT_BYTES bytes."""
     classed = words.where(F.octet_length("word") <= HOT_BYTES).withColumn("class", F.floor(F.log2("n") * 16).cast("int"))
     total, least = 0, None
     for r in sorted(classed.groupBy("class").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["class"]):
         if (total := total + r["k"]) > most:
             break
         least = r["class"]
-    return classed.where(F.lit(False) if least is None else F.col("class") >= least).select("word")
+    return classed.where(F.lit(False) if least is None else F.col("class") >= least).select("word", "n")
+
+
+def _as_text(ids: Column) -> Column:
+    return F.array_join(ids.cast("array<string>"), ",")
+
+
+def _packed(words: DataFrame, path: str) -> dict:
+    """Words and their ids in flat arrays, in the order of the words' digests; the LISTED most frequent apart."""
+    coded = words.repartition("word").select("word", "n", encode_words(F.col("word"), path).alias("folded"))
+    t = coded.select("word", "n", F.xxhash64("word").alias("digest"), _as_text(F.col("folded")).alias("ids"), decode_ids(F.col("folded"), path).alias("bytes")).toArrow().combine_chunks()
+    digest = t["digest"].to_numpy().view(np.uint64)
+    n = t["n"].to_numpy()
+    order = np.argsort(digest)
+    top = pa.array(np.argsort(-n, kind="stable")[:LISTED])
+    other = t.filter(pc.not_equal(t["word"].cast(pa.binary()), t["bytes"]))
+    out = {"digest": digest[order], "listed": dict(zip(t["word"].take(top).to_pylist(), t["ids"].take(top).to_pylist(), strict=True)), "other": dict(zip(other["word"].to_pylist(), other["bytes"].to_pylist(), strict=True))}
+    for name in ("word", "ids"):
+        flat = t[name].cast(pa.large_binary()).take(pa.array(order)).combine_chunks()
+        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+        out[name] = (flat.buffers()[2] or pa.py_buffer(b"")).to_pybytes() if len(flat) else b""
+        out[f"{name}_at"] = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1].copy() if len(flat) else np.zeros(1, np.int64)
+    return out
+
+
+class KnownWords:
+    """Broadcast words: ids by word, and the bytes that these ids decode to."""
+
+    def __init__(self, packed: dict):
+        self.p = packed
+        self.get = packed["listed"].get
+
+    def codes(self, words: list[str]) -> tuple[list, list[int]]:
+        """The ids of each word, as text; and the places of the words that aren't known."""
+        codes = list(map(self.get, words))
+        if None not in codes or not len(self.p["digest"]):
+            return codes, [i for i, c in enumerate(codes) if c is None]
+        p, rare = self.p, [i for i, c in enumerate(codes) if c is None]
+        coded = [words[i].encode() for i in rare]
+        digests = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in coded), np.uint64, len(coded))
+        at = np.minimum(np.searchsorted(p["digest"], digests), len(p["digest"]) - 1)
+        hit = (p["digest"][at] == digests).tolist()
+        w0, w1, i0, i1 = (x.tolist() for x in (p["word_at"][at], p["word_at"][at + 1], p["ids_at"][at], p["ids_at"][at + 1]))
+        word, ids, missing = p["word"], p["ids"], []
+        for k, i in enumerate(rare):
+            if hit[k] and word[w0[k] : w1[k]] == coded[k]:
+                codes[i] = ids[i0[k] : i1[k]].decode()
+            else:
+                missing.append(i)
+        return codes, missing
+
+    def decoded(self, words: list[str]) -> bytes:
+        other = self.p["other"]  # words that their ids don't give back; a sound vocabulary has none
+        return b"".join(other.get(w, None) or w.encode() for w in words) if other else "".join(words).encode()
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, hot: int = HOT) -> DataFrame:
@@ -149,48 +253,42 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain_pattern(pattern)
 
-    def as_text(ids: Column) -> Column:
-        return F.array_join(ids.cast("array<string>"), ",")
-
     words = materialize(distinct_words(docs, pattern))
-    ids = frequent_words(words, hot).repartition("word").select("word", encode_words(F.col("word"), path).alias("folded"))
-    known = ids.select("word", as_text(F.col("folded")).alias("ids"), decode_ids(F.col("folded"), path).alias("bytes")).toArrow().to_pydict()
-    sent = spark.sparkContext.broadcast((dict(zip(known["word"], known["ids"], strict=True)), dict(zip(known["ids"], known["bytes"], strict=True))))
-    del known
+    sent = spark.sparkContext.broadcast(_packed(frequent_words(words, hot), path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (code, byte), find = sent.value, regex.compile(plain).findall
+        known, find = KnownWords(sent.value), regex.compile(plain).findall
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ends, known, decoded, cold = [0], [], [], []
+                ends, ids, decoded, cold = [0], [], [], []
+
+                def add(codes: list[str], words: list[str]) -> None:
+                    if codes:
+                        ids.append(",".join(codes))
+                        decoded.append(known.decoded(words))
+                        cold.append(None)
+
                 for text in part.column(1).to_pylist():
                     words = find(text or "")
-                    codes = list(map(code.get, words))
+                    codes, missing = known.codes(words)
                     start = 0
-                    if None in codes:
-                        for i in [i for i, c in enumerate(codes) if c is None]:
-                            if i > start:
-                                known.append(",".join(codes[start:i]))
-                                decoded.append(b"".join(map(byte.__getitem__, codes[start:i])))
-                                cold.append(None)
-                            known.append(None)
-                            decoded.append(None)
-                            cold.append(words[i])
-                            start = i + 1
-                    if start < len(codes):
-                        known.append(",".join(codes[start:]))
-                        decoded.append(b"".join(map(byte.__getitem__, codes[start:])))
-                        cold.append(None)
-                    ends.append(len(known))
-                runs = pa.StructArray.from_arrays([pa.array(known, pa.string()), pa.array(decoded, pa.binary()), pa.array(cold, pa.string())], ["ids", "bytes", "word"])
+                    for i in missing:
+                        add(codes[start:i], words[start:i])
+                        ids.append(None)
+                        decoded.append(None)
+                        cold.append(words[i])
+                        start = i + 1
+                    add(codes[start:], words[start:])
+                    ends.append(len(ids))
+                runs = pa.StructArray.from_arrays([pa.array(ids, pa.string()), pa.array(decoded, pa.binary()), pa.array(cold, pa.string())], ["ids", "bytes", "word"])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)], ["doc_id", "runs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     runs = docs.mapInArrow(run, f"doc_id {kind}, runs array<struct<ids string, bytes binary, word string>>")
 
     def fold(r: Column) -> Column:
-        inline = _let(encode_words(r["word"], path), lambda ids: F.struct(as_text(ids).alias("ids"), decode_ids(ids, path).alias("bytes")))
+        inline = _let(encode_words(r["word"], path), lambda ids: F.struct(_as_text(ids).alias("ids"), decode_ids(ids, path).alias("bytes")))
         return F.when(r["word"].isNull(), F.struct(r["ids"].alias("ids"), r["bytes"].alias("bytes"))).otherwise(inline)
 
     done = runs.select("doc_id", F.transform("runs", fold).alias("runs"))
