@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, langid, mixing, quality, simhash, urls
+from . import bpe, chat, exact, langid, mixing, quality, simhash, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op3_chat_format": chat.op3_chat_format,
     "op4_quality": quality.op4_quality,
     "op10_language": langid.op10_language,
     "op5_byte_bpe": bpe.op5_byte_bpe,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_chat_format": chat.OP3_SQL,
     "op6_exact_dedup": exact.OP6_SQL,
     "op7_url_filter": urls.OP7_SQL,
 }
