@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact, langid, mixing, quality, simhash, urls
+from . import bpe, chat, embed, exact, langid, mixing, quality, simhash, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_embedding_dedup": embed.op2_embedding_dedup,
     "op3_chat_format": chat.op3_chat_format,
     "op4_quality": quality.op4_quality,
     "op10_language": langid.op10_language,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_embedding_dedup": embed.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op6_exact_dedup": exact.OP6_SQL,
     "op7_url_filter": urls.OP7_SQL,
