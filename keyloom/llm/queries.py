@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embed, exact, langid, mixing, quality, simhash, urls
+from . import bpe, chat, embed, exact, langid, lines, mixing, quality, simhash, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -12,6 +12,7 @@ QUERIES = {
     "op10_language": langid.op10_language,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_exact_dedup": exact.op6_exact_dedup,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op7_url_filter": urls.op7_url_filter,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
 }
