@@ -24,6 +24,7 @@ COSINE = 0.93
 BLOCK, PIVOTS, LEAF = 8192, 512, 32
 #: Distances of nearly equal points are off by about 1e-8.
 _SLACK = 1e-6
+_BATCH = 512
 
 
 class CoverTree:
@@ -43,16 +44,23 @@ class CoverTree:
                 continue
             while r >= self.radius[node]:
                 r /= 2
-            near, left, parts = (far <= r) | (members == self.centre[node]), members, []
-            centre = self.centre[node]  # a node's centre is a centre of the next level, too
-            while True:
-                parts.append((centre, left[near]))
-                left = left[~near]
-                if not len(left):
-                    break
-                centre = int(left[0])
-                near = self._distance(left, centre) <= r
-                near[0] = True
+            # a node's centre is a centre of the next level, too
+            left, parts = np.concatenate(([self.centre[node]], members[members != self.centre[node]])), []
+            while len(left):
+                some = left[:_BATCH]
+                close, chosen = self._between(some, some) <= r, []
+                free = np.ones(len(some), bool)
+                for k in range(len(some)):
+                    if free[k]:
+                        chosen.append(k)
+                        free &= ~close[k]
+                near = self._between(some[chosen], left) <= r
+                near[np.arange(len(chosen)), chosen] = True
+                taken, owner = near.any(0), near.argmax(0)
+                owner[chosen] = np.arange(len(chosen))
+                for k, i0 in enumerate(chosen):
+                    parts.append((int(some[i0]), left[taken & (owner == k)]))
+                left = left[~taken]
             for centre, part in parts:
                 self.order[i : i + len(part)] = part
                 self.first.append(i)
@@ -67,6 +75,9 @@ class CoverTree:
     def _distance(self, members: np.ndarray, centre: int) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[members] @ self.x[centre])))
 
+    def _between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[a] @ self.x[b].T)))
+
     def points(self, node: int) -> np.ndarray:
         return self.order[self.first[node] : self.last[node]]
 
@@ -89,6 +100,11 @@ class Links:
         if i != j:
             self.parent[max(i, j)] = min(i, j)
 
+    def pair(self, i: int, j: int) -> None:
+        self.count[i] += self.weight[j]
+        self.count[j] += self.weight[i]
+        self.join(i, j)
+
     def all_between(self, a: np.ndarray, b: np.ndarray) -> None:
         """Each of a links to each of b."""
         self.count[a] += self.weight[b].sum()
@@ -109,45 +125,53 @@ class Links:
 
 
 def dual_traversal(a: CoverTree, b: CoverTree | None, links: Links, cosine: float) -> None:
-    """Add to ``links`` every link between points of a and b, or within a if b is None. Points of b count from len(a.x) on."""
+    """Add to ``links`` every link between points of a and b, or within a if b is None. Points of b count from len(a.x) on.
+
+    The stack holds pairs of nodes that may hold links; the children of such a pair are compared as a matrix, some rows at a time.
+    """
     same, shift = b is None, 0 if b is None else len(a.x)
     b = a if b is None else b
     if not len(a.x) or not len(b.x):
         return
     reach = np.sqrt(2 - 2 * cosine)
     ra, rb, ca, cb = (np.array(v) for v in (a.radius, b.radius, a.centre, b.centre))
-    pairs = np.zeros((1, 2), np.int64)
-    while len(pairs):
-        i, j = pairs.T
-        d = np.concatenate([np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", a.x[ca[i[k : k + 65536]]], b.x[cb[j[k : k + 65536]]]))) for k in range(0, len(i), 65536)])
-        keep = d - ra[i] - rb[j] <= reach + _SLACK
-        whole = keep & (d + ra[i] + rb[j] < reach - _SLACK)
-        for m, n in pairs[whole].tolist():
-            if same and m == n:
-                links.all_within(a.points(m))
+    na, nb = (np.array(t.last) - np.array(t.first) for t in (a, b))
+    stack = [(0, 0)]
+    while stack:
+        m, n = stack.pop()
+        own = same and m == n
+        if not a.children[m] and not b.children[n]:
+            p, q = a.points(m), b.points(n)
+            found = a.x[p] @ b.x[q].T >= cosine
+            if own:
+                found = np.triu(found, 1)
+            links.some(p, q + shift, found)
+            continue
+        left = np.array(a.children[m] or [m])
+        right = np.array(b.children[n] or [n])
+        for at in range(0, len(left), _BATCH):
+            rows = left[at : at + _BATCH]
+            cos = a.x[ca[rows]] @ b.x[cb[right]].T
+            d = np.sqrt(np.maximum(0.0, 2 - 2 * cos))
+            apart = ra[rows][:, None] + rb[right]
+            keep = d - apart <= reach + _SLACK
+            if own:
+                keep &= np.arange(at, at + len(rows))[:, None] <= np.arange(len(right))
+                diagonal = np.arange(at, at + len(rows))[:, None] == np.arange(len(right))
             else:
-                links.all_between(a.points(m), b.points(n) + shift)
-        opened = []
-        for m, n in pairs[keep & ~whole].tolist():
-            left, right = a.children[m], b.children[n]
-            if same and m == n:
-                if left:
-                    opened += [(x, y) for k, x in enumerate(left) for y in left[k:]]
+                diagonal = np.zeros_like(keep)
+            single = keep & ~diagonal & ((na[rows] == 1)[:, None] & (nb[right] == 1))
+            linked = single & (cos >= cosine)
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                links.pair(int(ca[rows[i]]), int(cb[right[j]]) + shift)
+            whole = keep & ~single & (d + apart < reach - _SLACK)
+            for i, j in zip(*np.nonzero(whole), strict=True):
+                if diagonal[i, j]:
+                    links.all_within(a.points(rows[i]))
                 else:
-                    p = a.points(m)
-                    found = a.x[p] @ a.x[p].T >= cosine
-                    np.fill_diagonal(found, False)
-                    links.count[p] += found @ links.weight[p]
-                    for x, y in zip(*np.nonzero(np.triu(found)), strict=True):
-                        links.join(int(p[x]), int(p[y]))
-            elif not left and not right:
-                p, q = a.points(m), b.points(n)
-                links.some(p, q + shift, a.x[p] @ b.x[q].T >= cosine)
-            elif right and (not left or rb[n] > ra[m]):
-                opened += [(m, y) for y in right]
-            else:
-                opened += [(x, n) for x in left]
-        pairs = np.array(opened, np.int64).reshape(-1, 2)
+                    links.all_between(a.points(rows[i]), b.points(right[j]) + shift)
+            opened = keep & ~single & ~whole & ~(diagonal & (na[rows] == 1)[:, None])
+            stack += [(int(rows[i]), int(right[j])) for i, j in zip(*np.nonzero(opened), strict=True)]
 
 
 def _units(vectors: pa.Array) -> list[np.ndarray | None]:
