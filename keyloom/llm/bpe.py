@@ -17,7 +17,6 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,11 +26,14 @@ from .shared import materialize, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: How many words are broadcast at most, and of how many bytes each; the most frequent LISTED of them are looked up in a dict.
-HOT, HOT_BYTES, LISTED = 1 << 20, 32, 1 << 16
+HOT, HOT_BYTES, LISTED = 1 << 21, 32, 1 << 17
 #: Words of more bytes merge all places of the best pair in one step.
 LONG = 48
 _NONE = 1 << 30
 _PLACES = 1 << 17
+#: Bits of an id in the fold's elements, and the id of the sentinels.
+_ID, _EDGE = 20, 65535
+_FACTORS = ((40503, 613), (941, 30011))
 #: Unicode's white space, as tiktoken's \s has it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -60,7 +62,7 @@ def _own_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | N
 
 def _slots(x, y):
     """The two places of a pair of ids in the rank map."""
-    return (x * 40503 + y * 613) % _PLACES, (x * 941 + y * 30011) % _PLACES
+    return tuple((x * a + y * b) % _PLACES for a, b in _FACTORS)
 
 
 def _placed(pairs: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
@@ -77,10 +79,9 @@ def _placed(pairs: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
             table[at], entry = entry, table[at]
         else:
             raise ValueError("too many tokens for the rank map")
-    keys, ranks = [-2] * _PLACES, [-1] * _PLACES  # -2 is no pair's key, with sentinels neither
+    keys, ranks = [-1] * _PLACES, [-1] * _PLACES
     for at, (x, y, k) in table.items():
-        key = x << 16 | y
-        keys[at], ranks[at] = key - (1 << 32) if key >> 31 else key, k
+        keys[at], ranks[at] = x << 16 | y, k
     return keys, ranks
 
 
@@ -117,52 +118,60 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def encode_words(word: Column, path: str) -> Column:
     """The ids of a word, by ranked merges: the leftmost pair of the lowest rank merges, until no pair has a rank.
 
-    The fold's state is the ids, between two sentinels, and the ranks of neighbours; a merge looks up the two new pairs only. Long words merge
-    all places of the best pair in one step.
+    The fold's state is one array of longs, a piece each: the rank of the pair with the next piece above its id, so that the least element is the best
+    pair. A merge replaces three elements by two. Pieces stand between two sentinels. Long words merge all places of the best pair in one step.
     """
     names = ("key", "rank", "byte", "single")
-    literals = F.struct(*(F.from_json(F.lit(x), "array<int>").alias(n) for n, x in zip(names, _literals(path), strict=False)))
+    literals = F.struct(*(F.from_json(F.lit(x), "array<bigint>").alias(n) for n, x in zip(names, _literals(path), strict=False)))
+    ids_only, none = F.lit((1 << _ID) - 1).cast("long"), F.lit(_NONE << _ID)
 
     def folded(m: Column) -> Column:
-        def rank(x: Column, y: Column) -> Column:
+        def slot(x: Column, y: Column, which: int) -> Column:
+            a, b = (F.lit(f).cast("long") for f in _FACTORS[which])
+            return (x * a + y * b).bitwiseAND(F.lit(_PLACES - 1).cast("long")).cast("int")
+
+        def piece(x: Column, y: Column) -> Column:
+            """The element of piece x before piece y."""
             key = F.shiftleft(x, 16).bitwiseOR(y)
-            one, two = _slots(x, y)
-            return F.when(F.get(m["key"], one) == key, F.get(m["rank"], one)).when(F.get(m["key"], two) == key, F.get(m["rank"], two)).otherwise(F.lit(_NONE))
+            rank = F.when(F.get(m["key"], slot(x, y, 0)) == key, F.get(m["rank"], slot(x, y, 0))).when(F.get(m["key"], slot(x, y, 1)) == key, F.get(m["rank"], slot(x, y, 1))).otherwise(F.lit(_NONE).cast("long"))
+            return F.shiftleft(rank, _ID).bitwiseOR(x)
 
         def state(ids: Column) -> Column:
-            return F.struct(ids.alias("a"), F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), rank).alias("r"))
+            return F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), piece)
 
         def merged(s: Column, low: Column, p: Column) -> Column:
-            a, r = s["a"], s["r"]
-            ids = F.concat(F.slice(a, F.lit(1), p - 1), F.array(low), F.slice(a, p + 2, F.size(a)))
-            new = F.array(rank(F.get(a, p - 2), low), rank(low, F.get(a, p + 1)))
-            return F.struct(ids.alias("a"), F.concat(F.slice(r, F.lit(1), p - 2), new, F.slice(r, p + 2, F.size(r))).alias("r"))
+            token = F.shiftright(low, _ID)
+            new = F.array(piece(F.get(s, p - 2).bitwiseAND(ids_only), token), piece(token, F.get(s, p + 1).bitwiseAND(ids_only)))
+            return F.concat(F.slice(s, F.lit(1), p - 2), new, F.slice(s, p + 2, F.size(s)))
 
         def step(s: Column) -> Column:
-            return _let(F.array_min(s["r"]), lambda low: F.when(low == _NONE, s).otherwise(_let(F.array_position(s["r"], low).cast("int"), lambda p: merged(s, low, p))))
+            return _let(F.array_min(s), lambda low: F.when(low >= none, s).otherwise(_let(F.array_position(s, low).cast("int"), lambda p: merged(s, low, p))))
 
         def all_merged(s: Column, low: Column) -> Column:
-            marks = F.array_join(F.transform(s["r"], lambda v: F.when(v == low, "1").otherwise("0")), "")
-            first = F.rpad(F.concat(F.regexp_extract(marks, "^0*", 0), F.lit("1")), F.size(s["r"]), F.lit("0"))
-            chosen = F.when(F.get(m["single"], low) == 1, first).otherwise(F.replace(marks, F.lit("11"), F.lit("10")))
+            token = F.shiftright(low, _ID)
+            marks = F.array_join(F.transform(s, lambda v: F.when(v == low, "1").otherwise("0")), "")
+            first = F.rpad(F.concat(F.regexp_extract(marks, "^0*", 0), F.lit("1")), F.size(s), F.lit("0"))
+            chosen = F.when(F.get(m["single"], token.cast("int")) == 1, first).otherwise(F.replace(marks, F.lit("11"), F.lit("10")))
 
             def joined(bits: Column) -> Column:
-                return F.array_compact(F.transform(s["a"], lambda v, i: F.when(F.get(bits, i) == "1", low).when(F.coalesce(F.get(bits, i - 1), F.lit("0")) == "1", F.lit(None)).otherwise(v)))
+                left = lambda i: F.when(F.get(bits, i) == "1", token).when(F.coalesce(F.get(bits, i - 1), F.lit("0")) == "1", F.lit(None))
+                return F.array_compact(F.transform(s, lambda v, i: left(i).otherwise(v.bitwiseAND(ids_only))))
 
             return _let(_let(F.split(chosen, ""), joined), state)
 
         def long_step(s: Column) -> Column:
-            return _let(F.array_min(s["r"]), lambda low: F.when(low == _NONE, s).otherwise(all_merged(s, low)))
+            return _let(F.array_min(s), lambda low: F.when(low >= none, s).otherwise(all_merged(s, low)))
 
         def run(ids: Column) -> Column:
             turns = F.slice(ids, F.lit(3), F.size(ids))
-            short = F.aggregate(turns, state(ids), lambda s, _: step(s), lambda s: s["a"])
-            long = F.aggregate(turns, state(ids), lambda s, _: long_step(s), lambda s: s["a"])
-            return _let(F.when(F.size(ids) <= LONG, short).otherwise(long), lambda a: F.slice(a, F.lit(2), F.size(a) - 2))
+            short = F.aggregate(turns, state(ids), lambda s, _: step(s))
+            long = F.aggregate(turns, state(ids), lambda s, _: long_step(s))
+            return _let(F.when(F.size(ids) <= LONG, short).otherwise(long), lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda v: v.bitwiseAND(ids_only).cast("int")))
 
         # ISO-8859-1 makes a character of each byte
         ids = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(m["byte"], F.ascii(c)))
-        return _let(F.concat(F.array(F.lit(-1)), ids, F.array(F.lit(-1))), run)
+        edge = F.array(F.lit(_EDGE).cast("long"))
+        return _let(F.concat(edge, ids, edge), run)
 
     return _let(literals, folded)
 
@@ -179,15 +188,21 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.where("text is not null").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def frequent_words(words: DataFrame, most: int) -> DataFrame:
-    """Those of (word, n) in the classes of highest n that together hold at most ``most`` words; none of over HOT_BYTES bytes."""
-    classed = words.where(F.octet_length("word") <= HOT_BYTES).withColumn("class", F.floor(F.log2("n") * 16).cast("int"))
+def _least_class(classes: list, most: int) -> int | None:
+    """The lowest class that, with those above, holds no more than ``most`` words; None if even the highest holds more."""
     total, least = 0, None
-    for r in sorted(classed.groupBy("class").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["class"]):
+    for r in sorted(classes, key=lambda r: -r["class"]):
         if (total := total + r["k"]) > most:
             break
         least = r["class"]
-    return classed.where(F.lit(False) if least is None else F.col("class") >= least).select("word", "n")
+    return least
+
+
+def frequent_words(words: DataFrame, most: int) -> DataFrame:
+    """Those of (word, n) in the classes of highest n that together hold at most ``most`` words; none of over HOT_BYTES bytes."""
+    classed = words.where(F.octet_length("word") <= HOT_BYTES).withColumn("class", F.floor(F.log2("n") * 16).cast("int"))
+    least = _least_class(classed.groupBy("class").agg(F.count("*").alias("k")).collect(), most)
+    return classed.where(F.lit(False) if least is None else F.col("class") >= least).select("word", "n", "class")
 
 
 def _as_text(ids: Column) -> Column:
@@ -196,19 +211,22 @@ def _as_text(ids: Column) -> Column:
 
 def _packed(words: DataFrame, path: str) -> dict:
     """Words and their ids in flat arrays, in the order of the words' digests; the LISTED most frequent apart."""
-    coded = words.repartition("word").select("word", "n", encode_words(F.col("word"), path).alias("folded"))
-    t = coded.select("word", "n", F.xxhash64("word").alias("digest"), _as_text(F.col("folded")).alias("ids"), decode_ids(F.col("folded"), path).alias("bytes")).toArrow().combine_chunks()
-    digest = t["digest"].to_numpy().view(np.uint64)
-    n = t["n"].to_numpy()
-    order = np.argsort(digest)
-    top = pa.array(np.argsort(-n, kind="stable")[:LISTED])
-    other = t.filter(pc.not_equal(t["word"].cast(pa.binary()), t["bytes"]))
-    out = {"digest": digest[order], "listed": dict(zip(t["word"].take(top).to_pylist(), t["ids"].take(top).to_pylist(), strict=True)), "other": dict(zip(other["word"].to_pylist(), other["bytes"].to_pylist(), strict=True))}
-    for name in ("word", "ids"):
-        flat = t[name].cast(pa.large_binary()).take(pa.array(order)).combine_chunks()
-        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-        out[name] = (flat.buffers()[2] or pa.py_buffer(b"")).to_pybytes() if len(flat) else b""
-        out[f"{name}_at"] = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1].copy() if len(flat) else np.zeros(1, np.int64)
+    listed = words.groupBy("class").agg(F.count("*").alias("k")).collect()
+    least = _least_class(listed, LISTED)
+    coded = words.repartition("word").select("word", (F.col("class") >= F.lit(1 << 20 if least is None else least)).alias("listed"), encode_words(F.col("word"), path).alias("folded"))
+    coded = materialize(coded.select("word", "listed", F.xxhash64("word").alias("digest"), _as_text(F.col("folded")).alias("ids"), decode_ids(F.col("folded"), path).alias("bytes")))
+    other = coded.where(F.col("word").cast("binary") != F.col("bytes")).select("word", "bytes").toArrow().to_pydict()
+    top = coded.where("listed").select("word", "ids").toArrow().to_pydict()
+    out = {"listed": dict(zip(top["word"], top["ids"], strict=True)), "other": dict(zip(other["word"], other["bytes"], strict=True))}
+    rest = coded.where("not listed").orderBy("digest", "word")
+    out["digest"] = rest.select("digest").toArrow()["digest"].to_numpy()
+    for name in ("word", "ids"):  # a column at a time, to spare the driver's memory
+        parts, sizes = [], [np.zeros(1, np.int64)]
+        for chunk in rest.select(F.col(name).cast("binary").alias(name)).toArrow()[name].chunks:
+            at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(memoryview(chunk.buffers()[2] or b"")[int(at[0]) : int(at[-1])])
+            sizes.append(np.diff(at).astype(np.int64))
+        out[name], out[f"{name}_at"] = b"".join(parts), np.cumsum(np.concatenate(sizes)).astype(np.int32)
     return out
 
 
@@ -226,7 +244,7 @@ class KnownWords:
             return codes, [i for i, c in enumerate(codes) if c is None]
         p, rare = self.p, [i for i, c in enumerate(codes) if c is None]
         coded = [words[i].encode() for i in rare]
-        digests = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in coded), np.uint64, len(coded))
+        digests = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in coded), np.uint64, len(coded)).view(np.int64)
         at = np.minimum(np.searchsorted(p["digest"], digests), len(p["digest"]) - 1)
         hit = (p["digest"][at] == digests).tolist()
         w0, w1, i0, i1 = (x.tolist() for x in (p["word_at"][at], p["word_at"][at + 1], p["ids_at"][at], p["ids_at"][at + 1]))
