@@ -50,7 +50,7 @@ class Engine:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        p = profile.profile(self.freq)
+        p = profile.with_empty_tables(profile.profile(self.freq), self.catalog.tables)
         return profile.with_health(keys.apply_pruning(p, keys.prune(p, self.config.prune))).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property

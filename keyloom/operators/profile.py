@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import int_like, numeric_tokens, strip
+from ..plans.cells import family
 
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b).otherwise(0.0)
 
 
+def with_empty_tables(profiles: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Adds the columns of tables without rows, which have no values to count."""
+    cols = [(t, f.name, f"{t}.{f.name}", i, family(f.dataType), *(0,) * 4, *(0.0,) * 3, False, 0.0, *(None,) * 5) for t, df in tables.items() for i, f in enumerate(df.schema.fields)]
+    known = profiles.sparkSession.createDataFrame(cols, profiles.schema)
+    return profiles.unionByName(known.join(profiles.select("table_name", "column_name"), ["table_name", "column_name"], "left_anti"))
+
+
 def profile(freq: DataFrame) -> DataFrame:
     """One row per column of a frequency frame: counts, ratios, text lengths, the share of the most frequent value, and integer bounds."""
     has, v, cnt = F.col("v").isNotNull(), F.col("v"), F.col("cnt")
