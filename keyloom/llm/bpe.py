@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import json
 import random
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from .shared import materialize, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: How many words are broadcast at most, and of how many bytes each; the most frequent LISTED of them are looked up in a dict.
-HOT, HOT_BYTES, LISTED = 1 << 21, 32, 1 << 17
+HOT, HOT_BYTES, LISTED = 1 << 21, 32, 1 << 18
 #: Words of more bytes merge all places of the best pair in one step.
 LONG = 48
 _NONE = 1 << 30
@@ -43,6 +44,19 @@ def plain_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
 
 
+#: Letters of the Latin blocks, as a character class has them; beyond ASCII, a text of these alone has no other letters or digits.
+_LATIN = r"\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+
+
+def latin_pattern(pattern: str) -> str | None:
+    """The pattern for texts of ASCII and Latin letters, without Unicode properties: a faster engine reads it. None if it can't be put so."""
+    classes = {r"\p{L}": f"A-Za-z{_LATIN}", r"\p{N}": "0-9"}
+    p = plain_pattern(pattern)
+    for k, c in classes.items():
+        p = re.sub(r"\[[^\]]*\]", lambda m, k=k, c=c: m[0].replace(k, c), p).replace(k, f"[{c}]")
+    return None if r"\p" in p else p
+
+
 @lru_cache(4)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -269,13 +283,14 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public
     """
     spark, path = docs.sparkSession, path or public_tokenizers.path(RANKS)
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    plain = plain_pattern(pattern)
+    plain, latin = plain_pattern(pattern), latin_pattern(pattern)
 
     words = materialize(distinct_words(docs, pattern))
     sent = spark.sparkContext.broadcast(_packed(frequent_words(words, hot), path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, find = KnownWords(sent.value), regex.compile(plain).findall
+        find_latin, beyond = (re.compile(latin).findall, re.compile(rf"[^\x00-\x7f{_LATIN}]").search) if latin else (find, bool)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -288,7 +303,8 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public
                         cold.append(None)
 
                 for text in part.column(1).to_pylist():
-                    words = find(text or "")
+                    text = text or ""
+                    words = find(text) if beyond(text) else find_latin(text)
                     codes, missing = known.codes(words)
                     start = 0
                     for i in missing:

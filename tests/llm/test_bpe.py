@@ -43,6 +43,16 @@ def test_matches_tiktoken(spark, hot):
         assert digests[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_latin_pattern():
+    plain, latin = bpe.plain_pattern(public_tokenizers.PATTERN), bpe.latin_pattern(public_tokenizers.PATTERN)
+    chars = [chr(i) for i in range(0x250) if i < 128 or chr(i).isalpha() and i >= 0xC0]
+    rng = random.Random(8)
+    for _ in range(300):
+        t = "".join(rng.choices(chars, k=60)) + " it's 12 a'll  \n x"
+        assert bpe.regex.compile(plain).findall(t) == bpe.re.compile(latin).findall(t)
+    assert bpe.latin_pattern(r"\p{Lu}+|\s+") is None
+
+
 def test_very_long_word(spark):
     rng = random.Random(4)
     word = "".join(rng.choice("abcdefghijklmnop") for _ in range(5000))
