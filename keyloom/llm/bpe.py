@@ -292,8 +292,8 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public
         known, find = KnownWords(sent.value), regex.compile(plain).findall
         find_latin, beyond = (re.compile(latin).findall, re.compile(rf"[^\x00-\x7f{_LATIN}]").search) if latin else (find, bool)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
                 ends, ids, decoded, cold = [0], [], [], []
 
                 def add(codes: list[str], words: list[str]) -> None:

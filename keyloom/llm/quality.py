@@ -26,7 +26,7 @@ BITS = (14, 12, 14, 14)
 SMOOTHING, TEMPERATURE = 0.5, 0.1
 
 _STARTS = tuple(int(x) for x in np.concatenate(([0], np.cumsum([1 << b for b in BITS]))))
-_PIECE = 1 << 21
+_PIECE = 1 << 19
 _MIX = 0x9E3779B97F4A7C15
 _BASE = 0x100000001B3
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -129,22 +129,22 @@ def fit(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """``docs`` with its columns, and log_weight (sum of log ratios, by kind on average) and n_words."""
+def score(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataFrame:
+    """``docs`` with log_weight (sum of log ratios, by kind on average) and n_words of its string column ``text``."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
+    at_text = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             weight, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for at, end, data, ends in pieces(b.column(b.num_columns - 1)):
+            for at, end, data, ends in pieces(b.column(at_text)):
                 buckets, doc = ngrams(data, ends)
                 weight[at:end] = np.bincount(doc, sent.value[buckets].sum(1) / len(BITS), end - at)
                 n[at:end] = np.bincount(doc, minlength=end - at)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(weight), pa.array(n)], [*b.schema.names[:-1], "log_weight", "n_words"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(weight), pa.array(n)], [*b.schema.names, "log_weight", "n_words"])
 
-    kept = [f for f in docs.schema.fields if f.name not in ("log_weight", "n_words")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "log_weight double, n_words long"])
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col("text").cast("string").alias("_scored")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "log_weight double, n_words long"])
+    return docs.mapInArrow(run, schema)
 
 
 def _mean() -> Column:
@@ -199,7 +199,7 @@ class QualityModel:
     def __init__(self, docs: DataFrame, labels: DataFrame, most: int = LABELLED):
         labelled = materialize(good_labels(labels, most))
         self.ratios = fit(docs, labelled)
-        self.scored = materialize(score(docs.select("doc_id", "text"), self.ratios).drop("text"))
+        self.scored = materialize(score(docs.select("doc_id", F.col("text").cast("string").alias("text")), self.ratios).drop("text"))
         known = self.scored.join(F.broadcast(labelled), "doc_id").select(_mean().alias("s"), "good").toArrow()
         self.cut = best_cut(known["s"].to_numpy(), known["good"].to_numpy(zero_copy_only=False).astype(bool)) if len(known) else -np.inf
         if self.cut > -np.inf:
@@ -227,9 +227,10 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFr
 def drop_low_quality(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
     """``docs`` without the rows that classify rejects. Texts don't move: the rows are scored again where they are."""
     model = QualityModel(docs, labels, most)
-    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), "doc_id", "text")
-    kept = model.judged(score(named, model.ratios)).where("kept")
-    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    at, names = docs.columns.index("text"), docs.columns  # columns are renamed meanwhile, so that none clashes
+    named = docs.select(*(F.col(f"`{c}`").cast("string").alias(f"c{i}") if i == at else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    scored = score(named, model.ratios, f"c{at}").withColumn("doc_id", F.col(f"c{names.index('doc_id')}"))
+    return model.judged(scored).where("kept").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
