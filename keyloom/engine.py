@@ -53,6 +53,12 @@ class Engine:
         p = profile.with_empty_tables(profile.profile(self.freq), self.catalog.tables)
         return profile.with_health(keys.apply_pruning(p, keys.prune(p, self.config.prune))).persist(StorageLevel.MEMORY_AND_DISK)
 
+    @cached_property
+    def profiles_enhanced(self) -> DataFrame:
+        """Profiles with inferred types, completeness, consistency and quality."""
+        types = profile.decide_types(profile.type_ratios(self.freq)).select("table_name", "column_name", "atomic_type", "atomic_prob")
+        return profile.enhanced(self.profiles, profile.consistency(self.freq)).join(types, ["table_name", "column_name"], "left")
+
     @cached_property
     def ucc_unary(self) -> DataFrame:
         return keys.unary_ucc(self.profiles)
@@ -122,7 +128,7 @@ class Engine:
         return {"primary_key": pks, "foreign_keys": fks, "composite_keys": comps, "datatypes": recommend.datatypes(self.profiles), "indexes": recommend.indexes(pks, fks, comps, self.profiles)}
 
     def stage(self, name: str):
-        of = {"ind": "ind", "scored": "scored", "relationships": "edges", "profiles_enhanced": "profiles", "duplicates_summary": "duplicates", "default_fk_summary": "default_fk", "surrogate_keys_summary": "surrogate_keys"}
+        of = {"ind": "ind", "scored": "scored", "relationships": "edges", "duplicates_summary": "duplicates", "default_fk_summary": "default_fk", "surrogate_keys_summary": "surrogate_keys"}
         return getattr(self, of.get(name, name))
 
     def run(self, stages: str | None = None, max_rows: int = 500, dot: bool = False) -> dict:

@@ -30,9 +30,9 @@ def profile(freq: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(has, cnt)), F.lit(0)).alias("n_non_null"),
         F.count("v").alias("n_unique"),
         F.coalesce(F.max(F.when(has, cnt)), F.lit(0)).alias("top1"),
-        F.sum(F.length("v") * cnt).alias("len_sum"),
-        F.min(F.length("v")).cast("double").alias("min_len"),
-        F.max(F.length("v")).cast("double").alias("max_len"),
+        F.sum(F.col("len") * cnt).alias("len_sum"),
+        F.min("len").cast("double").alias("min_len"),
+        F.max("len").cast("double").alias("max_len"),
         F.min(whole).alias("int_min"),
         F.max(whole).alias("int_max"),
     )
@@ -139,13 +139,38 @@ def consistency_bool(freq: DataFrame) -> DataFrame:
     return g.select("table_name", "column_name", F.when(F.col("k") > 1, F.least(F.lit(100.0), 200.0 * F.col("low") / F.col("n"))).otherwise(20.0).alias("consistency_score"))
 
 
+def consistency(freq: DataFrame) -> DataFrame:
+    """A score for each column from its frequencies: of numbers by their variation, of text by that of lengths, of booleans by the rarer value; 70 for other kinds."""
+    two, n = ["table_name", "column_name", "family"], F.col("cnt").cast("double")
+    x = F.when(F.col("family").isin("int", "float"), F.col("v").try_cast("double")).when(F.col("family") == "string", F.col("len").cast("double"))
+    g = freq.where("v is not null").withColumn("x", x).groupBy(*two).agg(
+        F.sum(F.when(F.col("x").isNotNull(), n)).alias("n"), F.sum(F.col("x") * n).alias("s1"), F.sum(F.col("x") * F.col("x") * n).alias("s2"), F.sum(n).alias("all"), F.min(n).alias("low"), F.count("*").alias("kinds")
+    )
+    mean = F.col("s1") / F.col("n")
+    var = F.greatest(F.lit(0.0), F.try_divide(F.col("s2") - F.col("n") * mean * mean, F.col("n") - 1))
+    even = F.when(mean == 0, F.when(F.col("family") == "string", 100.0).otherwise(90.0)).otherwise(100 * (1 - F.least(F.lit(1.0), F.abs(F.sqrt(F.coalesce(var, F.lit(0.0))) / mean))))
+    flag = F.when(F.col("kinds") < 2, 20.0).otherwise(F.least(F.lit(100.0), 200 * F.col("low") / F.col("all")))
+    return g.select("table_name", "column_name", F.when(F.col("family") == "bool", flag).when(F.col("n") > 0, even).when(F.col("family").isin("int", "float"), 40.0).otherwise(70.0).alias("consistency_score"))
+
+
 def consistency_datetime(df: DataFrame, column: str, by: str) -> DataFrame:
-    """Per group ``by``: 100 * (1 - variation of the steps between sorted times), clipped."""
-    t = df.select(F.col(by).alias("grp"), F.unix_micros(F.col(column).cast("timestamp")).alias("t"))
-    d = t.withColumn("d", F.col("t") - F.lag("t").over(Window.partitionBy("grp").orderBy("t"))).where("d is not null")
-    g = d.groupBy("grp").agg(F.avg(F.col("d").cast("double")).alias("m"), F.coalesce(F.stddev_samp(F.col("d").cast("double")), F.lit(0.0)).alias("s"))
-    score = F.when(F.col("m") == 0, 90.0).otherwise(100 * (1 - F.least(F.lit(1.0), F.col("s") / F.col("m"))))
-    return g.select("grp", score.alias("consistency_score"))
+    """Per group ``by``: 100 * (1 - variation of the steps between sorted times), at least 0; 90 if all times are equal.
+
+    Times are counted first, then ordered within about sqrt(n) slices of a group's span; steps between slices come from the slices' ends. So a large group is no single task.
+    """
+    t = df.select(F.col(by).alias("grp"), F.unix_micros(F.col(column).cast("timestamp")).alias("t")).where("t is not null").groupBy("grp", "t").agg(F.count("*").alias("c"))
+    span = t.groupBy("grp").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.sum("c").alias("n"))
+    part = F.floor((F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * F.ceil(F.sqrt("n")))
+    cut = t.join(span, "grp").withColumn("part", part)
+    d = (F.col("t") - F.lag("t").over(Window.partitionBy("grp", "part").orderBy("t"))).cast("double")
+    ends = cut.withColumn("d", d).groupBy("grp", "part", "n").agg(F.sum("d").alias("s1"), F.sum(F.col("d") * F.col("d")).alias("s2"), F.min("t").alias("first"), F.max("t").alias("last"))
+    between = (F.col("first") - F.lag("last").over(Window.partitionBy("grp").orderBy("part"))).cast("double")
+    full = ends.withColumn("e", F.coalesce(between, F.lit(0.0))).groupBy("grp", "n").agg((F.coalesce(F.sum("s1"), F.lit(0.0)) + F.sum("e")).alias("s1"), (F.coalesce(F.sum("s2"), F.lit(0.0)) + F.sum(F.col("e") * F.col("e"))).alias("s2"))
+    k = F.col("n") - 1
+    mean = F.col("s1") / k
+    deviation = F.when(k > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("s2") - k * mean * mean) / (k - 1))).otherwise(0.0)
+    score = F.when(mean == 0, 90.0).otherwise(100 * (1 - F.least(F.lit(1.0), deviation / mean)))
+    return full.where("n > 1").select("grp", score.alias("consistency_score"))
 
 
 def consistency_string(df: DataFrame, column: str, order: str, n: int = 200) -> DataFrame:

@@ -32,16 +32,21 @@ def key(table: Column, column: Column) -> Column:
     return F.concat(table, F.lit("."), column)
 
 
+#: Text of more characters is shuffled and compared as its SHA-256.
+LONG_TEXT = 256
+
+
 def cells(tables: dict[str, DataFrame], clean: Callable[[Column], Column] = sql_clean) -> DataFrame:
-    """(table_name, column_name, ordinal, family, v) for every cell; v is the cleaned text."""
+    """(table_name, column_name, ordinal, family, v, len) for every cell; v is the cleaned text, or the digest of a long one, and len the text's length."""
 
     def of(name: str, df: DataFrame) -> DataFrame:
         parts = [F.struct(F.lit(f.name).alias("column_name"), F.lit(i).alias("ordinal"), F.lit(family(f.dataType)).alias("family"), clean(F.col(f"`{f.name}`")).alias("v")) for i, f in enumerate(df.schema.fields)]
-        return df.select(F.lit(name).alias("table_name"), F.inline(F.array(*parts)))
+        out = df.select(F.lit(name).alias("table_name"), F.inline(F.array(*parts))).withColumn("len", F.length("v"))
+        return out.withColumn("v", F.when(F.col("len") > LONG_TEXT, F.concat(F.lit("sha256:"), F.sha2(F.col("v").cast("binary"), 256))).otherwise(F.col("v")))
 
     return reduce(DataFrame.unionByName, (of(n, d) for n, d in tables.items()))
 
 
 def frequencies(tables: dict[str, DataFrame], clean: Callable[[Column], Column] = sql_clean) -> DataFrame:
-    """(table_name, column_name, ordinal, family, v, cnt): how often each column holds each value; v is null for nulls."""
-    return cells(tables, clean).groupBy("table_name", "column_name", "ordinal", "family", "v").agg(F.count("*").alias("cnt"))
+    """(table_name, column_name, ordinal, family, v, len, cnt): how often each column holds each value; v is null for nulls."""
+    return cells(tables, clean).groupBy("table_name", "column_name", "ordinal", "family", "v", "len").agg(F.count("*").alias("cnt"))

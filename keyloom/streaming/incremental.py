@@ -23,5 +23,5 @@ def start(stream: DataFrame, name: str, path: str, checkpoint: str) -> Streaming
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The frequencies of all batches so far."""
-    by = ["table_name", "column_name", "ordinal", "family", "v"]
+    by = ["table_name", "column_name", "ordinal", "family", "v", "len"]
     return spark.read.parquet(path).groupBy(*by).agg(F.sum("cnt").alias("cnt"))

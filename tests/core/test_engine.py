@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixtures
-from keyloom import viz
+from keyloom import api, viz
 from keyloom.config import EngineConfig, SelectConfig
 from keyloom.engine import Engine, EngineError, parse_stages
+from keyloom.operators.types import TypeModel
 from keyloom.operators import inclusion, keys, profile, quality, recommend, selection
 from keyloom.plans.cells import frequencies
 from keyloom.sources.catalog import Catalog, CatalogError, json_safe, table_name, write_csv
@@ -156,3 +157,33 @@ def test_inclusion_of_itself(spark):
     p = profile.profile(freq)
     r = inclusion.strict_inclusions(freq, p, keys.unary_ucc(p)).first()
     assert (r["fk_table"], r["pk_table"], r["distinct_coverage"], r["row_coverage"]) == ("b", "a", 1.0, 1.0)
+
+
+def test_long_text_is_compared_by_digest(spark):
+    df = spark.createDataFrame([("x" * 1000,), ("x" * 1000,), ("x" * 999 + "y",)], "t string")
+    freq = frequencies({"a": df})
+    assert {(r["len"], r["cnt"], len(r["v"])) for r in freq.collect()} == {(1000, 2, 71), (1000, 1, 71)}
+    assert profile.profile(freq).first()["max_len"] == 1000.0
+
+
+def test_type_model(spark, tmp_path):
+    df = spark.createDataFrame([(str(i), ["yes", "no"][i % 2], f"199{i % 10}-01-02", f"{i}.5", "a", None) for i in range(20)], "n string, b string, d string, f string, s string, e string")
+    m = TypeModel()
+    out = m.fit_transform(df, numeric_bool=True)
+    assert m.schema() == {"n": "int", "b": "bool", "d": "date", "f": "float", "s": "string", "e": "string"}
+    assert dict(out.dtypes) == {"n": "bigint", "b": "int", "d": "timestamp", "f": "double", "s": "string", "e": "string"}
+    m.save_schema(str(tmp_path / "s.json"))
+    assert json.loads((tmp_path / "s.json").read_text())["e"]["confidence"] == 0.0
+
+
+def test_api(spark, tmp_path):
+    a, b = tmp_path / "a.csv", tmp_path / "b.csv"
+    a.write_text("id,name\n" + "\n".join(f"{i:05d},n{i}" for i in range(40)))
+    b.write_text("bid,id\n" + "\n".join(f"b{i},{i % 40:05d}" for i in range(200)))
+    out = api.discover(spark, [str(a), str(b)], "relationships,profiles_enhanced", min_edge_score=0.5)
+    assert out["config"]["select"]["min_score"] == 0.5
+    assert [r["relationship"] for r in out["stages"]["relationships"]["data"]] == ["b.id -> a.id"]
+    assert {"overall_quality", "atomic_type"} <= set(out["stages"]["profiles_enhanced"]["data"][0])
+    codes = [api.discover(spark, [str(a)], **k)["error"]["code"] for k in ({"include": "x"}, {"mode": "x"}, {"soft_routing_sim": 0.1}, {"min_edge_score": 2}, {"max_rows": 0}, {"what": 1})]
+    assert codes == ["UNKNOWN_STAGE", "INVALID_PARAM_COMBO", "INVALID_PARAM_COMBO", "PARAM_OUT_OF_RANGE", "PARAM_OUT_OF_RANGE", "UNKNOWN_PARAM"]
+    assert api.discover(spark, [])["error"]["code"] == "NO_FILES" and api.health()["status"] == "ok"
