@@ -230,8 +230,7 @@ def _packed(words: DataFrame, path: str) -> dict:
     coded = words.repartition("word").select("word", (F.col("class") >= F.lit(1 << 20 if least is None else least)).alias("listed"), encode_words(F.col("word"), path).alias("folded"))
     coded = materialize(coded.select("word", "listed", F.xxhash64("word").alias("digest"), _as_text(F.col("folded")).alias("ids"), decode_ids(F.col("folded"), path).alias("bytes")))
     other = coded.where(F.col("word").cast("binary") != F.col("bytes")).select("word", "bytes").toArrow().to_pydict()
-    top = coded.where("listed").select("word", "ids").toArrow().to_pydict()
-    out = {"listed": dict(zip(top["word"], top["ids"], strict=True)), "other": dict(zip(other["word"], other["bytes"], strict=True))}
+    out = {"listed": coded.where("listed").select("word", "ids").toArrow(), "other": dict(zip(other["word"], other["bytes"], strict=True))}
     rest = coded.where("not listed").orderBy("digest", "word")
     out["digest"] = rest.select("digest").toArrow()["digest"].to_numpy()
     for name in ("word", "ids"):  # a column at a time, to spare the driver's memory
@@ -249,7 +248,7 @@ class KnownWords:
 
     def __init__(self, packed: dict):
         self.p = packed
-        self.get = packed["listed"].get
+        self.get = dict(zip(packed["listed"]["word"].to_pylist(), packed["listed"]["ids"].to_pylist(), strict=True)).get
 
     def codes(self, words: list[str]) -> tuple[list, list[int]]:
         """The ids of each word, as text; and the places of the words that aren't known."""
@@ -287,6 +286,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public
 
     words = materialize(distinct_words(docs, pattern))
     sent = spark.sparkContext.broadcast(_packed(frequent_words(words, hot), path))
+    pa.default_memory_pool().release_unused()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, find = KnownWords(sent.value), regex.compile(plain).findall
