@@ -28,6 +28,8 @@ from .shared import materialize, table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: How many words are broadcast at most, and of how many bytes each; the most frequent LISTED of them are looked up in a dict.
 HOT, HOT_BYTES, LISTED = 1 << 21, 32, 1 << 18
+#: Characters of a plan's text that the driver keeps, at most: plans here hold the rank map.
+PLAN_TEXT = 100_000
 #: Words of more bytes merge all places of the best pair in one step.
 LONG = 48
 _NONE = 1 << 30
@@ -225,9 +227,13 @@ def _as_text(ids: Column) -> Column:
 
 def _packed(words: DataFrame, path: str) -> dict:
     """Words and their ids in flat arrays, in the order of the words' digests; the LISTED most frequent apart."""
+    conf = words.sparkSession.conf
+    if int(conf.get("spark.sql.maxPlanStringLength")) > PLAN_TEXT:
+        conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     listed = words.groupBy("class").agg(F.count("*").alias("k")).collect()
     least = _least_class(listed, LISTED)
-    coded = words.repartition("word").select("word", (F.col("class") >= F.lit(1 << 20 if least is None else least)).alias("listed"), encode_words(F.col("word"), path).alias("folded"))
+    words = materialize(words.repartition("word"))  # a plan that holds the rank map has no exchange: Spark keeps the text of each plan that it adapts
+    coded = words.select("word", (F.col("class") >= F.lit(1 << 20 if least is None else least)).alias("listed"), encode_words(F.col("word"), path).alias("folded"))
     coded = materialize(coded.select("word", "listed", F.xxhash64("word").alias("digest"), _as_text(F.col("folded")).alias("ids"), decode_ids(F.col("folded"), path).alias("bytes")))
     other = coded.where(F.col("word").cast("binary") != F.col("bytes")).select("word", "bytes").toArrow().to_pydict()
     out = {"listed": coded.where("listed").select("word", "ids").toArrow(), "other": dict(zip(other["word"], other["bytes"], strict=True))}
