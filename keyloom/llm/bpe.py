@@ -228,8 +228,8 @@ def _as_text(ids: Column) -> Column:
 def _packed(words: DataFrame, path: str) -> dict:
     """Words and their ids in flat arrays, in the order of the words' digests; the LISTED most frequent apart."""
     conf = words.sparkSession.conf
-    if int(conf.get("spark.sql.maxPlanStringLength")) > PLAN_TEXT:
-        conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
+    if int(re.sub(r"\D", "", conf.get("spark.sql.maxPlanStringLength"))) > PLAN_TEXT:
+        conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     listed = words.groupBy("class").agg(F.count("*").alias("k")).collect()
     least = _least_class(listed, LISTED)
     words = materialize(words.repartition("word"))  # a plan that holds the rank map has no exchange: Spark keeps the text of each plan that it adapts
