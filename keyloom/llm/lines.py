@@ -44,15 +44,15 @@ def fingerprints(docs: DataFrame, words: int = WORDS, lines: int = LINES) -> Dat
     return rows.select("doc_id", "th", "pos", "x.h", "x.n", (F.col("pos") + F.col("x.low")).alias("low"), "x.key")
 
 
-def repeated_lines(marks: DataFrame) -> DataFrame:
-    """(doc, pos): the lines to delete; doc is a struct of doc_id and th. ``marks`` are fingerprints."""
+def repeated_lines(marks: DataFrame, extend_within: bool = False) -> DataFrame:
+    """(doc, pos): the lines to delete; doc is a struct of doc_id and th. ``marks`` are fingerprints. With ``extend_within``, runs that repeat their own document are extended too."""
     doc = F.struct("doc_id", "th")
     placed = marks.select(doc.alias("doc"), "pos", "h", "n", "key")
     whole = placed.where("n > 0")
     first = whole.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count("*").alias("times")).where("times > 1")
     met = materialize(whole.join(first, "key").where(F.struct("doc", "pos") != F.col("f")).select("doc", "pos", "n", F.col("f.doc").alias("origin"), (F.col("pos") - F.col("f.pos")).alias("shift")))
     within = met.where("doc = origin").select("doc", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos"))
-    across = met.where("doc <> origin")
+    across = met if extend_within else met.where("doc <> origin")  # within a document the first occurrence comes earlier, so the first copy stays
     along = across.select("doc", "origin", "shift").distinct().join(placed.select("doc", "pos", "h"), "doc")
     other = placed.select(F.col("doc").alias("origin"), F.col("pos").alias("at"), F.col("h").alias("oh"))
     same = along.withColumn("at", F.col("pos") - F.col("shift")).join(other, ["origin", "at"]).where("h = oh").select("doc", "origin", "shift", "pos")
@@ -65,14 +65,14 @@ def repeated_lines(marks: DataFrame) -> DataFrame:
     return matched.select("doc", "pos").unionByName(within).distinct()
 
 
-def dedup_lines(docs: DataFrame, words: int = WORDS, lines: int = LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, words: int = WORDS, lines: int = LINES, extend_within: bool = False) -> DataFrame:
     """``docs`` with n_lines, n_removed and clean_text, the text without its repeated runs of lines.
 
     Lines end at newlines. A null text counts as empty: one empty line, nothing removed. Rows that repeat doc_id and text are one document and are cleaned alike.
-    Null doc_ids come first in the order. A run within a document is deleted where its window comes again, without extension. An empty table gives no rows.
+    Null doc_ids come first in the order. A run within a document is deleted where its window comes again, and extended like others with ``extend_within`` only. An empty table gives no rows.
     """
     marks = materialize(fingerprints(docs, words, lines))
-    gone = repeated_lines(marks).groupBy("doc").agg(F.collect_set("pos").alias("_gone"))
+    gone = repeated_lines(marks, extend_within).groupBy("doc").agg(F.collect_set("pos").alias("_gone"))
     key = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), h.cast("string")).alias("_doc")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "clean_text")]
@@ -83,5 +83,5 @@ def dedup_lines(docs: DataFrame, words: int = WORDS, lines: int = LINES) -> Data
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), extend_within=True)
     return out.select("doc_id", "n_lines", "n_removed", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
