@@ -1,42 +1,43 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the bytes of distinct words.
 
 Words are the matches of the tokenizer's pattern. ``encode_words`` is the operator's core: it turns a
-word into an array of its bytes' ids and folds merges over it; literal arrays hold the rank map. ``encode_texts`` counts all distinct words, encodes the frequent ones once, and
-broadcasts these (HOT words of at most HOT_BYTES bytes: that bounds the broadcast); the words of a text that aren't among them are folded where they occur. So
-no occurrence of a word is ever shuffled.
+word into an array of its bytes' ids and folds merges over it; literal arrays hold the rank map. ``encode_texts`` counts all distinct words and encodes the frequent ones once
+(HOT words of at most HOT_BYTES bytes), into a few files of the shared folder that each executor fetches; the driver sees none of them. The words of a text that aren't among them are folded where they
+occur. So no occurrence of a word is ever shuffled. Bytes are decoded from the ids that come out.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import random
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import regex
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import kept, materialize, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: How many words are broadcast at most, and of how many bytes each; the most frequent LISTED of them are looked up in a dict.
-HOT, HOT_BYTES, LISTED = 1 << 21, 32, 1 << 18
+#: How many words are sent to executors at most, of how many bytes each, and in how many files; parts between spaces that a worker remembers.
+HOT, HOT_BYTES, FILES, MEMO = 1 << 21, 32, 8, 1 << 18
 #: Characters of a plan's text that the driver keeps, at most: plans here hold the rank map.
 PLAN_TEXT = 100_000
 #: Words of more bytes merge all places of the best pair in one step.
 LONG = 48
-_NONE = 1 << 30
-_PLACES = 1 << 17
-#: Bits of an id in the fold's elements, and the id of the sentinels.
-_ID, _EDGE = 20, 65535
-_FACTORS = ((40503, 613), (941, 30011))
+#: Bits of an id in the fold's elements; the rank of a pair that has none, and the id of the sentinels.
+_ID = 20
+_NONE = _EDGE = (1 << _ID) - 1
 #: Unicode's white space, as tiktoken's \s has it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -76,34 +77,29 @@ def _own_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | N
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
-def _slots(x, y):
-    """The two places of a pair of ids in the rank map."""
-    return tuple((x * a + y * b) % _PLACES for a, b in _FACTORS)
+def _placed(pairs: list[tuple[int, int, int]], size: int) -> tuple[list[int], list[int]]:
+    """Where the row of each x < ``size`` begins in a table of pairs (x, y, rank), and the table: pair (x, y) stands at start[x] + y, as rank above x.
 
-
-def _placed(pairs: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
-    """The keys and the ranks of a map in which each pair (x, y, rank) stands at one of its two places."""
-    table: dict[int, tuple[int, int, int]] = {}
-    dice = random.Random(0)
-    for entry in pairs:
-        for _ in range(1000):
-            free = [s for s in _slots(*entry[:2]) if s not in table]
-            if free:
-                table[free[0]] = entry
-                break
-            at = dice.choice(_slots(*entry[:2]))
-            table[at], entry = entry, table[at]
-        else:
-            raise ValueError("too many tokens for the rank map")
-    keys, ranks = [-1] * _PLACES, [-1] * _PLACES
-    for at, (x, y, k) in table.items():
-        keys[at], ranks[at] = x << 16 | y, k
-    return keys, ranks
+    Rows overlap: each begins at the first place where all of its pairs fall on free places, the longest rows first. -1 marks free places.
+    """
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for x, y, rank in pairs:
+        rows.setdefault(x, []).append((y, rank))
+    start, table, used = [0] * size, {}, 0  # used is a set of bits
+    for x, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        blocked = 0
+        for y, _ in row:
+            blocked |= used >> y
+        start[x] = (~blocked & (blocked + 1)).bit_length() - 1
+        for y, rank in row:
+            used |= 1 << (start[x] + y)
+            table[start[x] + y] = rank << _ID | x
+    return start, [table.get(i, -1) for i in range(used.bit_length())]
 
 
 @lru_cache(4)
 def _literals(path: str) -> tuple[str, ...]:
-    """As JSON: the rank map (keys, ranks), the ids of single bytes, 1 for each rank whose merges must go one by one; the tokens.
+    """As JSON: the rank map (starts of rows, pairs), the ids of single bytes, 1 for each rank whose merges must go one by one; the tokens.
 
     Only the pair that really merges into a token is in the map: no other pair with that token's bytes is ever the best one. After a merge that
     makes the token t, its places can all merge at once unless t with a neighbour makes a token of a lower rank.
@@ -122,7 +118,7 @@ def _literals(path: str) -> tuple[str, ...]:
                         single[x] = 1
         if len(t) > 1 and (pair := _own_merge(t, ranks)):
             pairs.append((ranks[pair[0]], ranks[pair[1]], k))
-    parts = (*_placed(pairs), [ranks[bytes([i])] for i in range(256)], single, tokens)
+    parts = (*_placed(pairs, size), [ranks[bytes([i])] for i in range(256)], single, tokens)
     return tuple(json.dumps(x, separators=(",", ":")) for x in parts)
 
 
@@ -134,55 +130,54 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def encode_words(word: Column, path: str) -> Column:
     """The ids of a word, by ranked merges: the leftmost pair of the lowest rank merges, until no pair has a rank.
 
-    The fold's state is one array of longs, a piece each: the rank of the pair with the next piece above its id, so that the least element is the best
-    pair. A merge replaces three elements by two. Pieces stand between two sentinels. Long words merge all places of the best pair in one step.
+    The fold's state is one array of longs, a piece each, between two sentinels: the rank of the pair with the next piece above the piece's id, so that the
+    least element is the best pair. A merge replaces three elements by two. Long words merge all places of the best pair in one step.
     """
-    names = ("key", "rank", "byte", "single")
+    names = ("start", "pair", "byte", "single")
     literals = F.struct(*(F.from_json(F.lit(x), "array<bigint>").alias(n) for n, x in zip(names, _literals(path), strict=False)))
-    ids_only, none = F.lit((1 << _ID) - 1).cast("long"), F.lit(_NONE << _ID)
+    id_mask, none, rest = F.lit(_EDGE).cast("long"), F.lit(_NONE << _ID), F.lit(1 << 30)
 
     def folded(m: Column) -> Column:
-        def slot(x: Column, y: Column, which: int) -> Column:
-            a, b = (F.lit(f).cast("long") for f in _FACTORS[which])
-            return (x * a + y * b).bitwiseAND(F.lit(_PLACES - 1).cast("long")).cast("int")
-
         def piece(x: Column, y: Column) -> Column:
             """The element of piece x before piece y."""
-            key = F.shiftleft(x, 16).bitwiseOR(y)
-            rank = F.when(F.get(m["key"], slot(x, y, 0)) == key, F.get(m["rank"], slot(x, y, 0))).when(F.get(m["key"], slot(x, y, 1)) == key, F.get(m["rank"], slot(x, y, 1))).otherwise(F.lit(_NONE).cast("long"))
-            return F.shiftleft(rank, _ID).bitwiseOR(x)
+            found = F.get(m["pair"], (F.get(m["start"], x.cast("int")) + y).cast("int"))
+            return F.when(found.bitwiseAND(id_mask) == x, found).otherwise(none.bitwiseOR(x))
 
         def state(ids: Column) -> Column:
-            return F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), piece)
+            return F.zip_with(ids, F.slice(ids, F.lit(2), rest), piece)
 
-        def merged(s: Column, low: Column, p: Column) -> Column:
-            token = F.shiftright(low, _ID)
-            new = F.array(piece(F.get(s, p - 2).bitwiseAND(ids_only), token), piece(token, F.get(s, p + 1).bitwiseAND(ids_only)))
-            return F.concat(F.slice(s, F.lit(1), p - 2), new, F.slice(s, p + 2, F.size(s)))
+        def short(ids: Column) -> Column:
+            def merged(s: Column, low: Column, p: Column) -> Column:
+                token = F.shiftright(low, _ID)
+                new = F.array(piece(F.get(s, p - 2).bitwiseAND(id_mask), token), piece(token, F.get(s, p + 1).bitwiseAND(id_mask)))
+                return F.concat(F.slice(s, F.lit(1), p - 2), new, F.slice(s, p + 2, rest))
 
-        def step(s: Column) -> Column:
-            return _let(F.array_min(s), lambda low: F.when(low >= none, s).otherwise(_let(F.array_position(s, low).cast("int"), lambda p: merged(s, low, p))))
+            def step(s: Column) -> Column:
+                return _let(F.array_position(s, F.array_min(s)).cast("int"), lambda p: F.when(F.get(s, p - 1) >= none, s).otherwise(merged(s, F.get(s, p - 1), p)))
+
+            return F.aggregate(F.slice(ids, F.lit(4), rest), state(ids), lambda s, _: step(s))
 
         def all_merged(s: Column, low: Column) -> Column:
             token = F.shiftright(low, _ID)
             marks = F.array_join(F.transform(s, lambda v: F.when(v == low, "1").otherwise("0")), "")
-            first = F.rpad(F.concat(F.regexp_extract(marks, "^0*", 0), F.lit("1")), F.size(s), F.lit("0"))
-            chosen = F.when(F.get(m["single"], token.cast("int")) == 1, first).otherwise(F.replace(marks, F.lit("11"), F.lit("10")))
+            one = F.rpad(F.concat(F.regexp_extract(marks, "^0*", 0), F.lit("1")), F.size(s), F.lit("0"))
+            chosen = F.when(F.get(m["single"], token.cast("int")) == 1, one).otherwise(F.replace(marks, F.lit("11"), F.lit("10")))
 
             def joined(bits: Column) -> Column:
                 left = lambda i: F.when(F.get(bits, i) == "1", token).when(F.coalesce(F.get(bits, i - 1), F.lit("0")) == "1", F.lit(None))
-                return F.array_compact(F.transform(s, lambda v, i: left(i).otherwise(v.bitwiseAND(ids_only))))
+                return F.array_compact(F.transform(s, lambda v, i: left(i).otherwise(v.bitwiseAND(id_mask))))
 
             return _let(_let(F.split(chosen, ""), joined), state)
 
-        def long_step(s: Column) -> Column:
-            return _let(F.array_min(s), lambda low: F.when(low >= none, s).otherwise(all_merged(s, low)))
+        def long(ids: Column) -> Column:
+            def step(s: Column) -> Column:
+                return _let(F.array_min(s), lambda low: F.when(low >= none, s).otherwise(all_merged(s, low)))
+
+            return F.aggregate(F.slice(ids, F.lit(4), rest), state(ids), lambda s, _: step(s))
 
         def run(ids: Column) -> Column:
-            turns = F.slice(ids, F.lit(3), F.size(ids))
-            short = F.aggregate(turns, state(ids), lambda s, _: step(s))
-            long = F.aggregate(turns, state(ids), lambda s, _: long_step(s))
-            return _let(F.when(F.size(ids) <= LONG, short).otherwise(long), lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda v: v.bitwiseAND(ids_only).cast("int")))
+            done = F.when(F.size(ids) <= LONG, short(ids)).otherwise(long(ids))
+            return _let(done, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda v: v.bitwiseAND(id_mask).cast("int")))
 
         # ISO-8859-1 makes a character of each byte
         ids = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(m["byte"], F.ascii(c)))
@@ -198,10 +193,22 @@ def decode_ids(ids: Column, path: str) -> Column:
     return _let(tokens, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
 
 
+def splits_at_spaces(pattern: str) -> bool:
+    """Whether a text's matches are those of its parts when it is cut before each space; known of this pattern, whose matches hold a space only in front or among white space."""
+    return pattern == public_tokenizers.PATTERN
+
+
 def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, n): every word of all texts, and how often it occurs."""
+    """(word, n): every word of all texts, and how often it occurs. Parts between spaces are counted first, where that makes no difference: fewer are then searched."""
+    parts = docs.where("text is not null")
+    if splits_at_spaces(pattern):
+        cut = parts.select(F.posexplode(F.split("text", " ", -1)).alias("pos", "part"))
+        parts = cut.groupBy((F.col("pos") > 0).alias("spaced"), "part").agg(F.count("*").alias("n"))
+        parts = parts.select(F.when(F.col("spaced"), F.concat(F.lit(" "), F.col("part"))).otherwise(F.col("part")).alias("text"), "n")
+    else:
+        parts = parts.select("text", F.lit(1).cast("long").alias("n"))
     words = F.regexp_extract_all(F.col("text"), F.lit(plain_pattern(pattern)), F.lit(0))
-    return docs.where("text is not null").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return parts.select(F.explode(words).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _least_class(classes: list, most: int) -> int | None:
@@ -218,70 +225,77 @@ def frequent_words(words: DataFrame, most: int) -> DataFrame:
     """Those of (word, n) in the classes of highest n that together hold at most ``most`` words; none of over HOT_BYTES bytes."""
     classed = words.where(F.octet_length("word") <= HOT_BYTES).withColumn("class", F.floor(F.log2("n") * 16).cast("int"))
     least = _least_class(classed.groupBy("class").agg(F.count("*").alias("k")).collect(), most)
-    return classed.where(F.lit(False) if least is None else F.col("class") >= least).select("word", "n", "class")
+    return classed.where(F.lit(False) if least is None else F.col("class") >= least).select("word")
 
 
 def _as_text(ids: Column) -> Column:
     return F.array_join(ids.cast("array<string>"), ",")
 
 
-def _packed(words: DataFrame, path: str) -> dict:
-    """Words and their ids in flat arrays, in the order of the words' digests; the LISTED most frequent apart."""
-    conf = words.sparkSession.conf
-    if int(re.sub(r"\D", "", conf.get("spark.sql.maxPlanStringLength"))) > PLAN_TEXT:
-        conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
-    listed = words.groupBy("class").agg(F.count("*").alias("k")).collect()
-    least = _least_class(listed, LISTED)
-    words = materialize(words.repartition("word"))  # a plan that holds the rank map has no exchange: Spark keeps the text of each plan that it adapts
-    coded = words.select("word", (F.col("class") >= F.lit(1 << 20 if least is None else least)).alias("listed"), encode_words(F.col("word"), path).alias("folded"))
-    coded = materialize(coded.select("word", "listed", F.xxhash64("word").alias("digest"), _as_text(F.col("folded")).alias("ids"), decode_ids(F.col("folded"), path).alias("bytes")))
-    other = coded.where(F.col("word").cast("binary") != F.col("bytes")).select("word", "bytes").toArrow().to_pydict()
-    out = {"listed": coded.where("listed").select("word", "ids").toArrow(), "other": dict(zip(other["word"], other["bytes"], strict=True))}
-    rest = coded.where("not listed").orderBy("digest", "word")
-    out["digest"] = rest.select("digest").toArrow()["digest"].to_numpy()
-    for name in ("word", "ids"):  # a column at a time, to spare the driver's memory
-        parts, sizes = [], [np.zeros(1, np.int64)]
-        for chunk in rest.select(F.col(name).cast("binary").alias(name)).toArrow()[name].chunks:
-            at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-            parts.append(memoryview(chunk.buffers()[2] or b"")[int(at[0]) : int(at[-1])])
-            sizes.append(np.diff(at).astype(np.int64))
-        out[name], out[f"{name}_at"] = b"".join(parts), np.cumsum(np.concatenate(sizes)).astype(np.int32)
-    return out
+def _sent_words(words: DataFrame, path: str) -> list[str]:
+    """Folds words into files that executors fetch from the shared folder; their names."""
+    spark = words.sparkSession
+    if int(re.sub(r"\D", "", spark.conf.get("spark.sql.maxPlanStringLength"))) > PLAN_TEXT:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+    words = materialize(words.select("word"))  # a plan that holds the rank map has no exchange: Spark keeps the text of each plan that it adapts
+    coded = words.coalesce(FILES).select(F.col("word").cast("binary").alias("word"), F.xxhash64("word").alias("digest"), _as_text(encode_words(F.col("word"), path)).alias("ids"))
+    files = materialize(coded).inputFiles()
+    for f in files:
+        spark.sparkContext.addFile(f)
+    return [f.rsplit("/", 1)[1] for f in files]
 
 
 class KnownWords:
-    """Broadcast words: ids by word, and the bytes that these ids decode to."""
-
-    def __init__(self, packed: dict):
-        self.p = packed
-        self.get = dict(zip(packed["listed"]["word"].to_pylist(), packed["listed"]["ids"].to_pylist(), strict=True)).get
-
-    def codes(self, words: list[str]) -> tuple[list, list[int]]:
-        """The ids of each word, as text; and the places of the words that aren't known."""
-        codes = list(map(self.get, words))
-        if None not in codes or not len(self.p["digest"]):
-            return codes, [i for i, c in enumerate(codes) if c is None]
-        p, rare = self.p, [i for i, c in enumerate(codes) if c is None]
-        coded = [words[i].encode() for i in rare]
+    """Words and their ids, as text, in flat arrays; found by their digests."""
+
+    def __init__(self, files: list[str]):
+        kinds = pa.schema([("word", pa.binary()), ("digest", pa.int64()), ("ids", pa.string())])
+        t = pa.concat_tables([pq.read_table(f, schema=kinds) for f in files] or [kinds.empty_table()]).combine_chunks()
+        digests = t["digest"].to_numpy()
+        self.order = np.argsort(digests)
+        self.digests = digests[self.order]
+        self.word, self.word_at = self._flat(t["word"])
+        self.ids, self.ids_at = self._flat(t["ids"])
+
+    @staticmethod
+    def _flat(column: pa.ChunkedArray) -> tuple[memoryview, np.ndarray]:
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+        return memoryview(column.buffers()[2] or b"").cast("B"), np.frombuffer(column.buffers()[1] or bytes(4), np.int32)[column.offset : column.offset + len(column) + 1]
+
+    def codes(self, words: list[str]) -> list[str | None]:
+        """The ids of each word; None for words that aren't known."""
+        codes: list[str | None] = [None] * len(words)
+        if not words or not len(self.digests):
+            return codes
+        coded = [w.encode() for w in words]
         digests = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in coded), np.uint64, len(coded)).view(np.int64)
-        at = np.minimum(np.searchsorted(p["digest"], digests), len(p["digest"]) - 1)
-        hit = (p["digest"][at] == digests).tolist()
-        w0, w1, i0, i1 = (x.tolist() for x in (p["word_at"][at], p["word_at"][at + 1], p["ids_at"][at], p["ids_at"][at + 1]))
-        word, ids, missing = p["word"], p["ids"], []
-        for k, i in enumerate(rare):
-            if hit[k] and word[w0[k] : w1[k]] == coded[k]:
-                codes[i] = ids[i0[k] : i1[k]].decode()
-            else:
-                missing.append(i)
-        return codes, missing
-
-    def decoded(self, words: list[str]) -> bytes:
-        other = self.p["other"]  # words that their ids don't give back; a sound vocabulary has none
-        return b"".join(other.get(w, None) or w.encode() for w in words) if other else "".join(words).encode()
+        at = np.minimum(np.searchsorted(self.digests, digests), len(self.digests) - 1)
+        hits = np.flatnonzero(self.digests[at] == digests)
+        at = self.order[at[hits]]
+        word, ids = self.word, self.ids
+        for i, w0, w1, i0, i1 in zip(*(x.tolist() for x in (hits, self.word_at[at], self.word_at[at + 1], self.ids_at[at], self.ids_at[at + 1])), strict=True):
+            if word[w0:w1] == coded[i]:
+                codes[i] = str(ids[i0:i1], "ascii")
+        return codes
+
+
+class Decoder:
+    """The bytes of ids that are joined by commas: the tokens' bytes, gathered from one array of all of them."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.bytes, self.size = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens])
+        self.start = np.cumsum(self.size) - self.size
+
+    def decode(self, ids: str) -> tuple[int, bytes]:
+        """How many ids there are, and their bytes."""
+        of = np.fromstring(ids, np.int32, sep=",")
+        size = self.size[of]
+        end = np.cumsum(size)
+        return len(of), self.bytes[np.arange(end[-1]) + np.repeat(self.start[of] - end + size, size)].tobytes()
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, hot: int = HOT) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, ids (decimal, joined by commas), decoded (bytes of the ids).
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, ids (decimal, joined by commas), decoded (bytes of the ids).
 
     Each match of ``pattern`` is encoded by itself by the ranks in the file ``path``, without special tokens. A null text counts as empty, and has
     no ids. Repeated rows give repeated rows, an empty table none; other columns are left out.
@@ -291,49 +305,77 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public
     plain, latin = plain_pattern(pattern), latin_pattern(pattern)
 
     words = materialize(distinct_words(docs, pattern))
-    sent = spark.sparkContext.broadcast(_packed(frequent_words(words, hot), path))
-    pa.default_memory_pool().release_unused()
+    files = _sent_words(frequent_words(words, hot), path)
+    tokens = spark.sparkContext.broadcast([bytes.fromhex(t) for t in json.loads(_literals(path)[-1])])
+
+    spaced = splits_at_spaces(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, find = KnownWords(sent.value), regex.compile(plain).findall
+        known = kept(("bpe words", *files), lambda: KnownWords([SparkFiles.get(f) for f in files]))
+        decoder = kept(("bpe tokens", path), lambda: Decoder(tokens.value))
+        memo: dict[str, str] = kept(("bpe parts", *files), dict)
+        find = regex.compile(plain).findall
         find_latin, beyond = (re.compile(latin).findall, re.compile(rf"[^\x00-\x7f{_LATIN}]").search) if latin else (find, bool)
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                ends, ids, decoded, cold = [0], [], [], []
-
-                def add(codes: list[str], words: list[str]) -> None:
-                    if codes:
-                        ids.append(",".join(codes))
-                        decoded.append(known.decoded(words))
-                        cold.append(None)
-
-                for text in part.column(1).to_pylist():
-                    text = text or ""
-                    words = find(text) if beyond(text) else find_latin(text)
-                    codes, missing = known.codes(words)
-                    start = 0
-                    for i in missing:
-                        add(codes[start:i], words[start:i])
-                        ids.append(None)
-                        decoded.append(None)
-                        cold.append(words[i])
-                        start = i + 1
-                    add(codes[start:], words[start:])
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                # a text is its first part, and others that follow a space
+                parts = [t.split(" ")[1:] if spaced else [] for t in texts]
+                firsts = [t.partition(" ")[0] if spaced else t for t in texts]
+                codes = [list(map(memo.get, p)) for p in parts]
+                blank = [[i for i, c in enumerate(cs) if c is None] for cs in codes]
+                new = list(dict.fromkeys(ps[i] for ps, at in zip(parts, blank, strict=True) for i in at))
+                words = [find(t) if beyond(t) else find_latin(t) for t in [*firsts, *(f" {p}" for p in new)]]
+                found = iter(known.codes([w for ws in words for w in ws]))
+                coded = [list(islice(found, len(ws))) for ws in words]
+                place = {p: i for i, p in enumerate(new, len(texts))}
+                whole = {p: ",".join(coded[i]) for p, i in place.items() if None not in coded[i]}
+                for p, c in whole.items():
+                    if len(memo) < MEMO:
+                        memo[p] = c
+                ends, n, ids, decoded, cold = [0], [], [], [], []
+
+                def put(run: list[str], k: int) -> list[str]:
+                    """Adds the words of part k to a run of known ids; a word that isn't known ends it."""
+                    for w, c in zip(words[k], coded[k], strict=True):
+                        if c is None:
+                            close(run)
+                            for column, value in ((n, None), (ids, None), (decoded, None), (cold, w)):
+                                column.append(value)
+                            run = []
+                        else:
+                            run.append(c)
+                    return run
+
+                def close(run: list[str]) -> None:
+                    if run:
+                        done = ",".join(run)
+                        for column, value in ((ids, done), (cold, None), *zip((n, decoded), decoder.decode(done), strict=True)):
+                            column.append(value)
+
+                for k, (ps, cs) in enumerate(zip(parts, codes, strict=True)):
+                    run, start = put([], k), 0
+                    for i in blank[k]:
+                        cs[i] = whole.get(ps[i])
+                        if cs[i] is None:
+                            run, start = put(run + cs[start:i], place[ps[i]]), i + 1
+                    close(run + cs[start:])
                     ends.append(len(ids))
-                runs = pa.StructArray.from_arrays([pa.array(ids, pa.string()), pa.array(decoded, pa.binary()), pa.array(cold, pa.string())], ["ids", "bytes", "word"])
+                runs = pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.binary()), pa.array(cold, pa.string())], ["n", "ids", "bytes", "word"])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)], ["doc_id", "runs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    runs = docs.mapInArrow(run, f"doc_id {kind}, runs array<struct<ids string, bytes binary, word string>>")
+    runs = docs.mapInArrow(run, f"doc_id {kind}, runs array<struct<n long, ids string, bytes binary, word string>>")
 
     def fold(r: Column) -> Column:
-        inline = _let(encode_words(r["word"], path), lambda ids: F.struct(_as_text(ids).alias("ids"), decode_ids(ids, path).alias("bytes")))
-        return F.when(r["word"].isNull(), F.struct(r["ids"].alias("ids"), r["bytes"].alias("bytes"))).otherwise(inline)
+        inline = _let(encode_words(r["word"], path), lambda ids: F.struct(F.size(ids).cast("long").alias("n"), _as_text(ids).alias("ids"), decode_ids(ids, path).alias("bytes")))
+        return F.when(r["word"].isNull(), F.struct(r["n"].alias("n"), r["ids"].alias("ids"), r["bytes"].alias("bytes"))).otherwise(inline)
 
     done = runs.select("doc_id", F.transform("runs", fold).alias("runs"))
     return done.select(
         "doc_id",
+        F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["n"]).alias("n_tokens"),
         F.array_join(F.transform("runs", lambda r: r["ids"]), ",").alias("ids"),
         F.array_join(F.transform("runs", lambda r: r["bytes"].cast("string")), "").cast("binary").alias("decoded"),
     )
@@ -342,13 +384,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public
 def token_digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, hot: int = HOT) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs``."""
     coded = encode_texts(docs, path, pattern, hot)
-    commas = F.length("ids") - F.length(F.replace("ids", F.lit(","), F.lit("")))
-    return coded.select(
-        "doc_id",
-        F.when(F.col("ids") == "", 0).otherwise(commas + 1).cast("long").alias("n_tokens"),
-        F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return coded.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +40,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives; a Python worker keeps it for its next tasks, one value for each first part of ``key``."""
+    store = vars(sys.modules.setdefault("_keyloom_kept", types.ModuleType("_keyloom_kept")))
+    kind = str(key[0])
+    if kind not in store or store[kind][0] != key:
+        store[kind] = (key, make())
+    return store[kind][1]
+
+
 def fixed_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of the input can't clash with ours."""
     return df.select(*(F.col(f"`{n}`") for n in names))
