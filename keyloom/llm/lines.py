@@ -1,15 +1,18 @@
-"""Line dedup by winnowing, with DataFrame operations only.
-
-From every line on, a window holds the fewest lines with WORDS words, but no more than LINES lines. Its fingerprint is its smallest line hash, with that line's
-place, tagged by the hash of the whole window. So each repeated run that holds a whole window (every run of WORDS words or LINES lines does) is
-bound to share a fingerprint. Fingerprints join with their first occurrence in the order of (doc_id, text hash, line), which gives pairs of documents
-and an offset between their lines; along each offset the match is extended both ways while lines agree. The lines of such runs are deleted from the later
-document: each has an equal line before it, so that a first one always stays.
+"""Line dedup by winnowing over line hashes, with DataFrame operations only.
+
+A run of lines is a passage if it has WORDS words or LINES lines. Each line begins a window, the fewest lines that make a passage, and ends one. A window's
+fingerprint is its smallest line hash at its place; windows that lie over one another share them, so that few places are selected. Equal windows select equal
+fingerprints, so a window whose fingerprint's hash is selected at one place only can't repeat, and leaves. From the places that meet, matches are extended both ways,
+to the windows that hold them before and behind: a window repeats if a hash of all its lines has occurred before, in the order of (doc_id, text hash, line). The lines of
+repeated windows are deleted. That takes all of every repeated run and nothing else: a line of a run that is a passage either begins a window within the run, or
+lies in the window that ends with the run. Each deleted line has an equal one before it, so that a first one always stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize, table
@@ -22,66 +25,60 @@ def _words(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, lines: int = LINES) -> DataFrame:
-    """Every line of (doc_id, text): doc_id, th (text hash), pos, h (line hash); of the window from there: n (lines, 0 if it isn't whole), low (place of the minimum), key."""
+def windows(docs: DataFrame, words: int = WORDS, lines: int = LINES) -> DataFrame:
+    """Windows of (doc_id, text): doc_id, th (text hash), start, n (lines), ends (whether the last line ends it, or the first one begins it), low and lh (place and hash of the fingerprint), key (hash of all lines)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     arr = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).alias("w")))
-
-    def window(s: Column) -> Column:
-        grown = F.aggregate(s, F.struct(F.lit(0).alias("n"), F.lit(0).alias("w")), lambda a, x: F.when(a["w"] >= words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + x["w"]).alias("w"))))
-        return F.get(F.transform(F.array(grown), lambda g: F.when((g["w"] >= words) | (g["n"] == lines), g["n"]).otherwise(0)), 0)
-
-    def line(s: Column) -> Column:
-        def of(n: Column) -> Column:
-            hs = F.transform(F.slice(s, F.lit(1), n), lambda x: x["h"])
-            low = F.array_position(hs, F.array_min(hs)).cast("int") - 1
-            return F.struct(F.get(s, 0)["h"].alias("h"), n.alias("n"), low.alias("low"), F.xxhash64(F.array_min(hs), hs).alias("key"))
-
-        return F.get(F.transform(F.array(window(s)), of), 0)
-
     flat = docs.select("doc_id", F.xxhash64(text).alias("th"), arr.alias("arr")).dropDuplicates(["doc_id", "th"])
-    rows = flat.select("doc_id", "th", F.posexplode(F.transform("arr", lambda _, i: line(F.slice(F.col("arr"), i + 1, F.lit(lines))))).alias("pos", "x"))
-    return rows.select("doc_id", "th", "pos", "x.h", "x.n", (F.col("pos") + F.col("x.low")).alias("low"), "x.key")
+    # the lines from each line on, and those up to it from there backwards; slices would read the whole array each time
+    ahead, back = (lambda i: F.array(*(F.get("arr", i + k) for k in range(lines))), lambda i: F.array(*(F.get("arr", i - k) for k in range(lines))))
+    near = F.transform("arr", lambda _, i: F.struct(ahead(i).alias("f"), back(i).alias("b")))
+    each = flat.select("doc_id", "th", F.posexplode(near).alias("pos", "x"))
+    each = each.select("doc_id", "th", "pos", F.explode(F.array(F.struct(F.lit(False).alias("ends"), F.col("x.f").alias("s")), F.struct(F.lit(True).alias("ends"), F.col("x.b").alias("s")))).alias("y"))
+    each = each.select("doc_id", "th", "pos", "y.ends", F.col("y.s.h").alias("h"), F.col("y.s.w").alias("w"))
+    sums = [reduce(lambda a, b: a + b, (F.coalesce(F.get("w", i), F.lit(0)) for i in range(k + 1))) for k in range(lines)]
+    n = F.coalesce(*(F.when(s >= words, k) for k, s in enumerate(sums, 1)), F.lit(lines))
+    own = each.withColumn("n", n).withColumn("h", F.slice("h", F.lit(1), F.col("n"))).where(F.get("h", F.col("n") - 1).isNotNull())
+    own = own.withColumn("h", F.when(F.col("ends"), F.reverse("h")).otherwise(F.col("h"))).withColumn("start", F.when(F.col("ends"), F.col("pos") - F.col("n") + 1).otherwise(F.col("pos")))
+    low = F.col("start") + F.array_position("h", F.array_min("h")).cast("int") - 1
+    return own.select("doc_id", "th", "start", "n", "ends", low.alias("low"), F.array_min("h").alias("lh"), F.xxhash64("h").alias("key"))
+
+
+def repeated_lines(marks: DataFrame) -> DataFrame:
+    """(doc, pos): the lines to delete; doc is a struct of doc_id and th. ``marks`` are windows."""
+    doc = F.struct("doc_id", "th")
+    at = F.struct(doc.alias("doc"), "low")
+    met = marks.groupBy("lh").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("lh")
+    extended = materialize(marks.join(met, "lh", "left_semi").select(doc.alias("doc"), "start", "n", "ends", "key"))
+    place = F.struct("doc", "start")
+    first = extended.groupBy("key", "ends").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "ends", "first")
+    again = extended.join(first, ["key", "ends"]).where(place != F.col("first"))
+    return again.select("doc", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
 
 
-def repeated_lines(marks: DataFrame, extend_within: bool = False) -> DataFrame:
-    """(doc, pos): the lines to delete; doc is a struct of doc_id and th. ``marks`` are fingerprints. With ``extend_within``, runs that repeat their own document are extended too."""
-    doc = F.struct("doc_id", "th")
-    placed = marks.select(doc.alias("doc"), "pos", "h", "n", "key")
-    whole = placed.where("n > 0")
-    first = whole.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count("*").alias("times")).where("times > 1")
-    met = materialize(whole.join(first, "key").where(F.struct("doc", "pos") != F.col("f")).select("doc", "pos", "n", F.col("f.doc").alias("origin"), (F.col("pos") - F.col("f.pos")).alias("shift")))
-    within = met.where("doc = origin").select("doc", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos"))
-    across = met if extend_within else met.where("doc <> origin")  # within a document the first occurrence comes earlier, so the first copy stays
-    along = across.select("doc", "origin", "shift").distinct().join(placed.select("doc", "pos", "h"), "doc")
-    other = placed.select(F.col("doc").alias("origin"), F.col("pos").alias("at"), F.col("h").alias("oh"))
-    same = along.withColumn("at", F.col("pos") - F.col("shift")).join(other, ["origin", "at"]).where("h = oh").select("doc", "origin", "shift", "pos")
-    hit = across.select("doc", "origin", "shift", "pos", F.lit(True).alias("hit"))
-    seen = same.join(hit, ["doc", "origin", "shift", "pos"], "left")
-    diagonal = ["doc", "origin", "shift"]
-    run = F.col("pos") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("pos"))
-    runs = seen.withColumn("run", run)
-    matched = runs.withColumn("matched", F.max(F.coalesce("hit", F.lit(False))).over(Window.partitionBy(*diagonal, "run"))).where("matched")
-    return matched.select("doc", "pos").unionByName(within).distinct()
-
-
-def dedup_lines(docs: DataFrame, words: int = WORDS, lines: int = LINES, extend_within: bool = False) -> DataFrame:
-    """``docs`` with n_lines, n_removed and clean_text, the text without its repeated runs of lines.
+def dedup_lines(docs: DataFrame, words: int = WORDS, lines: int = LINES) -> DataFrame:
+    """``docs`` with n_lines, n_removed and clean_text, the text without its repeated runs of lines; columns of these names are replaced.
 
     Lines end at newlines. A null text counts as empty: one empty line, nothing removed. Rows that repeat doc_id and text are one document and are cleaned alike.
-    Null doc_ids come first in the order. A run within a document is deleted where its window comes again, and extended like others with ``extend_within`` only. An empty table gives no rows.
+    Null doc_ids come first in the order. A run that repeats within a document is deleted where it comes again. An empty table gives no rows.
     """
-    marks = materialize(fingerprints(docs, words, lines))
-    gone = repeated_lines(marks, extend_within).groupBy("doc").agg(F.collect_set("pos").alias("_gone"))
-    key = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), h.cast("string")).alias("_doc")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    gone = repeated_lines(materialize(windows(docs.select("doc_id", "text"), words, lines))).groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+
+    def key(i: Column, h: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), h.cast("string")).alias("doc")
+
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "clean_text")]
-    out = docs.select(*(F.col(f"`{c}`") for c in kept), key(F.col("doc_id"), F.xxhash64(text))).join(gone.select(key(F.col("doc.doc_id"), F.col("doc.th")), "_gone"), "_doc", "left")
-    parts = F.split(text, "\n", -1)
-    clean = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
-    return out.select(*(F.col(f"`{c}`") for c in kept), F.size(parts).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"), clean.alias("clean_text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), text.alias("whole"), key(F.col("doc_id"), F.xxhash64(text)))  # no name of theirs can clash with ours
+    out = named.join(gone.select(key(F.col("doc.doc_id"), F.col("doc.th")), "gone"), "doc", "left")
+    n_lines = F.length("whole") - F.length(F.replace("whole", F.lit("\n"), F.lit(""))) + 1
+    out = out.withColumn("n", n_lines).withColumn("parts", F.when(F.col("gone").isNotNull(), F.split("whole", "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.col("gone"))
+    clean = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n"))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), F.col("n").cast("long").alias("n_lines"), removed.alias("n_removed"), clean.alias("clean_text"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), extend_within=True)
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,42 +7,23 @@ from pyspark.sql import functions as F
 from keyloom.llm import lines as ld
 
 
-def brute(rows, words, lines):
-    """{(doc_id, text): set of deleted line numbers}, window by window."""
-    docs = sorted({(i is not None, i or 0, t or "") for i, t in rows})
-    split = {d: d[2].split("\n") for d in docs}
-
-    def window(ls, i):
-        n = w = 0
-        while w < words and n < lines and i + n < len(ls):
-            w += len(ls[i + n].split(" ")) if ls[i + n] else 0
-            n += 1
-        return tuple(ls[i : i + n]) if w >= words or n == lines else None
-
-    first, gone = {}, {d: set() for d in docs}
-    return docs, split, window, first, gone
-
-
 def deleted(rows, words, lines, order):
-    docs, split, window, first, gone = brute(rows, words, lines)
-    docs.sort(key=lambda d: (d[0], d[1], order[d[2]]))
-    for d in docs:
-        for i in range(len(split[d])):
-            w = window(split[d], i)
-            if w is None:
-                continue
-            if w not in first:
-                first[w] = (d, i)
-                continue
-            o, j = first[w]
-            a, b = i, i + len(w)
-            if o != d:
-                while a > 0 and a - i + j > 0 and split[d][a - 1] == split[o][a - 1 - i + j]:
-                    a -= 1
-                while b < len(split[d]) and b - i + j < len(split[o]) and split[d][b] == split[o][b - i + j]:
-                    b += 1
-            gone[d] |= set(range(a, b))
-    return {(d[1] if d[0] else None, d[2]): gone[d] for d in docs}
+    """{(doc_id, text): set of deleted line numbers}: on every diagonal of every pair of documents, and of each with itself, the whole runs of equal lines that are passages."""
+    docs = sorted({(i is not None, i or 0, t or "") for i, t in rows}, key=lambda d: (d[0], d[1], order[d[2]]))
+    split = [d[2].split("\n") for d in docs]
+    gone = [set() for _ in docs]
+    for k, mine in enumerate(split):
+        for j, other in enumerate(split[: k + 1]):
+            for shift in range(1 if j == k else 1 - len(other), len(mine)):
+                run = []
+                for p in range(max(shift, 0), len(mine) + 1):
+                    if p < len(mine) and 0 <= p - shift < len(other) and mine[p] == other[p - shift]:
+                        run.append(p)
+                        continue
+                    if len(run) >= lines or sum(len(mine[q].split(" ")) if mine[q] else 0 for q in run) >= words:
+                        gone[k] |= set(run)
+                    run = []
+    return {(d[1] if d[0] else None, d[2]): gone[k] for k, d in enumerate(docs)}
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -68,6 +50,7 @@ def test_line_dedup(spark, seed):
         assert (r["n_lines"], r["n_removed"]) == (len(ls), len(gone)), r
         assert r["clean_text"] == "\n".join(x for i, x in enumerate(ls) if i not in gone)
     assert any(r["n_removed"] for r in got)
+    assert ld.repeated_lines(ld.windows(df, 10, 4)).count() == sum(map(len, want.values()))
 
 
 def test_passages_of_fifty_words(spark):
@@ -79,3 +62,17 @@ def test_passages_of_fifty_words(spark):
     for i in (1, 2, 3):
         assert got[i]["clean_text"] == f"start {i}\nend {i}\nlast {i}"
     assert ld.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_repeat_goes_on_after_a_passage_known_from_elsewhere(spark):
+    passage, tail = " ".join(f"p{j}" for j in range(82)), ["ten " * 9 + "words", "nine short", "x", "the end of it"]
+    rows = [(1, passage), (2, "\n".join([passage, *tail])), (3, "\n".join([passage, *tail]))]
+    got = {r["doc_id"]: r["clean_text"] for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: passage, 2: "\n".join(tail), 3: ""}
+
+
+def test_long_texts_of_equal_lines(spark):
+    began = time.time()
+    df = spark.createDataFrame([(i, "\n".join(["the same line"] * 50_000)) for i in (1, 2)], "doc_id long, text string")
+    assert [(r["doc_id"], r["n_removed"]) for r in ld.dedup_lines(df).orderBy("doc_id").collect()] == [(1, 49_999), (2, 50_000)]
+    assert time.time() - began < 60
