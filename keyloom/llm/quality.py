@@ -2,9 +2,9 @@
 
 The target is the text of documents labelled good, the raw text that of all documents. N-grams are taken over words and over
 the words' shapes (which kinds of bytes a word holds, how it begins and ends), so that the models carry over to words never
-seen. A document's log weight is the sum of log(target / raw) over its n-grams. How many documents stay follows from the labels: as
-many as score at or above the cut that parts labelled good from bad documents best. Which ones is sampled without replacement
-by the top k of log weight (above the cut) plus Gumbel noise.
+seen. A document's log weight is the sum of log(target / raw) over its n-grams, less a cut for each word, so that long texts don't win by length. The
+documents that stay are sampled without replacement by these weights: the top k of log weight plus standard Gumbel noise. Unless k is given, it follows from the
+labels: as many as score at or above the cut, which is the one that parts labelled good from bad documents best.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from .shared import materialize, table
 LABELLED = 20_000
 #: log2 of the number of buckets of word unigrams, shape unigrams, bigrams and trigrams.
 BITS = (14, 12, 14, 14)
-#: Added to each bucket's count, and the scale of the Gumbel noise in nats.
-SMOOTHING, TEMPERATURE = 0.5, 0.1
+#: Added to each bucket's count.
+SMOOTHING = 0.5
 
 _STARTS = tuple(int(x) for x in np.concatenate(([0], np.cumsum([1 << b for b in BITS]))))
 _PIECE = 1 << 19
@@ -152,9 +152,9 @@ def _mean() -> Column:
 
 
 def _key(cut: float) -> Column:
-    """Log weight above the cut, plus Gumbel noise from a hash of doc_id."""
+    """Log weight above the cut, plus standard Gumbel noise from a hash of doc_id."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit("gumbel"), F.col("doc_id")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return F.col("log_weight") - F.lit(cut) * F.col("n_words") - F.lit(TEMPERATURE) * F.log(-F.log(u))
+    return F.col("log_weight") - F.lit(cut) * F.col("n_words") - F.log(-F.log(u))
 
 
 def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
@@ -194,39 +194,40 @@ def kth_largest(values: DataFrame, k: int, bins: int = 4096) -> float:
 
 
 class QualityModel:
-    """Fitted ratios, the cut, and the least key that stays."""
+    """Fitted ratios, the cut, and the least key that stays; ``k`` documents stay, or as many as score at or above the cut."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, most: int = LABELLED):
+    def __init__(self, docs: DataFrame, labels: DataFrame, most: int = LABELLED, k: int | None = None):
         labelled = materialize(good_labels(labels, most))
         self.ratios = fit(docs, labelled)
         self.scored = materialize(score(docs.select("doc_id", F.col("text").cast("string").alias("text")), self.ratios).drop("text"))
         known = self.scored.join(F.broadcast(labelled), "doc_id").select(_mean().alias("s"), "good").toArrow()
         self.cut = best_cut(known["s"].to_numpy(), known["good"].to_numpy(zero_copy_only=False).astype(bool)) if len(known) else -np.inf
-        if self.cut > -np.inf:
+        if k is None and self.cut > -np.inf:
             k = self.scored.where(_mean() >= self.cut).count()
-            self.least = kth_largest(self.scored.select(_key(self.cut).alias("v")), k)
-        else:
-            self.least = -np.inf
+        self.least = -np.inf if k is None else kth_largest(self.scored.select(self.key().alias("v")), k)
+
+    def key(self) -> Column:
+        return _key(self.cut if self.cut > -np.inf else 0.0)
 
     def judged(self, scored: DataFrame) -> DataFrame:
         """Adds score, key and kept to (doc_id, log_weight, n_words)."""
-        key = _key(self.cut if self.cut > -np.inf else 0.0)
-        return scored.withColumns({"score": _mean(), "key": key}).withColumn("kept", F.col("key") >= F.lit(self.least))
+        return scored.withColumns({"score": _mean(), "key": self.key()}).withColumn("kept", F.col("key") >= F.lit(self.least))
 
 
-def classify(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, most: int = LABELLED, k: int | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, score (mean log ratio), log_weight, n_words, key, kept.
 
     ``labels`` holds doc_id and quality (0 bad, else good). A null or wordless text has the score 0. Equal keys at the k-th place all stay. Repeated rows
-    are judged alike. Without labels, or with labels of one kind only, every document stays. An empty table gives no rows.
+    are judged alike. ``k`` documents stay, by default as many as score at or above the cut; without labels, or with labels of one kind only, there is no cut, and by default
+    every document stays. An empty table gives no rows.
     """
-    model = QualityModel(docs, labels, most)
+    model = QualityModel(docs, labels, most, k)
     return model.judged(model.scored).select("doc_id", "score", "log_weight", "n_words", "key", "kept")
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
+def drop_low_quality(docs: DataFrame, labels: DataFrame, most: int = LABELLED, k: int | None = None) -> DataFrame:
     """``docs`` without the rows that classify rejects. Texts don't move: the rows are scored again where they are."""
-    model = QualityModel(docs, labels, most)
+    model = QualityModel(docs, labels, most, k)
     at, names = docs.columns.index("text"), docs.columns  # columns are renamed meanwhile, so that none clashes
     named = docs.select(*(F.col(f"`{c}`").cast("string").alias(f"c{i}") if i == at else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     scored = score(named, model.ratios, f"c{at}").withColumn("doc_id", F.col(f"c{names.index('doc_id')}"))

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import langid, quality
 
@@ -152,3 +153,33 @@ def test_quality_odd_rows(spark):
     assert quality.classify(docs, labels.limit(0)).where("kept").count() == 5
     assert quality.classify(docs.limit(0), labels).count() == 0
     assert quality.drop_low_quality(docs, labels).columns == docs.columns
+
+
+def test_classify_is_the_top_k_of_log_weight_plus_gumbel_noise(spark):
+    rng = random.Random(9)
+    good, bad = [f"g{i} word" for i in range(40)], [f"B{i}#!" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.choice([1, 2, 3, 30])))) for i in range(120)] + [(500, None)] * 2 + [(501, rng.choice(good))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    at = {i: quality.ngrams(np.frombuffer((t or "").encode(), np.uint8), np.array([len((t or "").encode())]))[0] for i, t in rows}
+    raw, target = (np.zeros(quality._STARTS[-1]) for _ in range(2))
+    for i, _ in rows:
+        np.add.at(raw, at[i].ravel(), 1)
+        if i < 60 and i % 2:
+            np.add.at(target, at[i].ravel(), 1)
+    ratio = np.zeros(len(raw))
+    for i, j in zip(quality._STARTS, quality._STARTS[1:], strict=False):
+        p, q = target[i:j] + quality.SMOOTHING, raw[i:j] + quality.SMOOTHING
+        ratio[i:j] = np.log(p / p.sum()) - np.log(q / q.sum())
+    weight = {i: ratio[b].sum() / len(quality.BITS) for i, b in at.items()}
+    mean = {i: weight[i] / len(b) if len(b) else 0.0 for i, b in at.items()}
+    cut = quality.best_cut(np.array([mean[i] for i in range(60)]), np.array([i % 2 == 1 for i in range(60)]))
+    hashes = {r[0]: r[1] % (1 << 64) >> 11 for r in docs.select("doc_id", F.xxhash64(F.lit("gumbel"), F.col("doc_id"))).distinct().collect()}
+    key = {i: weight[i] - cut * len(at[i]) - np.log(-np.log((hashes[i] + 0.5) / (1 << 53))) for i in at}
+    for k in (None, 17):
+        n = sum(mean[i] >= cut for i, _ in rows) if k is None else k
+        least = sorted((key[i] for i, _ in rows), reverse=True)[n - 1]
+        got = quality.classify(docs, labels, k=k).collect()
+        assert len(got) == len(rows)
+        assert {r["doc_id"] for r in got if r["kept"]} == {i for i in key if key[i] >= least - 1e-9}
+        assert all(abs(r["key"] - key[r["doc_id"]]) < 1e-6 for r in got)
