@@ -32,7 +32,7 @@ def misra_gries(counts: dict, items, counters: int) -> None:
 
 
 def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """(digest, n, keep_id) of each digest with over 2 / counters of all rows of (doc_id, digest), and of no more than ``counters`` digests.
+    """(digest, n, keep_id) of each digest with over 2 / counters of all rows of (doc_id, digest), and with two at least; of no more than ``counters`` digests.
 
     Every partition gives its Misra-Gries summary; the sums of these lower bounds miss no such digest. The
     candidates are then counted exactly.
@@ -47,11 +47,10 @@ def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
     total = digests.count()
     low = digests.select("digest").mapInArrow(summary, "digest binary, low long")
-    least = 2 * total / counters
+    least = max(1.0, 2 * total / counters)
     # a digest with over `least` rows lost at most total / (counters + 1) of them; fewer than `counters` digests sum to that
     found = low.groupBy("digest").agg(F.sum("low").alias("low")).where(F.col("low") > least - total / (counters + 1)).select("digest")
-    found = materialize(found.where(F.lit(least >= 1)))
-    exact = digests.join(F.broadcast(found), "digest").groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
+    exact = digests.join(F.broadcast(materialize(found)), "digest").groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
     return materialize(exact.where(F.col("n") > least))
 
 
@@ -76,12 +75,14 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """``docs`` without the rows that exact_dedup drops; of rows that repeat a doc_id and its text, one stays."""
+    names = docs.columns  # columns are renamed meanwhile, so that none clashes
+
     def key(digest):
-        return F.concat(digest, F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+        return F.concat(digest, F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("row_key")
 
-    stays = exact_dedup(docs, counters).where("kept").select(key(F.col("text_sha256")).alias("_row_key"))
-    keyed = docs.withColumn("_row_key", key(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    return keyed.join(stays, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    stays = exact_dedup(docs, counters).where("kept").select(key(F.col("text_sha256")))
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), key(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    return keyed.join(stays, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
