@@ -90,8 +90,8 @@ def balance(cells: DataFrame, sources: DataFrame, most: float = MOST) -> DataFra
         done = F.col("done") | (F.abs("e") <= F.col("target") * PRECISION) | (F.col("hi") - F.col("lo") <= 1e-13 * F.abs("lam"))
         state = materialize(s.select("key", "target", "mean", "full", F.when(done, F.col("lam")).otherwise(step).alias("lam"), "lo", "hi", done.alias("done")))
         if state.where("not done").isEmpty():
-            break
-    return state.select("key", "target", "lam", "mean", "full")
+            return state.select("key", "target", "lam", "mean", "full")
+    raise RuntimeError(f"rates are not balanced after {MAX_STEPS} steps")
 
 
 def _uniform(*cols: Column) -> Column:
@@ -160,13 +160,15 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
     def key(size: Column) -> Column:
         return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), size.cast("string"), _key(F.col("source").cast("string")))
 
-    taken = mix(docs, weights, most).groupBy(key(F.col("size")).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    keyed = docs.withColumn("_key", key(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))).join(taken, "_key")
-    once = keyed.where("_rows = 1")
-    again = keyed.where("_rows > 1").withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy("text")))
-    again = again.withColumn("_copies", F.expr("_copies div _rows") + (F.col("_rank") <= F.col("_copies") % F.col("_rows")).cast("long")).drop("_rank")
-    full = once.unionByName(again).where("_copies > 0")
-    return full.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in names))
+    taken = mix(docs, weights, most).groupBy(key(F.col("size")).alias("row_key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    # columns are renamed meanwhile, so that none clashes
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), key(size).alias("row_key")).join(taken, "row_key")
+    once = keyed.where("rows = 1")
+    again = keyed.where("rows > 1").withColumn("place", F.row_number().over(Window.partitionBy("row_key").orderBy(f"c{names.index('text')}")))
+    again = again.withColumn("copies", F.expr("copies div rows") + (F.col("place") <= F.col("copies") % F.col("rows")).cast("long")).drop("place")
+    full = once.unionByName(again).where("copies > 0")
+    return full.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"`{c}`") for c in names))
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
