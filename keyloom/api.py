@@ -45,7 +45,7 @@ def discover(spark: SparkSession, paths: list[str], include: str | None = None,
         if mode not in ("strict", "soft"):
             raise EngineError("INVALID_PARAM_COMBO", f"unknown mode {mode}")
         config = configure(mode, params)
-        engine = Engine(Catalog.of_uploads(spark, paths), config, mode, nulls="memory")
+        engine = Engine(Catalog.of_uploads(spark, paths), config, mode, nulls="memory", infer_types=True)
         out = engine.run(include, max_rows, dot)
         engine.close()
         return out | {"config": asdict(config)}

@@ -11,12 +11,30 @@ from pyspark.sql import functions as F
 
 from . import viz
 from .config import EngineConfig
+from .functions.names import id_like
 from .functions.normalize import memory_clean, sql_clean
 from .operators import inclusion, keys, profile, quality, recommend, selection
 from .plans.cells import frequencies
 from .sources.catalog import Catalog, json_safe
 
 STAGES = ("profiles", "profiles_enhanced", "ucc_unary", "ind", "scored", "relationships", "rel_missing", "duplicates", "duplicates_summary", "default_fk", "default_fk_summary", "surrogate_keys", "surrogate_keys_summary", "ucc_composite", "recommendations")
+_FOUR = ("fk_table", "fk_column", "pk_table", "pk_column")
+#: The order of a stage's rows: columns, those after a minus from high to low.
+ORDER = {
+    "profiles": ("table_name", "column_name"),
+    "profiles_enhanced": ("table_name", "column_name"),
+    "ucc_unary": ("table_name", "column_name"),
+    "ind": ("-distinct_coverage", "-row_coverage", "-fk_non_null_rows", "-fk_distinct", *_FOUR),
+    "scored": ("fk_table", "fk_column", "-score", "-distinct_coverage", "-row_coverage", "-name_sim", "pk_table", "pk_column"),
+    "relationships": ("-score", "-distinct_coverage", "-row_coverage", *_FOUR),
+    "rel_missing": _FOUR,
+    "default_fk": (*_FOUR, "-cnt", "v"),
+    "default_fk_summary": _FOUR,
+    "surrogate_keys": ("-key_role", "-key_kind", "-confidence", "table_name", "column_name"),
+    "surrogate_keys_summary": ("-key_role", "-key_kind", "-confidence", "table_name", "column_name"),
+}
+#: Families of inferred types.
+_FAMILY = {"int": "int", "float": "float", "bool": "bool", "date": "datetime"}
 IMPLIED = {"recommendations": ("rel_missing", "duplicates", "default_fk", "surrogate_keys", "ucc_composite")}
 
 
@@ -35,29 +53,50 @@ def parse_stages(text: str | None) -> list[str]:
 
 
 class Engine:
-    """Stages are worked out when first used and kept. Frequencies are persisted: profiles and inclusions both read them."""
+    """Stages are worked out when first used and kept. Frequencies are persisted: profiles and inclusions both read them.
 
-    def __init__(self, catalog: Catalog, config: EngineConfig | None = None, mode: str = "strict", nulls: str = "sql"):
+    Frames with a row per column or per relationship are collected and made anew, so that plans that build on them stay small. With ``infer_types`` text columns
+    take the family of the type that their values show.
+    """
+
+    def __init__(self, catalog: Catalog, config: EngineConfig | None = None, mode: str = "strict", nulls: str = "sql", infer_types: bool = False):
         if mode not in ("strict", "soft"):
             raise EngineError("INVALID_PARAM_COMBO", f"unknown mode {mode}")
-        self.catalog, self.config, self.mode = catalog, config or EngineConfig(), mode
+        self.catalog, self.config, self.mode, self.infer_types = catalog, config or EngineConfig(), mode, infer_types
         self.clean = {"sql": sql_clean, "memory": memory_clean}[nulls]
         self.seconds: dict[str, float] = {}
 
+    def _small(self, df: DataFrame) -> DataFrame:
+        """A frame with a row per column or relationship, without its lineage."""
+        return self.catalog.spark.createDataFrame(df.toArrow(), df.schema)
+
     @cached_property
-    def freq(self) -> DataFrame:
+    def _counted(self) -> DataFrame:
         return frequencies(self.catalog.tables, self.clean).persist(StorageLevel.MEMORY_AND_DISK)
 
+    @cached_property
+    def _types(self) -> DataFrame:
+        """Inferred types, a row per column."""
+        return self._small(profile.decide_types(profile.type_ratios(self._counted)).select("table_name", "column_name", "atomic_type", "atomic_prob"))
+
+    @cached_property
+    def freq(self) -> DataFrame:
+        if not self.infer_types:
+            return self._counted
+        known = F.create_map(*(F.lit(x) for kv in _FAMILY.items() for x in kv))
+        types = self._types.select("table_name", "column_name", F.try_element_at(known, F.col("atomic_type")).alias("shown"))
+        typed = self._counted.join(F.broadcast(types), ["table_name", "column_name"], "left")  # a row per column
+        return typed.withColumn("family", F.when(F.col("family") == "string", F.coalesce("shown", "family")).otherwise(F.col("family"))).select(*self._counted.columns)
+
     @cached_property
     def profiles(self) -> DataFrame:
-        p = profile.with_empty_tables(profile.profile(self.freq), self.catalog.tables)
-        return profile.with_health(keys.apply_pruning(p, keys.prune(p, self.config.prune))).persist(StorageLevel.MEMORY_AND_DISK)
+        p = self._small(profile.with_empty_tables(self._small(profile.profile(self.freq)), self.catalog.tables))
+        return self._small(profile.with_health(keys.apply_pruning(p, keys.prune(p, self.config.prune))))
 
     @cached_property
     def profiles_enhanced(self) -> DataFrame:
         """Profiles with inferred types, completeness, consistency and quality."""
-        types = profile.decide_types(profile.type_ratios(self.freq)).select("table_name", "column_name", "atomic_type", "atomic_prob")
-        return profile.enhanced(self.profiles, profile.consistency(self.freq)).join(types, ["table_name", "column_name"], "left")
+        return self._small(profile.enhanced(self.profiles, profile.consistency(self.freq)).join(self._types, ["table_name", "column_name"], "left"))
 
     @cached_property
     def ucc_unary(self) -> DataFrame:
@@ -70,8 +109,8 @@ class Engine:
     @cached_property
     def ind(self) -> DataFrame:
         if self.mode == "soft":
-            return self._soft[0]
-        return inclusion.strict_inclusions(self.freq, self.profiles, self.ucc_unary, self.config.strict)
+            return self._small(self._soft[0])
+        return self._small(inclusion.strict_inclusions(self.freq, self.profiles, self.ucc_unary, self.config.strict))
 
     @property
     def rejects(self) -> DataFrame:
@@ -84,7 +123,7 @@ class Engine:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return selection.select_edges(self.scored, self.profiles, self.config.select).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._small(selection.select_edges(self.scored, self.profiles, self.config.select))
 
     @cached_property
     def _edge_list(self) -> list[dict]:
@@ -92,24 +131,37 @@ class Engine:
 
     @cached_property
     def rel_missing(self) -> DataFrame | None:
-        return quality.missing_for_edges(self.catalog.tables, self._edge_list, self.config.missing) if self._edge_list else None
+        return self._small(quality.missing_for_edges(self.catalog.tables, self._edge_list, self.config.missing, self.clean)) if self._edge_list else None
 
     @cached_property
     def duplicates(self) -> dict[str, DataFrame]:
-        return quality.duplicate_checks(self.catalog.tables, self.freq, self.profiles)
+        links: dict[str, list[str]] = {}
+        for e in self._edge_list:
+            links.setdefault(e["fk_table"], []).append(e["fk_column"])
+        return quality.duplicate_checks(self.catalog.tables, self.freq, self.profiles, links)
 
     @cached_property
     def default_fk(self) -> DataFrame | None:
+        """The most frequent values of each foreign key; the table's other id columns are its partners."""
         out = None
         for e in self._edge_list:
-            r = quality.default_keys(self.catalog.tables[e["fk_table"]], e["fk_column"], self.catalog.tables[e["pk_table"]], e["pk_column"], cfg=self.config.defaults, clean=self.clean)
+            partners = tuple(r[0] for r in self.profiles.where((F.col("table_name") == e["fk_table"]) & id_like(F.col("column_name"))).select("column_name").collect() if r[0] != e["fk_column"])
+            r = quality.default_keys(self.catalog.tables[e["fk_table"]], e["fk_column"], self.catalog.tables[e["pk_table"]], e["pk_column"], partners, cfg=self.config.defaults, clean=self.clean)
             r = r.select(*(F.lit(e[c]).alias(c) for c in ("fk_table", "fk_column", "pk_table", "pk_column")), "*")
             out = r if out is None else out.unionByName(r)
-        return out
+        return None if out is None else self._small(out)  # a few values a relationship
+
+    @cached_property
+    def default_fk_summary(self) -> DataFrame | None:
+        """Per relationship how many values are flagged, and the most frequent value with its signs."""
+        if self.default_fk is None:
+            return None
+        top = F.max_by(F.struct("v", "ratio", "reasons"), F.struct("ratio", "cnt"))
+        return self.default_fk.groupBy(*_FOUR).agg(F.count_if("flagged").alias("flagged_values"), top.alias("top")).select(*_FOUR, "flagged_values", "top.*")
 
     @cached_property
     def surrogate_keys(self) -> DataFrame:
-        return keys.surrogate_keys(self.profiles, keys.uuid_like(self.freq), self.ucc_unary, self.edges)
+        return self._small(keys.surrogate_keys(self.profiles, self._small(keys.uuid_like(self.freq)), self.ucc_unary, self.edges))
 
     @cached_property
     def ucc_composite(self) -> list[tuple[str, tuple[str, ...]]]:
@@ -121,14 +173,14 @@ class Engine:
 
     @cached_property
     def recommendations(self) -> dict[str, DataFrame]:
-        pks = recommend.primary_keys(self.ucc_unary, self.profiles, self.edges)
+        pks = self._small(recommend.primary_keys(self.ucc_unary, self.profiles, self.edges))
         missing = self.rel_missing if self.rel_missing is not None else self.edges.withColumn("orphan_fk_ratio", F.lit(None).cast("double"))
-        fks = recommend.foreign_keys(self.edges, missing)
+        fks = self._small(recommend.foreign_keys(self.edges, missing))
         comps = recommend.composite_keys(self.ucc_composite, self.catalog.spark)
         return {"primary_key": pks, "foreign_keys": fks, "composite_keys": comps, "datatypes": recommend.datatypes(self.profiles), "indexes": recommend.indexes(pks, fks, comps, self.profiles)}
 
     def stage(self, name: str):
-        of = {"ind": "ind", "scored": "scored", "relationships": "edges", "duplicates_summary": "duplicates", "default_fk_summary": "default_fk", "surrogate_keys_summary": "surrogate_keys"}
+        of = {"ind": "ind", "scored": "scored", "relationships": "edges", "duplicates_summary": "duplicates", "surrogate_keys_summary": "surrogate_keys"}
         return getattr(self, of.get(name, name))
 
     def run(self, stages: str | None = None, max_rows: int = 500, dot: bool = False) -> dict:
@@ -138,7 +190,7 @@ class Engine:
             began = time.time()
             try:
                 got = self.stage(name)
-                out["stages"][name] = {"status": "ok", "data": self._payload(got, max_rows)} if got is not None else {"status": "NOT_COMPUTED"}
+                out["stages"][name] = {"status": "ok", "data": self._payload(got, max_rows, ORDER.get(name, ()))} if got is not None else {"status": "NOT_COMPUTED"}
             except Exception as e:  # noqa: BLE001
                 out["stages"][name] = {"status": "STAGE_FAILED", "message": str(e)[:500]}
             self.seconds[name] = round(time.time() - began, 4)
@@ -149,14 +201,14 @@ class Engine:
         out["runtime_sec"] = self.seconds
         return out
 
-    def _payload(self, got, n: int):
+    def _payload(self, got, n: int, order: tuple[str, ...] = ()):
         if isinstance(got, DataFrame):
-            return [r.asDict(recursive=True) for r in json_safe(got).limit(n).collect()]
+            by = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order if c.lstrip("-") in got.columns]
+            return [r.asDict(recursive=True) for r in json_safe(got.orderBy(*by) if by else got).limit(n).collect()]
         if isinstance(got, dict):
             return {k: self._payload(v, n) for k, v in got.items()}
         return got[:n]
 
     def close(self) -> None:
-        for name in ("freq", "profiles", "edges"):
-            if name in self.__dict__:
-                self.__dict__[name].unpersist()
+        if "_counted" in self.__dict__:
+            self._counted.unpersist()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,11 +70,11 @@ def classify_missing(result: DataFrame, edge: dict, cfg: MissingConfig = Missing
     return result.withColumns({"status": F.when(fail, "fail").when(warn, "warning").otherwise("ok"), "severity": F.when(fail, "high").when(warn, "medium").otherwise("low"), "likely_causes": F.array_compact(F.array(*(F.when(c, n) for c, n in causes)))})
 
 
-def missing_for_edges(tables: dict[str, DataFrame], edges: list[dict], cfg: MissingConfig = MissingConfig()) -> DataFrame:
+def missing_for_edges(tables: dict[str, DataFrame], edges: list[dict], cfg: MissingConfig = MissingConfig(), clean: Clean = sql_clean) -> DataFrame:
     """relational_missing and its class for each selected edge."""
 
     def of(e: dict) -> DataFrame:
-        r = classify_missing(relational_missing(tables[e["fk_table"]], e["fk_column"], tables[e["pk_table"]], e["pk_column"]), e, cfg)
+        r = classify_missing(relational_missing(tables[e["fk_table"]], e["fk_column"], tables[e["pk_table"]], e["pk_column"], clean), e, cfg)
         return r.select(*(F.lit(e[c]).alias(c) for c in ("fk_table", "fk_column", "pk_table", "pk_column")), "*")
 
     return reduce(DataFrame.unionByName, map(of, edges))
@@ -85,9 +86,12 @@ def key_duplicates(freq: DataFrame, profiles: DataFrame, natural: bool = False,
     wanted = natural_like(name) & (F.col("unique_ratio_non_null") >= 0.70) if natural else id_like(name) & (F.col("unique_ratio_non_null") >= 0.98)
     cols = profiles.where((F.col("n_non_null") >= 20) & wanted)
     again = freq.where("v is not null and cnt > 1").join(cols.select("table_name", "column_name", "n_non_null"), ["table_name", "column_name"])
-    w = Window.partitionBy("table_name", "column_name").orderBy(F.desc("cnt"), "v")
-    g = again.withColumn("k", F.row_number().over(w)).groupBy("table_name", "column_name", "n_non_null").agg(F.sum(F.col("cnt") - 1).alias("duplicate_rows"), F.count("*").alias("duplicate_values"), F.sort_array(F.collect_list(F.when(F.col("k") <= max_examples, F.struct("k", "v", "cnt")))).alias("examples"))
-    return g.select("table_name", "column_name", "duplicate_rows", "duplicate_values", F.round(F.col("duplicate_rows") / F.col("n_non_null"), 6).alias("duplicate_ratio"), "examples")
+    two = ["table_name", "column_name"]
+    g = again.groupBy(*two, "n_non_null").agg(F.sum(F.col("cnt") - 1).alias("duplicate_rows"), F.count("*").alias("duplicate_values"))
+    # a filter on the rank lets each task keep its first ones only
+    top = again.withColumn("k", F.row_number().over(Window.partitionBy(*two).orderBy(F.desc("cnt"), "v"))).where(F.col("k") <= max_examples)
+    g = g.join(top.groupBy(*two).agg(F.sort_array(F.collect_list(F.struct("k", "v", "cnt"))).alias("examples")), two)
+    return g.select(*two, "duplicate_rows", "duplicate_values", F.round(F.col("duplicate_rows") / F.col("n_non_null"), 6).alias("duplicate_ratio"), "examples")
 
 
 def overlaps(freq: DataFrame, columns: DataFrame, same_name: bool = False, within: bool = False, least: float = 0.10) -> DataFrame:
@@ -145,7 +149,7 @@ def duplicate_preview(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def repeated_links(df: DataFrame, left: str, right: str) -> DataFrame:
-    return df.groupBy(F.col(left).alias("left_value"), F.col(right).alias("right_value")).agg(F.count("*").alias("n")).where("n > 1")
+    return df.groupBy(F.col(f"`{left}`").alias("left_value"), F.col(f"`{right}`").alias("right_value")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def cardinality_violations(df: DataFrame, left: str, right: str, expected: str = "one_to_one") -> DataFrame:
@@ -160,18 +164,49 @@ def cardinality_violations(df: DataFrame, left: str, right: str, expected: str =
     return reduce(DataFrame.unionByName, parts)
 
 
-def duplicate_checks(tables: dict[str, DataFrame], freq: DataFrame, profiles: DataFrame) -> dict[str, DataFrame]:
-    """The checks on columns of all tables, by name."""
+def signature_choice(profiles: DataFrame) -> dict[str, tuple[list[str], list[str]]]:
+    """For each table the id columns, and the columns of a signature: the first natural key, or else two or more columns that are neither ids nor nearly unique nor of few values."""
+    name, unique = F.col("column_name"), F.col("unique_ratio_non_null")
+    ids, natural = id_like(name) & (unique >= 0.98), natural_like(name) & (unique >= 0.70)
+    other = ~id_like(name) & (unique <= 0.95) & (F.col("n_unique") > 5)
+    kind = F.when(ids, "id").when(natural, "natural").when(other, "other")
+    out: dict[str, tuple[list[str], list[str]]] = {}
+    rows = profiles.where(F.col("n_non_null") >= 20).select("table_name", "column_name", kind.alias("kind")).where("kind is not null").orderBy("table_name", "column_name").collect()  # a row per column
+    for t in dict.fromkeys(r["table_name"] for r in rows):
+        of = {k: [r["column_name"] for r in rows if r["table_name"] == t and r["kind"] == k] for k in ("id", "natural", "other")}
+        columns = of["natural"][:1] or of["other"]
+        if len(columns) >= (1 if of["natural"] else 2):
+            out[t] = (of["id"], columns)
+    return out
+
+
+def duplicate_checks(tables: dict[str, DataFrame], freq: DataFrame, profiles: DataFrame, links: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """The checks on columns and rows of all tables, by name. ``links`` are tables' foreign keys: rows that repeat a pair of them are listed."""
     ids = profiles.where(id_like(F.col("column_name")))
     keys = profiles.where(id_like(F.col("column_name")) | natural_like(F.col("column_name")))
-    return {
+    named = lambda parts: reduce(DataFrame.unionByName, parts)
+    out = {
         "key_values": key_duplicates(freq, profiles),
         "natural_key_values": key_duplicates(freq, profiles, natural=True),
         "overlap_same_name": overlaps(freq, profiles, same_name=True),
         "overlap_keys": overlaps(freq, keys),
         "within_table": overlaps(freq, ids, within=True),
-        "exact_rows": reduce(DataFrame.unionByName, (duplicate_rows(d).withColumn("table_name", F.lit(n)) for n, d in tables.items())),
+        "exact_rows": named(duplicate_rows(d).withColumn("table_name", F.lit(n)) for n, d in tables.items()),
     }
+    chosen = signature_choice(profiles)
+    conflicts = [signature_conflicts(tables[t], i, columns).withColumn("table_name", F.lit(t)) for t, (of, columns) in chosen.items() for i in of]
+    if conflicts:
+        out["signatures"] = named(conflicts)
+        parts = {t: out["signatures"].where(F.col("table_name") == t) for t in dict.fromkeys(t for t, (of, _) in chosen.items() if of)}
+        out["signatures_collapsed"] = named(collapse_signatures(d).withColumn("table_name", F.lit(t)) for t, d in parts.items()).orderBy("table_name", F.desc("max_distinct_ids"), "signature")
+        out["signatures_summary"] = named(summarise_signatures(collapse_signatures(d)).withColumn("table_name", F.lit(t)) for t, d in parts.items()).where("signatures > 0").orderBy(F.desc("signatures"), "table_name")
+    if chosen:
+        out["subset_rows"] = named(duplicate_rows(tables[t], columns).withColumns({"table_name": F.lit(t), "columns": F.lit(",".join(columns))}) for t, (_, columns) in chosen.items())
+    pairs = [(t, a, b) for t, fks in (links or {}).items() for a, b in combinations(sorted(set(fks)), 2)]
+    if pairs:
+        text = lambda c: F.col(c).cast("string").alias(c)
+        out["repeated_links"] = named(repeated_links(tables[t], a, b).select(F.lit(t).alias("table_name"), F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), text("left_value"), text("right_value"), "n") for t, a, b in pairs)
+    return out
 
 
 def is_sentinel(v: Column, cfg: DefaultConfig = DefaultConfig()) -> Column:

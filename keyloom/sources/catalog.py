@@ -45,8 +45,10 @@ class Catalog:
     def add_parquet(self, name: str, path: str) -> None:
         self.add(name, self.spark.read.parquet(path))
 
-    def add_csv(self, name: str, path: str, header: bool = True, all_text: bool = False, nulls: Iterable[str] = ()) -> None:
-        df = self.spark.read.option("header", header).option("inferSchema", not all_text).option("mode", "DROPMALFORMED").csv(path)
+    def add_csv(self, name: str, path: str, header: bool = True, all_text: bool = False, nulls: Iterable[str] = (), multi_line: bool = False) -> None:
+        """No row is dropped: a row that is too short ends in nulls. With ``multi_line`` quoted fields may hold newlines; a file is then one task's."""
+        reader = self.spark.read.option("header", header).option("inferSchema", not all_text).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line)
+        df = reader.csv(path)
         self.add(name, null_tokens_to_null(df, nulls) if nulls else df)
 
     def add_path(self, name: str, path: str, all_text: bool = False) -> None:
@@ -75,7 +77,7 @@ class Catalog:
         out = cls(spark)
         for p in paths:
             try:
-                out.add_csv(table_name(p), p, all_text=True, nulls=CSV_NULLS)
+                out.add_csv(table_name(p), p, all_text=True, nulls=CSV_NULLS, multi_line=True)
             except Exception as e:
                 raise CatalogError("CSV_READ_FAILED", f"{p}: {e}") from e
             if not out.tables[table_name(p)].columns:

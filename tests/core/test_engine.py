@@ -16,7 +16,9 @@ from keyloom.streaming import incremental
 
 @pytest.fixture(scope="module")
 def engine(spark):
-    return Engine(Catalog(spark, fixtures.retail(spark)))
+    e = Engine(Catalog(spark, fixtures.retail(spark)))
+    yield e
+    e.close()
 
 
 def test_finds_the_true_edges(engine):
@@ -28,6 +30,11 @@ def test_run_gives_payloads(engine):
     out = engine.run("profiles,ucc_unary,relationships,recommendations", dot=True)
     assert {s: x["status"] for s, x in out["stages"].items()} == dict.fromkeys(["profiles", "ucc_unary", "relationships", "recommendations", "rel_missing", "duplicates", "default_fk", "surrogate_keys", "ucc_composite"], "ok")
     assert out["summary"]["total"] >= 4 and out["summary"]["required"] == out["summary"]["total"]
+    scores = [r["score"] for r in out["stages"]["relationships"]["data"]]
+    assert scores == sorted(scores, reverse=True)
+    columns = [(r["table_name"], r["column_name"]) for r in out["stages"]["profiles"]["data"]]
+    assert columns == sorted(columns)
+    assert {"key_values", "exact_rows", "subset_rows"} <= set(out["stages"]["duplicates"]["data"])
     assert out["dot"].startswith("digraph") and '"customers" -> "orders"' in out["dot"]
     assert all(r["orphan_fk_ratio"] == 0 for r in out["stages"]["rel_missing"]["data"])
     text = json.loads(recommend.to_json(engine.recommendations, engine.catalog.list_tables()))
@@ -108,11 +115,11 @@ def test_score_is_bounded_and_monotone(spark):
 
 def test_csv_and_sinks(spark, tmp_path):
     p = tmp_path / "my.table.csv"
-    p.write_text("id,txt\n1,NULL\n2,n/a\n3,ok\n")
+    p.write_text('id,txt\n1,NULL\n2,n/a\n3,ok\n4,"a ""b""\nc"\n5\n')
     c = Catalog.of_uploads(spark, [str(p)])
     assert c.list_tables() == ["my.table"] and table_name("/a/b.csv") == "b"
-    assert [r["txt"] for r in c.tables["my.table"].orderBy("id").collect()] == [None, None, "ok"]
-    assert c.describe("my.table") == [("id", "string"), ("txt", "string")] and c.count_rows("my.table") == 3
+    assert [r["txt"] for r in c.tables["my.table"].orderBy("id").collect()] == [None, None, "ok", 'a "b"\nc', None]
+    assert c.describe("my.table") == [("id", "string"), ("txt", "string")] and c.count_rows("my.table") == 5
     assert "id,txt" in c.preview("my.table", 2)
     with pytest.raises(CatalogError):
         Catalog.of_uploads(spark, [])
@@ -120,9 +127,9 @@ def test_csv_and_sinks(spark, tmp_path):
         Catalog.of_uploads(spark, ["x.csv"] * 31)
     with pytest.raises(ValueError):
         c.add_path("x", "x.txt")
-    c.add_csv("typed", str(p))
+    c.add_csv("typed", str(p), multi_line=True)
     assert c.describe("typed")[0] == ("id", "int")
-    assert c.scalar("select max(id) from typed") == 3 and c.scalar("select null", 7) == 7
+    assert c.scalar("select max(id) from typed") == 5 and c.scalar("select null", 7) == 7
     df = spark.createDataFrame([(1, [1, 2], float("inf"))], "a int, b array<int>, c double")
     write_csv(df, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).first()["b"] == "[1,2]"
@@ -184,6 +191,7 @@ def test_api(spark, tmp_path):
     assert out["config"]["select"]["min_score"] == 0.5
     assert [r["relationship"] for r in out["stages"]["relationships"]["data"]] == ["b.id -> a.id"]
     assert {"overall_quality", "atomic_type"} <= set(out["stages"]["profiles_enhanced"]["data"][0])
+    assert {r["column_name"]: r["dtype_family"] for r in out["stages"]["profiles_enhanced"]["data"] if r["table_name"] == "a"} == {"id": "int", "name": "string"}
     codes = [api.discover(spark, [str(a)], **k)["error"]["code"] for k in ({"include": "x"}, {"mode": "x"}, {"soft_routing_sim": 0.1}, {"min_edge_score": 2}, {"max_rows": 0}, {"what": 1})]
     assert codes == ["UNKNOWN_STAGE", "INVALID_PARAM_COMBO", "INVALID_PARAM_COMBO", "PARAM_OUT_OF_RANGE", "PARAM_OUT_OF_RANGE", "UNKNOWN_PARAM"]
     assert api.discover(spark, [])["error"]["code"] == "NO_FILES" and api.health()["status"] == "ok"
