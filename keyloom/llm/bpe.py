@@ -30,7 +30,7 @@ from .shared import kept, materialize, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: How many words are sent to executors at most, of how many bytes each, and in how many files; parts between spaces that a worker remembers.
-HOT, HOT_BYTES, FILES, MEMO = 1 << 21, 32, 8, 1 << 18
+HOT, HOT_BYTES, FILES, MEMO = 1 << 20, 32, 8, 1 << 16
 #: Characters of a plan's text that the driver keeps, at most: plans here hold the rank map.
 PLAN_TEXT = 100_000
 #: Words of more bytes merge all places of the best pair in one step.
@@ -250,12 +250,14 @@ class KnownWords:
 
     def __init__(self, files: list[str]):
         kinds = pa.schema([("word", pa.binary()), ("digest", pa.int64()), ("ids", pa.string())])
-        t = pa.concat_tables([pq.read_table(f, schema=kinds) for f in files] or [kinds.empty_table()]).combine_chunks()
+        t = pa.concat_tables([pq.read_table(f, schema=kinds, use_threads=False) for f in files] or [kinds.empty_table()]).combine_chunks()
         digests = t["digest"].to_numpy()
-        self.order = np.argsort(digests)
+        self.order = np.argsort(digests).astype(np.int32)
         self.digests = digests[self.order]
         self.word, self.word_at = self._flat(t["word"])
         self.ids, self.ids_at = self._flat(t["ids"])
+        del t, digests
+        pa.default_memory_pool().release_unused()
 
     @staticmethod
     def _flat(column: pa.ChunkedArray) -> tuple[memoryview, np.ndarray]:
@@ -311,7 +313,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public
     spaced = splits_at_spaces(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept(("bpe words", *files), lambda: KnownWords([SparkFiles.get(f) for f in files]))
+        known = KnownWords([SparkFiles.get(f) for f in files])  # not kept: idle workers would hold its memory through other stages
         decoder = kept(("bpe tokens", path), lambda: Decoder(tokens.value))
         memo: dict[str, str] = kept(("bpe parts", *files), dict)
         find = regex.compile(plain).findall
