@@ -1,8 +1,8 @@
 """Embedding near-dedup: exact cosine links by dual traversal of cover trees.
 
 Unit vectors link when their distance is at most sqrt(2 - 2 * cosine). Equal vectors of a label are reduced to one first. The
-vectors of a label (and dimension) form blocks of about BLOCK vectors: around pivots if there are many. Pairs of blocks whose covering balls are too far apart are dropped; the other
-pairs go to a task each, which builds a cover tree (nested levels, radii halving) of either block and walks pairs of nodes from
+vectors of a label (and dimension) form blocks of about BLOCK vectors: the leaves of a tree of cells around pivots, which Spark splits level by level. Pairs of cells whose covering balls are
+too far apart are dropped on every level; the other pairs of blocks go to a task each, which builds a cover tree (nested levels, radii halving) of either block and walks pairs of nodes from
 the roots: a pair is dropped if its balls are too far apart, counted whole if its farthest points still link, and else opened; at the leaves cosines are
 computed in double precision. A task gives each vector's number of links and its group within the task, not the links.
 """
@@ -11,17 +11,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import connected_components, materialize, table
 
 COSINE = 0.93
-#: Vectors of a block, about; pivots at most (a bounded sample); points of a leaf.
-BLOCK, PIVOTS, LEAF = 8192, 512, 32
+#: Vectors of a block, about; children of a cell on average at most, and levels of cells; points of a leaf.
+BLOCK, FAN, DEPTH, LEAF = 8192, 256, 6, 32
 #: Distances of nearly equal points are off by about 1e-8.
 _SLACK = 1e-6
 _BATCH = 512
@@ -203,41 +204,99 @@ def _keyed(vectors: DataFrame) -> DataFrame:
     return v.mapInArrow(run, "vec_id long, kind string, digest binary, embedding array<double>")
 
 
-def _blocks(distinct: DataFrame, block: int) -> DataFrame:
-    """Adds block (a name), and gap (distance to the block's pivot) to (rep, kind, copies, embedding)."""
-    sizes = distinct.groupBy("kind").agg(F.count("*").alias("n"))
-    sized = distinct.join(sizes, "kind")
-    large = sizes.where(F.col("n") > block).agg(F.sum("n")).first()[0] or 0
-    share = min(1.0, min(PIVOTS, large / block) / max(large, 1))
-    picked = sized.where(F.col("n") > block).where(F.shiftrightunsigned(F.xxhash64("rep"), 11) < F.lit(int(share * (1 << 53)))).select("embedding").limit(2 * PIVOTS).toArrow()
-    pivots = [u for u in _units(picked["embedding"].combine_chunks()) if u is not None] if picked.num_rows else []
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Unit vectors, a row each, of vectors of one dimension that have some."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
+
+
+def _uniform(*keys: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
+
+
+def _pivots(crowded: DataFrame, level: int, block: int) -> DataFrame:
+    """(cell, pivot, centre): of each crowded cell about as many vectors, as units, as it should have children; FAN on average at most."""
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells, gaps = [], []
-            for u, n in zip(_units(b.column(3)), b.column(4).to_pylist(), strict=True):
-                d = [float(np.sqrt(max(0.0, 2 - 2 * (u @ p)))) if len(p) == len(u) else 9.0 for p in pivots] if n > block else []
-                cells.append(int(np.argmin(d)) if d and min(d) < 9 else -1)
-                gaps.append(min(d) if d and min(d) < 9 else 2.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(cells, pa.int32()), pa.array(gaps)], ["rep", "kind", "copies", "embedding", "cell", "gap"])
-
-    celled = materialize(sized.select("rep", "kind", "copies", "embedding", "n").mapInArrow(run, "rep long, kind string, copies long, embedding array<double>, cell int, gap double"))
-    crowd = celled.groupBy("kind", "cell").agg(F.ceil(F.count("*") / F.lit(float(block))).alias("parts"))
-    part = F.pmod(F.xxhash64(F.lit("part"), F.col("rep")), F.col("parts"))
-    named = celled.join(crowd, ["kind", "cell"]).select("rep", "kind", "copies", "embedding", "cell", "gap", F.concat_ws("/", "kind", F.col("cell").cast("string"), part.cast("string")).alias("block"))
-    return materialize(named), pivots
-
-
-def _block_pairs(blocks: DataFrame, pivots: list[np.ndarray], cosine: float) -> DataFrame:
-    """(pair, block, side): pairs of blocks of a kind, each with itself, too, whose covering balls come within reach."""
-    balls = blocks.groupBy("kind", "block", "cell").agg(F.max("gap").alias("radius"))
+            centres = pa.array(_units(b.column(2)), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), centres], ["cell", "pivot", "centre"])
+
+    children = F.least(F.lit(float(FAN)), F.ceil(2 * F.col("n") / F.lit(block)))
+    picked = crowded.where("rep is not null").where(_uniform(F.lit(f"pivot {level}"), F.col("rep")) < children / F.col("n"))
+    return materialize(picked.select("cell", F.col("rep").alias("pivot"), "embedding").mapInArrow(units, "cell string, pivot long, centre array<double>"))
+
+
+def _nearest(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Adds pivot (the nearest one; of equally near ones the smallest) and gap (its distance); null without pivots."""
+    rows = rows.select(["rep", "kind", "copies", "embedding", "cell"])
+    if not rows.num_rows or not pivots.num_rows:
+        return rows.append_column("pivot", pa.nulls(rows.num_rows, pa.int64())).append_column("gap", pa.nulls(rows.num_rows, pa.float64()))
+    pivots = pivots.sort_by("pivot").combine_chunks()
+    centres = _matrix(pivots["centre"].combine_chunks())
+    parts = [_distances(_matrix(b.column("embedding")), centres) for b in rows.to_batches(_BATCH)]
+    nearest = np.concatenate([d.argmin(1) for d in parts])
+    gaps = np.concatenate([d.min(1) for d in parts])
+    return rows.append_column("pivot", pa.array(pivots["pivot"].to_numpy()[nearest])).append_column("gap", pa.array(gaps))
+
+
+def _blocks(distinct: DataFrame, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rep, kind, copies, embedding, cell): the leaves of a tree of cells, of about ``block`` vectors at most; and its levels (parent, cell, centre, radius).
+
+    A kind is a root. Cells that are too large are split around pivots of their own, level by level; a cell's vectors and pivots meet in tasks of a few blocks. Only cells that
+    DEPTH levels leave too large, as vectors of one direction do, are split by a hash; the parts keep their cell's ball.
+    """
+    rows, leaves, levels = distinct.withColumn("cell", F.col("kind")), [], []
+    for level in range(DEPTH + 1):
+        sizes = materialize(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block))
+        leaves.append(rows.join(sizes, "cell", "left_anti"))
+        if sizes.isEmpty():
+            break
+        crowded = rows.join(sizes, "cell")
+        if level == DEPTH:
+            part = F.pmod(F.xxhash64(F.lit("part"), F.col("rep")), F.ceil(F.col("n") / F.lit(block)))
+            parts = materialize(crowded.withColumn("parent", F.col("cell")).withColumn("cell", F.concat_ws("#", "cell", part.cast("string"))).drop("n"))
+            levels.append(parts.select("parent", "cell").distinct().withColumns({"centre": F.lit(None).cast("array<double>"), "radius": F.lit(None).cast("double")}))
+            leaves.append(parts.drop("parent"))
+            break
+        pivots = _pivots(crowded, level, block)
+        slices = F.ceil(F.col("n") / F.lit(4 * block))
+        sliced = crowded.withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), F.col("rep")), slices))
+        sent = pivots.join(sizes, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("n")
+        moved = sliced.groupBy("cell", "slice").cogroup(sent.groupBy("cell", "slice")).applyInArrow(_nearest, "rep long, kind string, copies long, embedding array<double>, cell string, pivot long, gap double")
+        moved = materialize(moved)
+        child = F.concat_ws("/", "cell", F.col("pivot").cast("string"))  # the cell itself, if it has no pivot this time
+        balls = moved.where("pivot is not null").groupBy("cell", "pivot").agg(F.max("gap").alias("radius"))
+        levels.append(materialize(balls.join(pivots, ["cell", "pivot"]).select(F.col("cell").alias("parent"), child.alias("cell"), "centre", "radius")))
+        rows = moved.select("rep", "kind", "copies", "embedding", child.alias("cell"))
+    names = ["rep", "kind", "copies", "embedding", "cell"]
+    return materialize(reduce(DataFrame.unionByName, (x.select(*names) for x in leaves))), levels
+
+
+def _block_pairs(blocks: DataFrame, levels: list[DataFrame], cosine: float) -> DataFrame:
+    """(a, b): pairs of leaf cells of a kind, each with itself, too, whose covering balls come within reach.
+
+    The pairs of a level are those of its children whose parents' balls come within reach, so that cells far apart never meet.
+    """
     reach = float(np.sqrt(2 - 2 * cosine)) + _SLACK
-    apart = [[float(np.sqrt(max(0.0, 2 - 2 * (p @ q)))) if len(p) == len(q) else 0.0 for q in pivots] for p in pivots] or [[0.0]]
-    a, b = (balls.select("kind", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "cell", "radius"))) for s in "ab")
-    between = F.when((F.col("cell_a") < 0) | (F.col("cell_b") < 0), 0.0).otherwise(F.get(F.get(F.lit(apart), F.col("cell_a")), F.col("cell_b")))
-    met = a.join(b, "kind").where("block_a <= block_b").where(between - F.col("radius_a") - F.col("radius_b") <= reach)
-    pair = F.concat_ws("|", "block_a", "block_b").alias("pair")
-    return met.select(pair, F.inline(F.array(F.struct(F.col("block_a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block_b").alias("block"), F.lit(1).alias("side"))))).where("side = 0 or pair <> concat(block, '|', block)")
+    ball = {f"{x}_{s}": F.lit(None).cast(t) for s in "ab" for x, t in (("centre", "array<double>"), ("radius", "double"))}
+    pairs = blocks.select("kind").distinct().select(F.col("kind").alias("a"), F.col("kind").alias("b")).withColumns(ball)
+    for level in levels:
+        own = F.col("a") == F.col("b")
+        pairs = pairs.withColumn("own", own)
+        for s in "ab":
+            kids = level.select(F.col("parent").alias(s), F.col("cell").alias("kid"), F.col("centre").alias("kid_centre"), F.col("radius").alias("kid_radius"))
+            inner = {s: F.coalesce("kid", s), f"centre_{s}": F.coalesce("kid_centre", f"centre_{s}"), f"radius_{s}": F.coalesce("kid_radius", f"radius_{s}")}
+            pairs = pairs.join(kids, s, "left").withColumns(inner).drop("kid", "kid_centre", "kid_radius")
+        dot = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+        apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) - F.col("radius_a") - F.col("radius_b") > reach
+        pairs = materialize(pairs.where("not own or a <= b").where(~F.coalesce(apart, F.lit(False))).drop("own"))
+    return pairs.select("a", "b")
 
 
 def near_groups(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -249,14 +308,14 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     """
     keyed = materialize(_keyed(vectors))
     distinct = materialize(keyed.where("kind is not null").groupBy("kind", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
-    blocks, pivots = _blocks(distinct.select("rep", "kind", "copies", "embedding"), block)
-    pairs = _block_pairs(blocks, pivots, cosine)
+    blocks, levels = _blocks(distinct.select("rep", "kind", "copies", "embedding"), block)
+    pairs = _block_pairs(blocks, levels, cosine)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         side = t["side"].to_numpy()
         order = np.argsort(side, kind="stable")
-        x = np.array(_units(t["embedding"].combine_chunks()))[order].reshape(len(order), -1)
+        x = _matrix(t["embedding"].combine_chunks())[order]
         rep, weight, n = t["rep"].to_numpy()[order], t["copies"].to_numpy()[order], int((side == 0).sum())
         links = Links(weight)
         a = CoverTree(x[:n])
@@ -267,8 +326,9 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
         root = rep[[links.find(i) for i in range(len(rep))]]
         return pa.table({"rep": rep, "links": links.count, "root": root})
 
-    tasks = pairs.join(blocks.select("block", "rep", "copies", "embedding"), "block")
-    found = materialize(tasks.select("pair", "side", "rep", "copies", "embedding").groupBy("pair").applyInArrow(run, "rep long, links long, root long"))
+    sides = F.array(*(F.struct(F.col(c).alias("cell"), F.lit(i).alias("side")) for i, c in enumerate("ab")))
+    tasks = pairs.select("a", "b", F.inline(sides)).where("side = 0 or a <> b").join(blocks.select("cell", "rep", "copies", "embedding"), "cell")
+    found = materialize(tasks.select("a", "b", "side", "rep", "copies", "embedding").groupBy("a", "b").applyInArrow(run, "rep long, links long, root long"))
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = distinct.select("kind", "digest", "rep", "copies").join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")

@@ -67,3 +67,28 @@ def test_near_groups(spark, block):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert [(got[i]["n_links"], got[i]["component_id"]) for i in (6, 7)] == [(1, 6), (1, 6)]
     assert embed.near_groups(df.limit(0)).count() == 0
+
+
+def test_many_blocks_of_one_label(spark):
+    """Over 512 blocks around pivots of pivots, vectors of one direction among them: the links are those of all pairs."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(150, 12))
+    x = centres[rng.integers(150, size=1500)] + rng.normal(size=(1500, 12)) * rng.choice([0.05, 0.2], size=(1500, 1))
+    x[:60] = x[0] * rng.uniform(1, 2, size=(60, 1))
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    flat = spark.createDataFrame([(i, "0:12", 1, v.tolist()) for i, v in enumerate(x)], "rep long, kind string, copies long, embedding array<double>")
+    blocks, levels = embed._blocks(flat, 4)
+    sizes = [r["count"] for r in blocks.groupBy("cell").count().collect()]
+    assert sum(sizes) == 1500 and len(sizes) > 512 and len(levels) > 2
+    pairs = embed._block_pairs(blocks, levels, 0.93)
+    assert pairs.count() == pairs.distinct().count() < len(sizes) ** 2 / 8
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    count, near = brute(unit, np.ones(1500, np.int64), 0.93)
+    least = np.arange(1500)
+    while True:
+        new = np.minimum(least, np.where(near, least[None, :], 1500).min(1))
+        if (new == least).all():
+            break
+        least = new
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed.near_groups(df, block=4).collect()}
+    assert got == {i: (int(count[i]), int(least[i])) for i in range(1500)}
