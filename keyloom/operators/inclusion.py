@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +162,21 @@ def soft_verdict(best: DataFrame, cfg: SoftConfig = SoftConfig()) -> DataFrame:
     return best.withColumn("reason", F.when(guard, "small_domain_guard").when(~accept, "coverage_fail"))
 
 
+def untested_pairs(freq: DataFrame, pairs: DataFrame, judged: DataFrame, cfg: SoftConfig = SoftConfig()) -> DataFrame:
+    """The pairs that aren't ``judged``, with the reason: a table or column that ``freq`` doesn't know (one without rows is not known), too few values that aren't empty, or no representation in common."""
+    sides = {s: [f"{s}_table", f"{s}_column"] for s in ("fk", "pk")}
+    left = pairs.join(judged, [*sides["fk"], *sides["pk"]], "left_anti")
+    used = reduce(DataFrame.unionByName, (pairs.select(*c).toDF(*_COLUMN) for c in sides.values())).distinct()
+    filled = F.sum(F.when(raw_rep(F.col("v")).isNotNull(), F.col("cnt")).otherwise(0))
+    sizes = freq.join(used, _COLUMN, "left_semi").groupBy(*_COLUMN).agg(filled.alias("eff"))
+    tables = freq.join(used.select("table_name").distinct(), "table_name", "left_semi").select("table_name").distinct()
+    for s, c in sides.items():
+        left = left.join(tables.select(F.col("table_name").alias(c[0]), F.lit(True).alias(f"{s}_known")), c[0], "left").join(sizes.toDF(*c, f"{s}_eff"), c, "left")
+    either = lambda x: F.col(f"fk_{x}").isNull() | F.col(f"pk_{x}").isNull()
+    reason = F.when(either("known"), "table_missing").when(either("eff"), "column_missing").when(F.least("fk_eff", "pk_eff") < cfg.min_non_null, "min_non_null_effective").otherwise("no_representation_match")
+    return left.select(*sides["fk"], *sides["pk"], "name_sim", reason.alias("reason"))
+
+
 def soft_inclusions(freq: DataFrame, profiles: DataFrame, ucc: DataFrame, cfg: SoftConfig = SoftConfig()) -> tuple[DataFrame, DataFrame]:
     """Accepted pairs, and rejected ones with the reason."""
     pairs = route_pairs(soft_children(profiles, cfg), soft_parents(profiles, ucc, cfg), cfg)
@@ -168,7 +185,5 @@ def soft_inclusions(freq: DataFrame, profiles: DataFrame, ucc: DataFrame, cfg: S
     bounds = _side(profiles, "fk").select("fk_table", "fk_column", "fk_min", "fk_max")
     accepted = judged.where("reason is null").drop("reason", "top1_ratio").withColumn("mode", F.lit("soft")).join(bounds, ["fk_table", "fk_column"], "left")
     accepted = accepted.join(_side(profiles, "pk").select("pk_table", "pk_column", "pk_min", "pk_max"), ["pk_table", "pk_column"], "left")
-    unmatched = pairs.join(judged, four, "left_anti").select(*four, "name_sim", F.lit("no_representation_match").alias("reason"))
-    return accepted, judged.where("reason is not null").select(*four, "name_sim", "reason").unionByName(unmatched)
-
-
+    rejected = judged.where("reason is not null").select(*four, "name_sim", "reason")
+    return accepted, rejected.unionByName(untested_pairs(freq, pairs, judged, cfg))

@@ -513,6 +513,28 @@ def _(spark, d):
     return v.select("fk_column", "pk_column", F.coalesce("reason", F.lit("accepted")).alias("reason"))
 
 
+UNTESTED = [
+    ("sparse", "account_no", "accounts", "account_no"),
+    ("sparse", "account_tag", "accounts", "account_no"),
+    ("sparse", "account_tag", "nowhere", "account_no"),
+    ("sparse", "no_column", "accounts", "account_no"),
+    ("payments", "account_no", "accounts", "account_ref"),
+]
+SPARSE = {"account_no": "CASE WHEN c_custkey <= 5 THEN cast(c_custkey AS {text}) ELSE ' ' END", "account_tag": "concat('x', cast(c_custkey AS {text}))"}
+UNTESTED_SRC = " UNION ALL ".join([f"SELECT 'sparse' AS t, '{c}' AS c, trim({_expr(e, 'VARCHAR')}) AS v FROM customer" for c, e in SPARSE.items()] + [f"SELECT '{t}' AS t, '{c}' AS c, trim({c}) AS v FROM {_messy_sql(t)}" for t in SOFT_TABLES for _, c, _ in MESSY[t][1]])
+
+
+@query("soft_untested_pairs", f"""WITH src AS ({UNTESTED_SRC}), e AS (SELECT t, c, count(*) FILTER (v <> '') AS eff FROM src GROUP BY ALL), p(fk_table, fk_column, pk_table, pk_column) AS (VALUES {', '.join(map(str, UNTESTED))})
+SELECT p.*, CASE WHEN fk_table NOT IN (SELECT t FROM e) OR pk_table NOT IN (SELECT t FROM e) THEN 'table_missing' WHEN f.eff IS NULL OR k.eff IS NULL THEN 'column_missing' WHEN least(f.eff, k.eff) < {SOFT.min_non_null} THEN 'min_non_null_effective' ELSE 'no_representation_match' END AS reason
+FROM p LEFT JOIN e f ON f.t = fk_table AND f.c = fk_column LEFT JOIN e k ON k.t = pk_table AND k.c = pk_column
+WHERE NOT EXISTS (SELECT 1 FROM src a JOIN src b ON a.v = b.v AND a.v <> '' WHERE a.t = fk_table AND a.c = fk_column AND b.t = pk_table AND b.c = pk_column)""")
+def _(spark, d):
+    sparse = _t(spark, d, "customer").selectExpr(*(f"{_expr(e, 'string')} AS {c}" for c, e in SPARSE.items()))
+    freq = frequencies(messy(spark, d, *SOFT_TABLES) | {"sparse": sparse}, lambda c: c.cast("string")).persist()
+    pairs = spark.createDataFrame([(*p, 0.5) for p in UNTESTED], "fk_table string, fk_column string, pk_table string, pk_column string, name_sim double")
+    return inclusion.untested_pairs(freq, pairs, inclusion.best_representation(inclusion.soft_matches(freq, pairs, SOFT)), SOFT).drop("name_sim")
+
+
 # Quality --------------------------------------------------------------------------------------------------------------------
 O, C = _messy_sql("messy_orders"), _messy_sql("messy_customers")
 CHILD = f"(SELECT {SQL_CLEAN.format(c='customer_id')} AS v FROM {O})"
