@@ -128,15 +128,21 @@ def soft_matches(freq: DataFrame, pairs: DataFrame, cfg: SoftConfig = SoftConfig
     mine = ["table_name", "column_name", "rep", "width"]
     top = reps.groupBy(*mine).agg(F.sum("cnt").alias("rows"), F.count("*").alias("distinct"), F.min(F.struct((-F.col("cnt")).alias("k"), F.col("x"))).alias("top"))
     top = top.select(*mine, "rows", "distinct", F.col("top.x").alias("top_x"), (-F.col("top.k")).alias("top_cnt"))
-    fits = lambda s: (F.col(f"{s}_width") == 0) | (F.col(f"{s}_width") == F.col("pair_width"))
     named = lambda df, s: df.select(F.col("table_name").alias(f"{s}_table"), F.col("column_name").alias(f"{s}_column"), F.col("rep").alias(f"{s}_rep"), F.col("width").alias(f"{s}_width"), *(F.col(c) for c in df.columns if c not in mine))
-    child = named(reps, "fk").join(pairs.select("fk_table", "fk_column", "pk_table", "pk_column", "name_sim", "pair_width"), ["fk_table", "fk_column"]).where(fits("fk"))
+    # Each value takes the list of its column's parents along, a few names, instead of a copy for each of them; the join on the value looks at the list.
+    route = F.struct("pk_table", "pk_column", "pair_width")
+    routes = pairs.select("fk_table", "fk_column", route.alias("route"), F.explode(F.array_distinct(F.array(F.lit(0), F.col("pair_width")))).alias("fk_width"))
+    routes = routes.groupBy("fk_table", "fk_column", "fk_width").agg(F.collect_list("route").alias("routes"))
+    child = named(reps, "fk").join(routes, ["fk_table", "fk_column", "fk_width"])
     parent = named(reps.select(*mine, "x"), "pk")
-    group = ["fk_table", "fk_column", "pk_table", "pk_column", "name_sim", "fk_rep", "fk_width", "pk_rep", "pk_width"]
+    group = ["fk_table", "fk_column", "pk_table", "pk_column", "fk_rep", "fk_width", "pk_rep", "pk_width"]
     heads = named(top, "fk")
-    met = child.join(parent, ["pk_table", "pk_column", "x"]).where(fits("pk")).join(heads.select("fk_table", "fk_column", "fk_rep", "fk_width", "top_x"), ["fk_table", "fk_column", "fk_rep", "fk_width"])
-    met = met.groupBy(*group).agg(F.count("*").alias("intersection_distinct"), F.sum("cnt").alias("matched_rows"), F.max((F.col("x") == F.col("top_x")).cast("int")).alias("top_in"))
+    routed = F.exists("routes", lambda r: (r["pk_table"] == F.col("pk_table")) & (r["pk_column"] == F.col("pk_column")) & ((F.col("pk_width") == 0) | (F.col("pk_width") == r["pair_width"])))
+    met = child.join(parent, "x").where(routed)
+    # if the child's most frequent value is among the common ones, it is the most frequent of these
+    met = met.groupBy(*group).agg(F.count("*").alias("intersection_distinct"), F.sum("cnt").alias("matched_rows"), F.min(F.struct((-F.col("cnt")).alias("k"), F.col("x"))).alias("common"))
     met = met.join(heads, ["fk_table", "fk_column", "fk_rep", "fk_width"]).join(named(top, "pk").select("pk_table", "pk_column", "pk_rep", "pk_width", F.col("distinct").alias("pk_distinct")), ["pk_table", "pk_column", "pk_rep", "pk_width"])
+    met = met.withColumn("top_in", (F.col("common.x") == F.col("top_x")).cast("int")).join(pairs.select("fk_table", "fk_column", "pk_table", "pk_column", "name_sim"), ["fk_table", "fk_column", "pk_table", "pk_column"])
     ratio = F.col("top_cnt") / F.col("rows")
     drop = ((ratio >= cfg.placeholder_top1) & F.lower("top_x").isin(list(cfg.placeholders))) | ((ratio >= cfg.max_top1) & (F.col("top_in") == 0))
     cut = lambda c, by: F.col(c) - F.when(F.col("drop"), by).otherwise(0)

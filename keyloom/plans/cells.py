@@ -36,17 +36,30 @@ def key(table: Column, column: Column) -> Column:
 LONG_TEXT = 256
 
 
-def cells(tables: dict[str, DataFrame], clean: Callable[[Column], Column] = sql_clean) -> DataFrame:
-    """(table_name, column_name, ordinal, family, v, len) for every cell; v is the cleaned text, or the digest of a long one, and len the text's length."""
+def _coded_cells(tables: dict[str, DataFrame], clean: Callable[[Column], Column]) -> tuple[DataFrame, Column]:
+    """(cid, v, len) for every cell, and the names of the columns by cid. So a row that is shuffled holds a number in place of names."""
+    names: list[Column] = []
 
     def of(name: str, df: DataFrame) -> DataFrame:
-        parts = [F.struct(F.lit(f.name).alias("column_name"), F.lit(i).alias("ordinal"), F.lit(family(f.dataType)).alias("family"), clean(F.col(f"`{f.name}`")).alias("v")) for i, f in enumerate(df.schema.fields)]
-        out = df.select(F.lit(name).alias("table_name"), F.inline(F.array(*parts))).withColumn("len", F.length("v"))
+        parts = []
+        for i, f in enumerate(df.schema.fields):
+            parts.append(F.struct(F.lit(len(names)).alias("cid"), clean(F.col(f"`{f.name}`")).alias("v")))
+            names.append(F.struct(F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(i).alias("ordinal"), F.lit(family(f.dataType)).alias("family")))
+        out = df.select(F.inline(F.array(*parts))).withColumn("len", F.length("v"))
         return out.withColumn("v", F.when(F.col("len") > LONG_TEXT, F.concat(F.lit("sha256:"), F.sha2(F.col("v").cast("binary"), 256))).otherwise(F.col("v")))
 
-    return reduce(DataFrame.unionByName, (of(n, d) for n, d in tables.items()))
+    out = reduce(DataFrame.unionByName, [of(n, d) for n, d in tables.items()])
+    return out, F.get(F.array(*names), F.col("cid"))
+
+
+def cells(tables: dict[str, DataFrame], clean: Callable[[Column], Column] = sql_clean) -> DataFrame:
+    """(table_name, column_name, ordinal, family, v, len) for every cell; v is the cleaned text, or the digest of a long one, and len the text's length."""
+    coded, name = _coded_cells(tables, clean)
+    return coded.select(name.alias("c"), "v", "len").select("c.*", "v", "len")
 
 
 def frequencies(tables: dict[str, DataFrame], clean: Callable[[Column], Column] = sql_clean) -> DataFrame:
     """(table_name, column_name, ordinal, family, v, len, cnt): how often each column holds each value; v is null for nulls."""
-    return cells(tables, clean).groupBy("table_name", "column_name", "ordinal", "family", "v", "len").agg(F.count("*").alias("cnt"))
+    coded, name = _coded_cells(tables, clean)
+    counted = coded.groupBy("cid", "v").agg(F.max("len").alias("len"), F.count("*").alias("cnt"))  # equal values have equal lengths
+    return counted.select(name.alias("c"), "v", "len", "cnt").select("c.*", "v", "len", "cnt")

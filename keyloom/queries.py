@@ -6,6 +6,8 @@ digits, and lists are joined to text, so that results compare.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +18,9 @@ from .functions import names
 from .functions.normalize import int_like, int_rep, memory_clean, no_zeros_rep, raw_rep, sql_clean, zfill_rep
 from .operators import inclusion, keys, profile, quality, recommend, selection
 from .plans.cells import frequencies
-from .sources.catalog import null_tokens_to_null
+from .sources.catalog import Catalog, null_tokens_to_null
 
-#: The columns of the relational tables, with their families. Doubles are left out: engines write them differently.
+#: The integer and text columns of the relational tables, with their families.
 COLUMNS = {
     "region": {"r_regionkey": "int", "r_name": "string"},
     "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
@@ -29,6 +31,15 @@ COLUMNS = {
     "lineitem": {"l_orderkey": "int", "l_partkey": "int", "l_suppkey": "int", "l_linenumber": "int", "l_returnflag": "string", "l_linestatus": "string"},
     "events": {"event_id": "int", "user_id": "int", "event_type": "string"},
 }
+#: Their columns of other families. Engines write these values differently, so that the queries on them compare all but lengths.
+OTHER = {
+    "customer": {"c_acctbal": "float"},
+    "supplier": {"s_acctbal": "float"},
+    "part": {"p_retailprice": "float"},
+    "orders": {"o_totalprice": "float", "o_orderdate": "datetime"},
+    "lineitem": {"l_quantity": "float", "l_extendedprice": "float", "l_discount": "float", "l_tax": "float", "l_shipdate": "datetime"},
+    "events": {"ts": "datetime", "value": "float"},
+}
 #: Derived tables: name, base table, and columns as (expression, name, family).
 MESSY = {
     "messy_orders": (
@@ -40,6 +51,7 @@ MESSY = {
             ("CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END", "paid", "string"),
         ],
     ),
+    "flags": ("orders", [("o_orderkey % 2 = 0", "is_even", "bool"), ("CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 7 = 0 END", "is_paid", "bool")]),
     "messy_customers": (
         "customer",
         [
@@ -49,6 +61,14 @@ MESSY = {
             ("CASE WHEN c_custkey % 100 = 1 THEN 'Unknown' ELSE c_name END", "full_name", "string"),
         ],
     ),
+    "sparse_orders": (
+        "orders",
+        [
+            ("CASE WHEN o_orderkey % 50 = 0 THEN 'x' END", "remark", "string"),
+            ("CASE WHEN o_orderkey % 5 < 2 THEN o_orderkey END", "reference", "int"),
+            ("repeat(md5(cast(o_orderkey AS {text})), 3)", "raw_payload", "string"),
+        ],
+    ),
     "accounts": ("customer", [("lpad(cast(c_custkey AS {text}), 10, '0')", "account_no", "string"), ("concat(cast(c_custkey AS {text}), '.0')", "account_ref", "string")]),
     "payments": ("orders", [("concat(cast(o_custkey AS {text}), '.0')", "account_no", "string"), ("CASE WHEN o_orderkey % 5 > 0 THEN 'unknown' ELSE lpad(cast(o_custkey AS {text}), 10, '0') END", "account_code", "string"), ("concat(' ', cast(o_custkey AS {text}))", "account_key", "string")]),
 }
@@ -90,8 +110,8 @@ def _sources(tables) -> list[tuple[str, str, dict[str, str]]]:
     return [(t, t, COLUMNS[t]) if t in COLUMNS else (t, _messy_sql(t), {c: f for _, c, f in MESSY[t][1]}) for t in tables]
 
 
-def freq_sql(tables=tuple(COLUMNS), clean: str = SQL_CLEAN) -> str:
-    parts = [f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS ordinal, '{f}' AS family, {clean.format(c=c)} AS v, count(*)::BIGINT AS cnt FROM {src} GROUP BY ALL" for t, src, cols in _sources(tables) for i, (c, f) in enumerate(cols.items())]
+def freq_sql(tables=tuple(COLUMNS), clean: str = SQL_CLEAN, sources: list[tuple[str, str, dict[str, str]]] | None = None) -> str:
+    parts = [f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS ordinal, '{f}' AS family, {clean.format(c=c)} AS v, count(*)::BIGINT AS cnt FROM {src} GROUP BY ALL" for t, src, cols in sources or _sources(tables) for i, (c, f) in enumerate(cols.items())]
     return "freq AS (" + "\nUNION ALL ".join(parts) + ")"
 
 
@@ -238,9 +258,33 @@ def _(spark, d):
     return _round(profile.health_rollup(_health(spark, d)))
 
 
-@query("attention_needed", f"{MORE} SELECT table_name, column_name, health_status FROM health WHERE health_status = 'fail' OR (health_status = 'warn' AND health_severity = 'medium')")
+@query("attention_needed", f"WITH {freq_sql((*ALL, 'sparse_orders'))}, {PROF}, {HEALTH} SELECT table_name, column_name, health_status FROM health WHERE health_status = 'fail' OR (health_status = 'warn' AND health_severity = 'medium')")
+def _(spark, d):
+    p = profile.profile(frequencies(core(spark, d) | messy(spark, d, "messy_orders", "messy_customers", "sparse_orders")))
+    return profile.attention(profile.with_health(p)).select("table_name", "column_name", "health_status")
+
+
+# Floats, times and booleans; and columns of few or long values
+OTHERS = f"WITH {freq_sql(sources=[(t, t, c) for t, c in OTHER.items()] + _sources(['flags', 'sparse_orders']))}, {PROF}, {HEALTH}"
+
+
+def _others(spark, d):
+    other = {t: _t(spark, d, t).select(*c) for t, c in OTHER.items()}
+    return profile.with_health(profile.profile(frequencies(other | messy(spark, d, "flags", "sparse_orders"))))
+
+
+COUNTS = [c for c in PROFILE_COLUMNS if not c.endswith("_len")]
+
+
+@query("profile_other_families", f"{OTHERS} SELECT {', '.join(f'round({c}, 6) AS {c}' if c.endswith('ratio') or c.endswith('non_null') and c[0] == 'u' else c for c in COUNTS)}, health_score, health_status FROM health")
+def _(spark, d):
+    return _round(_others(spark, d).select(*COUNTS, "health_score", "health_status"))
+
+
+@query("datatypes_other_families", f"{OTHERS} SELECT table_name, column_name, CASE dtype_family WHEN 'bool' THEN 'BOOLEAN' WHEN 'datetime' THEN 'TIMESTAMP' ELSE 'DECIMAL(10,2)' END AS db_type, CASE dtype_family WHEN 'bool' THEN 0.9 WHEN 'datetime' THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence FROM prof WHERE dtype_family IN ('bool', 'datetime', 'float')")
 def _(spark, d):
-    return profile.attention(_health(spark, d)).select("table_name", "column_name", "health_status")
+    p = _others(spark, d).where(F.col("dtype_family").isin("bool", "datetime", "float"))
+    return recommend.datatypes(p).select("table_name", "column_name", "db_type", "confidence")
 
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
@@ -306,15 +350,15 @@ def _name_tokens_sql(c: str) -> str:
     return f"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda x: lower(x)), lambda x: x <> '')"
 
 
-def _prune_sql() -> str:
+def _prune_sql(base: str = MORE) -> str:
     from .config import PruneConfig
 
     c = PruneConfig()
     has = lambda ws: f"list_has_any({_name_tokens_sql('column_name')}, [{', '.join(repr(w) for w in ws)}])"
-    return f"""{MORE}, h AS (SELECT *, {has(c.key_tokens)} AS k, {has(c.measure_tokens)} AS m, {has(c.date_tokens)} AS dt, {has(c.negative_tokens)} AS neg,
+    return f"""{base}, h AS (SELECT *, {has(c.payload_tokens)} AS pay, {has(c.key_tokens)} AS k, {has(c.measure_tokens)} AS m, {has(c.date_tokens)} AS dt, {has(c.negative_tokens)} AS neg,
       dtype_family = 'string' AND (coalesce(avg_len, 0) >= 120 OR coalesce(max_len, 0) >= 250 OR (avg_len >= 60 AND max_len >= 1000)) AS long_text, n_unique BETWEEN 1 AND 50 AS small FROM prof),
-    r AS (SELECT *, list_filter([CASE WHEN n_non_null = 0 THEN 'all_null' END, CASE WHEN null_ratio >= 0.98 THEN 'too_many_nulls' END, CASE WHEN top1_ratio >= 0.999 THEN 'single_value_dominated' END, CASE WHEN long_text THEN 'free_text_like' END,
-      CASE WHEN m AND NOT k THEN 'measure_like_name' END, CASE WHEN dt AND NOT k THEN 'date_like_name' END, CASE WHEN neg AND NOT k AND dtype_family = 'string' AND coalesce(avg_len, 0) >= 30 THEN 'negative_name_hint' END], lambda x: x IS NOT NULL) AS bad,
+    r AS (SELECT *, list_filter([CASE WHEN n_non_null = 0 THEN 'all_null' END, CASE WHEN null_ratio >= 0.98 THEN 'too_many_nulls' END, CASE WHEN top1_ratio >= 0.999 THEN 'single_value_dominated' END, CASE WHEN dtype_family = 'bool' THEN 'boolean_like' END, CASE WHEN long_text THEN 'free_text_like' END,
+      CASE WHEN m AND NOT k THEN 'measure_like_name' END, CASE WHEN dt AND NOT k THEN 'date_like_name' END, CASE WHEN pay AND NOT k AND (coalesce(avg_len, 0) >= 80 OR coalesce(max_len, 0) >= 200) AND unique_ratio_non_null >= 0.9 THEN 'encoded_payload_like' END, CASE WHEN neg AND NOT k AND dtype_family = 'string' AND coalesce(avg_len, 0) >= 30 THEN 'negative_name_hint' END], lambda x: x IS NOT NULL) AS bad,
       list_filter([CASE WHEN k THEN 'key_name_hint' END, CASE WHEN small THEN 'small_domain' END], lambda x: x IS NOT NULL) AS good FROM h)
     SELECT table_name, column_name, len(bad) > 0 AS reject, k AS key_name_hint, small AS small_domain, array_to_string(CASE WHEN len(bad) > 0 THEN bad WHEN len(good) > 0 THEN good ELSE ['keep'] END, ',') AS reasons FROM r"""
 
@@ -325,6 +369,11 @@ def _(spark, d):
     return _round(keys.prune(p).select("table_name", "column_name", "reject", "key_name_hint", "small_domain", "reasons"))
 
 
+@query("prune_flags_other_families", _prune_sql(OTHERS))
+def _(spark, d):
+    return _round(keys.prune(_others(spark, d)).select("table_name", "column_name", "reject", "key_name_hint", "small_domain", "reasons"))
+
+
 @query("surrogate_annotations", f"""{CHAIN}, refs AS (SELECT pk_table, pk_column, count(*)::BIGINT AS refs FROM edges WHERE score >= 0.95 AND (name_sim >= 0.3 OR (suffix(fk_column, 'id') AND suffix(pk_column, 'id')))
     AND NOT (regexp_matches(fk_column, 'minute|second|hour|status|flag|qty|count|number_of') AND NOT suffix(fk_column, 'id')) GROUP BY 1, 2),
   k AS (SELECT p.*, unique_ratio >= 0.999 AND null_ratio <= 0.01 AS strict, coalesce(refs, 0)::BIGINT AS refs, CASE WHEN column_name = 'id' THEN 1.0 WHEN regexp_matches(column_name, '_id$|uuid|guid') THEN 0.7 ELSE 0 END AS hint,
@@ -372,6 +421,16 @@ def _(spark, d):
     return _composite(spark, d, 3)
 
 
+LOTS = "o_orderkey - o_orderkey % 10 AS batch, o_orderkey % 10 AS line, o_custkey % 10 AS desk"
+LOT_PAIRS = [("batch", "line"), ("batch", "desk"), ("line", "desk")]
+
+
+@query("composite_ucc_found", f"WITH lots AS (SELECT {LOTS} FROM orders) " + " UNION ALL ".join(_combo_sql(c).replace("lineitem", "lots") for c in LOT_PAIRS))
+def _(spark, d):
+    found = keys.composite_ucc(_t(spark, d, "orders").selectExpr(*LOTS.split(", ")), ["batch", "line", "desk"], 2)
+    return spark.createDataFrame([(",".join(c), len(c)) for c in found], "columns string, k long")
+
+
 # Normalisation --------------------------------------------------------------------------------------------------------------
 TOKENS = ", ".join(f"'{t}'" for t in __import__("keyloom.config", fromlist=["x"]).MEMORY_NULLS)
 
@@ -400,6 +459,23 @@ def _(spark, d):
     return null_tokens_to_null(messy(spark, d, "messy_orders")["messy_orders"].select("order_id", "status"))
 
 
+CSV = [("o_orderkey", "order_id", "int"), ("concat('1995-0', cast(1 + o_orderkey % 9 AS {text}), '-11')", "day", "datetime"), ("CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'no' END", "paid", "bool"), ("o_totalprice", "total", "float"), ("CASE WHEN o_orderkey % 9 = 0 THEN 'N/A' ELSE concat('say \"', o_orderstatus, '\", ', chr(10), 'please') END", "note", "string")]
+
+
+@query("csv_end_to_end", f"WITH t AS (SELECT {', '.join(f'{_expr(e, 'VARCHAR')} AS {c}' for e, c, _ in CSV)} FROM orders) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{f}' AS dtype_family, count(*) AS n_rows, count(*) FILTER ({c}::VARCHAR = 'N/A') AS n_null, count(DISTINCT {c}) FILTER ({c}::VARCHAR <> 'N/A') AS n_unique FROM t" for _, c, f in CSV))
+def _(spark, d):
+    """Writes a table as CSV with quotes, commas, line ends and null tokens, reads it as an upload, and takes the types from the texts."""
+    from .engine import Engine
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-")  # the latter in local sessions
+    path = f"{folder}/keyloom/{uuid.uuid4().hex}/shop.csv"
+    _t(spark, d, "orders").selectExpr(*(f"{_expr(e, 'string')} AS {c}" for e, c, _ in CSV)).write.option("header", True).option("escape", '"').csv(path)
+    engine = Engine(Catalog.of_uploads(spark, [path]), nulls="memory", infer_types=True)
+    out = engine.profiles.select("column_name", "dtype_family", "n_rows", "n_null", "n_unique")
+    engine.close()
+    return out
+
+
 # Inclusion dependencies -----------------------------------------------------------------------------------------------------
 @query("ind_pair_metrics_custkey", f"""WITH c AS (SELECT {SQL_CLEAN.format(c='customer_id')} AS v FROM {_messy_sql('messy_orders')}), p AS (SELECT DISTINCT cast(c_custkey AS VARCHAR) AS v FROM customer)
 SELECT count(c.v) AS fk_non_null_rows, count(DISTINCT c.v) AS fk_distinct, count(DISTINCT p.v) AS intersection_distinct, count(p.v) AS matched_rows, (SELECT count(*) FROM p) AS pk_distinct,
