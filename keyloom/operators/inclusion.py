@@ -14,6 +14,11 @@ from ..functions.normalize import int_rep, is_digits, no_zeros_rep, raw_rep, str
 _COLUMN = ["table_name", "column_name"]
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A frame with a few rows per column, without its lineage: plans that use it several times stay small."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def strict_children(profiles: DataFrame, ucc: DataFrame, cfg: StrictConfig = StrictConfig()) -> DataFrame:
     """Columns that may be foreign keys."""
     string = F.col("dtype_family") == "string"
@@ -118,16 +123,17 @@ def soft_matches(freq: DataFrame, pairs: DataFrame, cfg: SoftConfig = SoftConfig
     """
     used = pairs.select(F.col("fk_table").alias("table_name"), F.col("fk_column").alias("column_name")).unionByName(pairs.select("pk_table", "pk_column").toDF(*_COLUMN)).distinct()
     values = freq.join(used, _COLUMN, "left_semi").select(*_COLUMN, raw_rep(F.col("v")).alias("v"), "cnt")
-    stats = _numeric_columns(values)
+    stats = _small(_numeric_columns(values))
     of = lambda s: stats.select(F.col("table_name").alias(f"{s}_table"), F.col("column_name").alias(f"{s}_column"), F.col("numeric").alias(f"{s}_numeric"), F.col("digits").alias(f"{s}_digits"), F.col("eff").alias(f"{s}_eff"))
     w = F.greatest("fk_digits", "pk_digits")
     pairs = pairs.join(of("fk"), ["fk_table", "fk_column"]).join(of("pk"), ["pk_table", "pk_column"]).where((F.col("fk_eff") >= cfg.min_non_null) & (F.col("pk_eff") >= cfg.min_non_null))
     pairs = pairs.withColumn("pair_width", F.when((w > 1) & (w <= cfg.max_width), w).otherwise(0)).drop("fk_digits", "pk_digits", "fk_eff", "pk_eff")
+    pairs = _small(pairs)  # max_parents for each child at most
     widths = pairs.select("fk_table", "fk_column", "fk_numeric", "pair_width").toDF(*_COLUMN, "numeric", "width").unionByName(pairs.select("pk_table", "pk_column", "pk_numeric", "pair_width").toDF(*_COLUMN, "numeric", "width")).distinct()
     reps = representations(values.where("v is not null"), widths, cfg.max_abs_int)
     mine = ["table_name", "column_name", "rep", "width"]
     top = reps.groupBy(*mine).agg(F.sum("cnt").alias("rows"), F.count("*").alias("distinct"), F.min(F.struct((-F.col("cnt")).alias("k"), F.col("x"))).alias("top"))
-    top = top.select(*mine, "rows", "distinct", F.col("top.x").alias("top_x"), (-F.col("top.k")).alias("top_cnt"))
+    top = _small(top.select(*mine, "rows", "distinct", F.col("top.x").alias("top_x"), (-F.col("top.k")).alias("top_cnt")))
     named = lambda df, s: df.select(F.col("table_name").alias(f"{s}_table"), F.col("column_name").alias(f"{s}_column"), F.col("rep").alias(f"{s}_rep"), F.col("width").alias(f"{s}_width"), *(F.col(c) for c in df.columns if c not in mine))
     # Each value takes the list of its column's parents along, a few names, instead of a copy for each of them; the join on the value looks at the list.
     route = F.struct("pk_table", "pk_column", "pair_width")
