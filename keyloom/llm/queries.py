@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embed, exact, langid, lines, mixing, quality, simhash, urls
+from . import align, ann, bpe, chat, embed, exact, langid, lines, mixing, quality, simhash, urls, whiten
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op7_url_filter": urls.op7_url_filter,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
+    "op11_neighbours": ann.op11_neighbours,
+    "op12_whiten": whiten.op12_whiten,
+    "op13_align": align.op13_align,
 }
 
 ORACLE_SQL = {
