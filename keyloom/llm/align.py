@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +26,7 @@ from .shared import kept, materialize, table
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pieces that a worker remembers, and their links; it forgets all of them when there are more.
-PIECES, LINKS = 150_000, 4_000_000
+PIECES, LINKS = 300_000, 4_000_000
 #: Pairs of ids that are broadcast at most; salts of the first shuffle; documents aligned at a time.
 HEAVY, SALTS, DOCS = 65_536, 16, 64
 _SHIFT = 20
@@ -45,6 +46,12 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All entries, and where each list ends."""
+    ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(ends[-1]) if len(ends) else 0), ends
+
+
 class ByteLevel:
     """Tokenizer A, from its JSON. Its ids come from the faster library of the same algorithm where that is sure to give the same ones."""
 
@@ -55,6 +62,7 @@ class ByteLevel:
         of, special = byte_of_character(), {t["content"] for t in d.get("added_tokens", [])}
         vocab = {t: i for t, i in d["model"]["vocab"].items() if t not in special}
         self.bytes = {i: bytes(of[c] for c in t) for t, i in vocab.items()}
+        self.size = np.array([len(self.bytes.get(i, b"")) for i in range(max(self.bytes) + 1)], np.int64)
         pre = d.get("pre_tokenizer") or {}
         self.splits = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not d.get("normalizer")
         self.fast = None
@@ -62,10 +70,27 @@ class ByteLevel:
         if self.splits and [vocab.get(t) for t in joined] == list(range(256, 256 + len(joined))) and len(vocab) == 256 + len(joined) and not d["model"].get("dropout"):
             self.fast = tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks={self.bytes[i]: i for i in vocab.values()}, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        rare = [self.fast is None or _RARE.search(t) is not None for t in texts]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after the other, and where each one's end. The texts begin with a space where that cuts them from others."""
+        rare = [self.fast is None] * len(texts)
+        if self.fast and _RARE.search("".join(texts)):
+            rare = [_RARE.search(t) is not None for t in texts]
+        apart = [r or t[-1:].isspace() or t[:1] != " " for t, r in zip(texts, rare, strict=True)]
+        joined = [t for t, a in zip(texts, apart, strict=True) if not a]
+        if not any(apart):
+            return self._joined(joined)
         slow = iter(self.own.encode_batch([t for t, r in zip(texts, rare, strict=True) if r], add_special_tokens=False))
-        return [next(slow).ids if r else self.fast.encode_ordinary(t) for t, r in zip(texts, rare, strict=True)]
+        ids, ends = self._joined(joined)
+        parts = iter(np.split(ids, ends[:-1]))
+        return _flat([next(slow).ids if r else self.fast.encode_ordinary(t) if a else next(parts).tolist() for t, r, a in zip(texts, rare, apart, strict=True)])
+
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that can be encoded as one text, as none ends in white space and each begins with a space."""
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids = self.fast.encode_to_numpy("".join(texts), disallowed_special=()).astype(np.int64)
+        ends = np.cumsum([len(t.encode()) for t in texts])
+        return ids, np.searchsorted(np.cumsum(self.size[ids]), ends, "right")
 
 
 class Pieces:
@@ -77,14 +102,8 @@ class Pieces:
         self.bytes = {i: bytes([int(p[1:-1], 16)]) if self.own.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)}
         self.splits = not any(re.search("[^▁]▁", p) for p in names)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.own.encode(texts, num_threads=1)
-
-
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All entries, and where each list ends."""
-    ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(ends[-1]) if len(ends) else 0), ends
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.own.encode(texts, num_threads=1))
 
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -93,13 +112,27 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+class Tokens:
+    """The bytes of a tokenizer's ids in one array, and the ids as text: followed by a comma, or by ``last`` behind a group's last one."""
+
+    def __init__(self, of: dict[int, bytes], last: str):
+        ids = range(max(of) + 1)
+        self.flat = np.frombuffer(b"".join(of.get(i, b"") for i in ids), np.uint8)
+        self.size = np.array([len(of.get(i, b"")) for i in ids], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.text = [f"{i}{c}" for i in ids for c in (",", last)]
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        return self.flat[_runs(self.start[ids], self.size[ids])]
+
+
 class Aligner:
     """Aligned pieces of texts: for each its numbers of tokens of A and B, groups and links, its groups as text, and the pairs of ids of its links."""
 
     def __init__(self, a: ByteLevel, b: Pieces):
         self.a, self.b = a, b
-        size = lambda t: np.array([len(t.bytes.get(i, b"")) for i in range(max(t.bytes) + 1)], np.int64)
-        self.size_a, self.size_b = size(a), size(b)
+        self.tokens_a, self.tokens_b = Tokens(a.bytes, "|"), Tokens(b.bytes, ";")
+        self.text = self.tokens_a.text + self.tokens_b.text
         self.cut = re.compile(rf"(?<=[^{_SPACE}])(?= +[^ ])").split if a.splits and b.splits else None
         self.plain = re.compile(rf"[{_SPACE}] | $").search
         self.forget()
@@ -119,31 +152,46 @@ class Aligner:
             return self.cut(text)
         return [" " + p for p in text[1:].split(" ")]
 
+    def _sound(self, texts: list[str], ids: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Which pieces both tokenizers give back byte by byte. ``of``: the piece of each token."""
+        raw = [t.encode() for t in texts]
+        sizes = np.array([len(r) for r in raw])
+        kinds = (self.tokens_a, self.tokens_b)
+        sound = np.logical_and(*(np.bincount(o, t.size[i], len(texts)) == sizes for t, i, o in zip(kinds, ids, of, strict=True)))
+        want, ends = np.frombuffer(b"".join(r for r, g in zip(raw, sound, strict=True) if g), np.uint8), np.cumsum(sizes[sound])
+        same = sound.copy()
+        for t, i, o in zip(kinds, ids, of, strict=True):
+            wrong = np.flatnonzero(t.bytes_of(i[sound[o]]) != want)
+            same[np.flatnonzero(sound)[np.searchsorted(ends, wrong, "right")]] = False
+        return same
+
     def learn(self, texts: list[str]) -> None:
         """Aligns pieces, which all begin with a space. One whose bytes the tokens don't give back has no groups (None)."""
-        ids_a, ids_b = self.a.encode(texts), self.b.encode([t[1:] for t in texts])
-        whole = lambda ids, t: b"".join(map(t.bytes.__getitem__, ids))
-        good = [whole(p, self.a) == (raw := t.encode()) == whole(q, self.b) for t, p, q in zip(texts, ids_a, ids_b, strict=True)]
-        fa, last_a = _flat([x if g else [] for x, g in zip(ids_a, good, strict=True)])
-        fb, last_b = _flat([x if g else [] for x, g in zip(ids_b, good, strict=True)])
-        end_a, end_b = np.cumsum(self.size_a[fa]), np.cumsum(self.size_b[fb])
-        start_a, start_b = end_a - self.size_a[fa], end_b - self.size_b[fb]
+        n = len(texts)
+        (fa, ends_a), (fb, ends_b) = self.a.encode(texts), self.b.encode([t[1:] for t in texts])
+        of_a, of_b = (np.repeat(np.arange(n), np.diff(e, prepend=0)) for e in (ends_a, ends_b))
+        good = self._sound(texts, (fa, fb), (of_a, of_b))
+        fa, of_a, fb, of_b = fa[good[of_a]], of_a[good[of_a]], fb[good[of_b]], of_b[good[of_b]]
+        end_a, end_b = np.cumsum(self.tokens_a.size[fa]), np.cumsum(self.tokens_b.size[fb])
+        start_a, start_b = end_a - self.tokens_a.size[fa], end_b - self.tokens_b.size[fb]
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
         first, behind = np.searchsorted(end_b, start_a, "right"), np.searchsorted(start_b, end_a)
         links = behind - first
         pairs = np.repeat(fa << _SHIFT, links) | fb[_runs(first, links)]
-        ends_links = np.append(0, np.cumsum(links))[last_a]
-        ends_groups = np.append(0, np.cumsum(np.diff(group_a, prepend=-1)))[last_a]
-        cell = lambda f, g: [",".join(map(str, part)) for part in np.split(f, np.flatnonzero(np.diff(g)) + 1)] if len(f) else []
-        cells = [f"{p}|{q}" for p, q in zip(cell(fa, group_a), cell(fb, group_b), strict=True)]
-        starts = np.append(0, ends_groups[:-1])
+        # the tokens in the order of the text: a group's tokens of A, then those of B
+        last_a, last_b = (np.append(np.diff(g) != 0, True)[: len(g)] for g in (group_a, group_b))
+        code = np.empty(len(fa) + len(fb), np.int64)
+        code[np.arange(len(fa)) + np.searchsorted(group_b, group_a)] = 2 * fa + last_a
+        code[np.arange(len(fb)) + np.searchsorted(group_a, group_b, "right")] = 2 * fb + last_b + len(self.tokens_a.text)
+        written = list(map(self.text.__getitem__, code.tolist()))
+        counts = np.stack([np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), np.bincount(of_a[last_a], minlength=n), np.bincount(of_a, links, n).astype(np.int64)], 1)
+        ends = np.cumsum(counts[:, 0] + counts[:, 1])
         n0 = len(self.groups)
-        self.place.update(zip(texts, range(n0, n0 + len(texts)), strict=True))
-        self.groups += [";".join(cells[i:j]) if g else None for i, j, g in zip(starts.tolist(), ends_groups.tolist(), good, strict=True)]
-        per = lambda ends: np.diff(ends, prepend=0)
-        self.counts = np.concatenate((self.counts, np.stack([per(last_a), per(last_b), per(ends_groups), per(ends_links)], 1)))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + ends_links))
+        self.place.update(zip(texts, range(n0, n0 + n), strict=True))
+        self.groups += ["".join(written[i:j])[:-1] if g else None for i, j, g in zip([0, *ends[:-1].tolist()], ends.tolist(), good.tolist(), strict=True)]
+        self.counts = np.concatenate((self.counts, counts))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(counts[:, 3])))
         self.pairs = np.concatenate((self.pairs, pairs))
 
     def align(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
