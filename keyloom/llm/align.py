@@ -36,6 +36,7 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 _SPACE = r"\s" + "".join(map(chr, (0x180E, 0x200B, 0xFEFF)))
 #: Blocks of characters whose classes are the same in all versions of Unicode that libraries come with, as first and last code point.
 _COMMON = ((0x0, 0x52F), (0x2010, 0x2027), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+_ENDS_IN_SPACE = re.compile(r"\s\Z").search
 _RARE = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _COMMON) + "]")
 
 
@@ -70,27 +71,16 @@ class ByteLevel:
         if self.splits and [vocab.get(t) for t in joined] == list(range(256, 256 + len(joined))) and len(vocab) == 256 + len(joined) and not d["model"].get("dropout"):
             self.fast = tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks={self.bytes[i]: i for i in vocab.values()}, special_tokens={})
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts, one after the other, and where each one's end. The texts begin with a space where that cuts them from others."""
-        rare = [self.fast is None] * len(texts)
-        if self.fast and _RARE.search("".join(texts)):
-            rare = [_RARE.search(t) is not None for t in texts]
-        apart = [r or t[-1:].isspace() or t[:1] != " " for t, r in zip(texts, rare, strict=True)]
-        joined = [t for t, a in zip(texts, apart, strict=True) if not a]
-        if not any(apart):
-            return self._joined(joined)
-        slow = iter(self.own.encode_batch([t for t, r in zip(texts, rare, strict=True) if r], add_special_tokens=False))
-        ids, ends = self._joined(joined)
-        parts = iter(np.split(ids, ends[:-1]))
-        return _flat([next(slow).ids if r else self.fast.encode_ordinary(t) if a else next(parts).tolist() for t, r, a in zip(texts, rare, apart, strict=True)])
-
-    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces that can be encoded as one text, as none ends in white space and each begins with a space."""
-        if not texts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids = self.fast.encode_to_numpy("".join(texts), disallowed_special=()).astype(np.int64)
-        ends = np.cumsum([len(t.encode()) for t in texts])
-        return ids, np.searchsorted(np.cumsum(self.size[ids]), ends, "right")
+    def encode(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts with a space before each, one after the other, and where each one's end. ``sizes`` in bytes, with that space. Texts that don't end in white space are encoded as one."""
+        whole = " " + " ".join(texts)
+        if self.fast and not _RARE.search(whole) and not any(map(_ENDS_IN_SPACE, texts)):
+            ids = self.fast.encode_to_numpy(whole, disallowed_special=()).astype(np.int64)
+            return ids, np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(sizes), "right")
+        spaced = [f" {t}" for t in texts]
+        rare = [self.fast is None or _RARE.search(t) is not None for t in spaced]
+        slow = iter(self.own.encode_batch([t for t, r in zip(spaced, rare, strict=True) if r], add_special_tokens=False))
+        return _flat([next(slow).ids if r else self.fast.encode_ordinary(t) for t, r in zip(spaced, rare, strict=True)])
 
 
 class Pieces:
@@ -134,7 +124,7 @@ class Aligner:
         self.tokens_a, self.tokens_b = Tokens(a.bytes, "|"), Tokens(b.bytes, ";")
         self.text = self.tokens_a.text + self.tokens_b.text
         self.cut = re.compile(rf"(?<=[^{_SPACE}])(?= +[^ ])").split if a.splits and b.splits else None
-        self.plain = re.compile(rf"[{_SPACE}] | $").search
+        self.plain = re.compile(rf"^ |[{_SPACE}] | $").search
         self.forget()
 
     def forget(self) -> None:
@@ -144,21 +134,20 @@ class Aligner:
         self.ends, self.pairs = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def pieces(self, text: str) -> list[str]:
-        """A text with a space before it, cut."""
-        text = " " + text
-        if self.cut is None:
+        """A text, cut before spaces, without these: a space belongs before each piece."""
+        if self.cut is None or not text:
             return [text]
         if self.plain(text):
-            return self.cut(text)
-        return [" " + p for p in text[1:].split(" ")]
+            return [p[1:] for p in self.cut(" " + text)]
+        return text.split(" ")
 
-    def _sound(self, texts: list[str], ids: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def _sound(self, raw: list[bytes], sizes: np.ndarray, ids: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Which pieces both tokenizers give back byte by byte. ``of``: the piece of each token."""
-        raw = [t.encode() for t in texts]
-        sizes = np.array([len(r) for r in raw])
         kinds = (self.tokens_a, self.tokens_b)
-        sound = np.logical_and(*(np.bincount(o, t.size[i], len(texts)) == sizes for t, i, o in zip(kinds, ids, of, strict=True)))
-        want, ends = np.frombuffer(b"".join(r for r, g in zip(raw, sound, strict=True) if g), np.uint8), np.cumsum(sizes[sound])
+        sound = np.logical_and(*(np.bincount(o, t.size[i], len(raw)) == sizes for t, i, o in zip(kinds, ids, of, strict=True)))
+        if not sound.all():
+            raw = [r for r, g in zip(raw, sound, strict=True) if g]
+        want, ends = np.frombuffer(b" " + b" ".join(raw) if raw else b"", np.uint8), np.cumsum(sizes[sound])
         same = sound.copy()
         for t, i, o in zip(kinds, ids, of, strict=True):
             wrong = np.flatnonzero(t.bytes_of(i[sound[o]]) != want)
@@ -166,11 +155,12 @@ class Aligner:
         return same
 
     def learn(self, texts: list[str]) -> None:
-        """Aligns pieces, which all begin with a space. One whose bytes the tokens don't give back has no groups (None)."""
-        n = len(texts)
-        (fa, ends_a), (fb, ends_b) = self.a.encode(texts), self.b.encode([t[1:] for t in texts])
+        """Aligns pieces. One whose bytes the tokens don't give back has no groups (None)."""
+        n, raw = len(texts), [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, raw), np.int64, n) + 1
+        (fa, ends_a), (fb, ends_b) = self.a.encode(texts, sizes), self.b.encode(texts)
         of_a, of_b = (np.repeat(np.arange(n), np.diff(e, prepend=0)) for e in (ends_a, ends_b))
-        good = self._sound(texts, (fa, fb), (of_a, of_b))
+        good = self._sound(raw, sizes, (fa, fb), (of_a, of_b))
         fa, of_a, fb, of_b = fa[good[of_a]], of_a[good[of_a]], fb[good[of_b]], of_b[good[of_b]]
         end_a, end_b = np.cumsum(self.tokens_a.size[fa]), np.cumsum(self.tokens_b.size[fb])
         start_a, start_b = end_a - self.tokens_a.size[fa], end_b - self.tokens_b.size[fb]
@@ -199,7 +189,7 @@ class Aligner:
         cut = [self.pieces(t) if t else [] for t in texts]
         if len(self.groups) > PIECES or len(self.pairs) > LINKS:
             self.forget()
-        new = list({p for ps in cut for p in ps} - self.place.keys())
+        new = list(set().union(*cut) - self.place.keys())
         if new:
             self.learn(new)
         for ps in cut:
