@@ -10,6 +10,10 @@ SQL_NULLS = ("", "null", "none", "n/a", "na", "nan")
 #: Textual nulls of uploaded CSV files, compared as they are.
 CSV_NULLS = ("", "NULL", "null", "None", "none", "N/A", "n/a", "NA", "na")
 
+#: Parts of names that mark measures, which aren't parts of a composite key, and references that don't count.
+MEASURE_PARTS = ("minute", "time", "second", "day", "month", "year", "age", "status", "stage", "round", "week", "amount", "price", "total", "qty", "quantity", "count", "score", "rating")
+BAD_REFERENCE_PARTS = ("minute", "second", "hour", "status", "flag", "qty", "count", "number_of")
+
 
 @dataclass(frozen=True)
 class PruneConfig:
@@ -36,6 +40,8 @@ class StrictConfig:
     max_null_ratio: float = 0.95
     min_unique_ratio: float = 0.02
     apply_prune: bool = True
+    sketch_size: int = 512
+    sketch_risk: float = 1e-12
 
 
 @dataclass(frozen=True)
@@ -117,3 +123,5 @@ class EngineConfig:
     select: SelectConfig = field(default_factory=SelectConfig)
     missing: MissingConfig = field(default_factory=MissingConfig)
     defaults: DefaultConfig = field(default_factory=DefaultConfig)
+    #: How many columns of a table the search for composite keys takes at most; None: all.
+    composite_columns: int | None = None

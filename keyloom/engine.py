@@ -13,9 +13,10 @@ from . import viz
 from .config import EngineConfig
 from .functions.names import id_like
 from .functions.normalize import memory_clean, sql_clean
-from .operators import inclusion, keys, profile, quality, recommend, selection
+from .operators import composite, inclusion, keys, profile, quality, recommend, selection
 from .plans.cells import frequencies
 from .sources.catalog import Catalog, json_safe
+from .sources.store import FrequencyStore
 
 STAGES = ("profiles", "profiles_enhanced", "ucc_unary", "ind", "scored", "relationships", "rel_missing", "duplicates", "duplicates_summary", "default_fk", "default_fk_summary", "surrogate_keys", "surrogate_keys_summary", "ucc_composite", "recommendations")
 _FOUR = ("fk_table", "fk_column", "pk_table", "pk_column")
@@ -30,6 +31,7 @@ ORDER = {
     "rel_missing": _FOUR,
     "default_fk": (*_FOUR, "-cnt", "v"),
     "default_fk_summary": _FOUR,
+    "ucc_composite": ("table_name", "k", "columns"),
     "surrogate_keys": ("-key_role", "-key_kind", "-confidence", "table_name", "column_name"),
     "surrogate_keys_summary": ("-key_role", "-key_kind", "-confidence", "table_name", "column_name"),
 }
@@ -56,14 +58,14 @@ class Engine:
     """Stages are worked out when first used and kept. Frequencies are persisted: profiles and inclusions both read them.
 
     Frames with a row per column or per relationship are collected and made anew, so that plans that build on them stay small. With ``infer_types`` text columns
-    take the family of the type that their values show.
+    take the family of the type that their values show. With a ``store`` frequencies are kept by the tables' contents: tables that haven't changed aren't read again.
     """
 
-    def __init__(self, catalog: Catalog, config: EngineConfig | None = None, mode: str = "strict", nulls: str = "sql", infer_types: bool = False):
+    def __init__(self, catalog: Catalog, config: EngineConfig | None = None, mode: str = "strict", nulls: str = "sql", infer_types: bool = False, store: FrequencyStore | None = None):
         if mode not in ("strict", "soft"):
             raise EngineError("INVALID_PARAM_COMBO", f"unknown mode {mode}")
         self.catalog, self.config, self.mode, self.infer_types = catalog, config or EngineConfig(), mode, infer_types
-        self.clean = {"sql": sql_clean, "memory": memory_clean}[nulls]
+        self.clean, self.nulls, self.store = {"sql": sql_clean, "memory": memory_clean}[nulls], nulls, store
         self.seconds: dict[str, float] = {}
 
     def _small(self, df: DataFrame) -> DataFrame:
@@ -72,6 +74,8 @@ class Engine:
 
     @cached_property
     def _counted(self) -> DataFrame:
+        if self.store:
+            return self.store.frequencies(self.catalog.tables, self.clean, self.nulls).persist(StorageLevel.MEMORY_AND_DISK)
         return frequencies(self.catalog.tables, self.clean).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
@@ -164,19 +168,24 @@ class Engine:
         return self._small(keys.surrogate_keys(self.profiles, self._small(keys.uuid_like(self.freq)), self.ucc_unary, self.edges))
 
     @cached_property
-    def ucc_composite(self) -> list[tuple[str, tuple[str, ...]]]:
+    def ucc_composite(self) -> DataFrame:
+        """Composite keys of all tables: table_name, columns, k, ucc_type, n_rows_used, unique_ratio, null_ratio."""
+        sizes: dict[str, dict[str, int]] = {}
+        for r in self.profiles.select("table_name", "column_name", "n_unique").collect():  # a row per column
+            sizes.setdefault(r[0], {})[r[1]] = r[2]
         out = []
         for t in self.catalog.list_tables():
             fks = tuple(e["fk_column"] for e in self._edge_list if e["fk_table"] == t)
-            out += [(t, c) for c in keys.composite_ucc(self.catalog.tables[t], keys.composite_candidates(self.profiles, t, fks))]
-        return out
+            found = composite.search(self.catalog.tables[t], keys.composite_candidates(self.profiles, t, fks, self.config.composite_columns), distinct=sizes.get(t)).found
+            out += [(t, list(f.columns), len(f.columns), "composite", f.rows, f.unique_ratio, f.null_ratio) for f in found]
+        return self.catalog.spark.createDataFrame(out, "table_name string, columns array<string>, k int, ucc_type string, n_rows_used long, unique_ratio double, null_ratio double")
 
     @cached_property
     def recommendations(self) -> dict[str, DataFrame]:
         pks = self._small(recommend.primary_keys(self.ucc_unary, self.profiles, self.edges))
         missing = self.rel_missing if self.rel_missing is not None else self.edges.withColumn("orphan_fk_ratio", F.lit(None).cast("double"))
         fks = self._small(recommend.foreign_keys(self.edges, missing))
-        comps = recommend.composite_keys(self.ucc_composite, self.catalog.spark)
+        comps = self._small(recommend.composite_keys(self.ucc_composite))
         return {"primary_key": pks, "foreign_keys": fks, "composite_keys": comps, "datatypes": recommend.datatypes(self.profiles), "indexes": recommend.indexes(pks, fks, comps, self.profiles)}
 
     def stage(self, name: str):

@@ -25,8 +25,9 @@ def memory_clean(c: Column, tokens: Iterable[str] = MEMORY_NULLS) -> Column:
 
 def sql_clean(c: Column, tokens: Iterable[str] = SQL_NULLS) -> Column:
     """Null where the trimmed text is a null token; otherwise the trimmed text."""
-    text = F.trim(c.cast("string"))
-    return F.when(~F.lower(text).isin(list(tokens)), text)
+    text, tokens = F.trim(c.cast("string")), list(tokens)
+    longer = F.octet_length(text) > max(len(t.encode()) for t in tokens)  # most are: they needn't be lower-cased
+    return F.when(longer | ~F.lower(text).isin(tokens), text)
 
 
 def int_like(c: Column, atol: float = 1e-8) -> Column:

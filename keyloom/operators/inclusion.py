@@ -10,15 +10,12 @@ from pyspark.sql import functions as F
 from ..config import SoftConfig, StrictConfig
 from ..functions.names import name_similarity
 from ..functions.normalize import int_rep, is_digits, no_zeros_rep, raw_rep, strip, to_number, zfill_rep
+from ..plans.cells import small
+from .sketches import gated_pairs
 
 _COLUMN = ["table_name", "column_name"]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A frame with a few rows per column, without its lineage: plans that use it several times stay small."""
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
-
-
 def strict_children(profiles: DataFrame, ucc: DataFrame, cfg: StrictConfig = StrictConfig()) -> DataFrame:
     """Columns that may be foreign keys."""
     string = F.col("dtype_family") == "string"
@@ -40,16 +37,42 @@ def _side(p: DataFrame, side: str) -> DataFrame:
     return p.select(*(F.col(a).alias(f"{side}_{b}") for a, b in kept.items()))
 
 
+def strict_pairs(freq: DataFrame, profiles: DataFrame, ucc: DataFrame, cfg: StrictConfig = StrictConfig()) -> DataFrame:
+    """Every pair of a child and a parent column, with the gate that drops it before values are compared, or null."""
+    child, parent = strict_children(profiles, ucc, cfg), strict_parents(profiles, ucc, cfg)
+    return gated_pairs(freq.where("v is not null"), child, parent, cfg.min_distinct_coverage, cfg.sketch_size, cfg.sketch_risk)
+
+
+def shared_values(freq: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of each of ``pairs`` (fk_table, fk_column, pk_table, pk_column): intersection_distinct and matched_rows; pairs without a common value are left out.
+
+    One shuffle by value serves all pairs. A child's value takes the numbers of its column's parents along, and only columns of some pair are shuffled; where a value meets, it counts for those pairs
+    only. So a value that many columns hold costs as many rows as there are pairs for it, not the square of the columns.
+    """
+    spark = freq.sparkSession
+    wanted = [tuple(r) for r in pairs.select("fk_table", "fk_column", "pk_table", "pk_column").distinct().collect()]  # pairs of columns, from profiles
+    place = {c: i for i, c in enumerate(dict.fromkeys(c for w in wanted for c in (w[:2], w[2:])))}
+    to: dict[tuple[str, str], list[int]] = {}
+    for w in wanted:
+        to.setdefault(w[:2], []).append(place[w[2:]])
+    parents = {w[2:] for w in wanted}
+    columns = spark.createDataFrame([(*c, i, to.get(c, []), c in parents) for c, i in place.items()], "table_name string, column_name string, cid int, to array<int>, parent boolean")
+    values = freq.where("v is not null").select(*_COLUMN, "family", "v", "cnt").join(F.broadcast(columns), _COLUMN)  # a row per column
+    met = values.groupBy("family", "v").agg(F.collect_list(F.when(F.size("to") > 0, F.struct("cid", "cnt", "to"))).alias("children"), F.collect_list(F.when(F.col("parent"), F.col("cid"))).alias("parents"))
+    met = met.where((F.size("children") > 0) & (F.size("parents") > 0)).select("parents", F.inline("children"))
+    met = met.select("cid", F.explode(F.array_intersect("to", "parents")).alias("pid"), "cnt").groupBy("cid", "pid").agg(F.count("*").alias("intersection_distinct"), F.sum("cnt").alias("matched_rows"))
+    name = lambda s, i: columns.select(F.col("table_name").alias(f"{s}_table"), F.col("column_name").alias(f"{s}_column"), F.col("cid").alias(i))
+    return met.join(name("fk", "cid"), "cid").join(name("pk", "pid"), "pid").drop("cid", "pid")
+
+
 def strict_inclusions(freq: DataFrame, profiles: DataFrame, ucc: DataFrame, cfg: StrictConfig = StrictConfig()) -> DataFrame:
     """Pairs (child, parent) of different tables with most of the child's distinct values among the parent's.
 
-    One join of the frequencies on (family, value) serves all pairs: values of child columns meet those of parent columns, and a group-by on the pair counts.
+    ``strict_pairs`` drops what counts, ranges, lengths and sketches rule out; the values of the other pairs are compared in full.
     """
+    profiles, ucc = small(profiles), small(ucc)
     child, parent = strict_children(profiles, ucc, cfg), strict_parents(profiles, ucc, cfg)
-    values = freq.where("v is not null")
-    fk = values.join(child.select(*_COLUMN), _COLUMN, "left_semi").select(F.col("table_name").alias("fk_table"), F.col("column_name").alias("fk_column"), "family", "v", "cnt")
-    pk = values.join(parent.select(*_COLUMN), _COLUMN, "left_semi").select(F.col("table_name").alias("pk_table"), F.col("column_name").alias("pk_column"), "family", "v")
-    met = fk.join(pk, ["family", "v"]).where("fk_table <> pk_table").groupBy("fk_table", "fk_column", "pk_table", "pk_column").agg(F.count("*").alias("intersection_distinct"), F.sum("cnt").alias("matched_rows"))
+    met = shared_values(freq, strict_pairs(freq, profiles, ucc, cfg).where("gate is null"))
     out = met.join(_side(child, "fk"), ["fk_table", "fk_column"]).join(_side(parent, "pk").drop("pk_non_null_rows"), ["pk_table", "pk_column"])
     dc, rc = F.col("intersection_distinct") / F.col("fk_distinct"), F.col("matched_rows") / F.col("fk_non_null_rows")
     out = out.withColumns({"distinct_coverage": F.round(dc, 6), "row_coverage": F.round(rc, 6)}).where((dc >= cfg.min_distinct_coverage) & (rc >= cfg.min_row_coverage))
@@ -123,17 +146,17 @@ def soft_matches(freq: DataFrame, pairs: DataFrame, cfg: SoftConfig = SoftConfig
     """
     used = pairs.select(F.col("fk_table").alias("table_name"), F.col("fk_column").alias("column_name")).unionByName(pairs.select("pk_table", "pk_column").toDF(*_COLUMN)).distinct()
     values = freq.join(used, _COLUMN, "left_semi").select(*_COLUMN, raw_rep(F.col("v")).alias("v"), "cnt")
-    stats = _small(_numeric_columns(values))
+    stats = small(_numeric_columns(values))
     of = lambda s: stats.select(F.col("table_name").alias(f"{s}_table"), F.col("column_name").alias(f"{s}_column"), F.col("numeric").alias(f"{s}_numeric"), F.col("digits").alias(f"{s}_digits"), F.col("eff").alias(f"{s}_eff"))
     w = F.greatest("fk_digits", "pk_digits")
     pairs = pairs.join(of("fk"), ["fk_table", "fk_column"]).join(of("pk"), ["pk_table", "pk_column"]).where((F.col("fk_eff") >= cfg.min_non_null) & (F.col("pk_eff") >= cfg.min_non_null))
     pairs = pairs.withColumn("pair_width", F.when((w > 1) & (w <= cfg.max_width), w).otherwise(0)).drop("fk_digits", "pk_digits", "fk_eff", "pk_eff")
-    pairs = _small(pairs)  # max_parents for each child at most
+    pairs = small(pairs)  # max_parents for each child at most
     widths = pairs.select("fk_table", "fk_column", "fk_numeric", "pair_width").toDF(*_COLUMN, "numeric", "width").unionByName(pairs.select("pk_table", "pk_column", "pk_numeric", "pair_width").toDF(*_COLUMN, "numeric", "width")).distinct()
     reps = representations(values.where("v is not null"), widths, cfg.max_abs_int)
     mine = ["table_name", "column_name", "rep", "width"]
     top = reps.groupBy(*mine).agg(F.sum("cnt").alias("rows"), F.count("*").alias("distinct"), F.min(F.struct((-F.col("cnt")).alias("k"), F.col("x"))).alias("top"))
-    top = _small(top.select(*mine, "rows", "distinct", F.col("top.x").alias("top_x"), (-F.col("top.k")).alias("top_cnt")))
+    top = small(top.select(*mine, "rows", "distinct", F.col("top.x").alias("top_x"), (-F.col("top.k")).alias("top_cnt")))
     named = lambda df, s: df.select(F.col("table_name").alias(f"{s}_table"), F.col("column_name").alias(f"{s}_column"), F.col("rep").alias(f"{s}_rep"), F.col("width").alias(f"{s}_width"), *(F.col(c) for c in df.columns if c not in mine))
     # Each value takes the list of its column's parents along, a few names, instead of a copy for each of them; the join on the value looks at the list.
     route = F.struct("pk_table", "pk_column", "pair_width")

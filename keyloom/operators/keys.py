@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import PruneConfig
+from ..config import BAD_REFERENCE_PARTS, MEASURE_PARTS, PruneConfig
 from ..functions.names import business_hint, descriptive, ends_in_id, has_part, has_token, name_tokens, natural_hint, surrogate_hint
+from .composite import search, unique_combinations  # noqa: F401
 
 
 def unary_ucc(profiles: DataFrame, unique_ratio_min: float = 1.0, null_ratio_max: float = 0.0) -> DataFrame:
@@ -55,32 +55,17 @@ def apply_pruning(profiles: DataFrame, pruned: DataFrame) -> DataFrame:
     return out.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
 
 
-MEASURE_PARTS = ("minute", "time", "second", "day", "month", "year", "age", "status", "stage", "round", "week", "amount", "price", "total", "qty", "quantity", "count", "score", "rating")
-
-
-def composite_candidates(profiles: DataFrame, table: str, fk_columns: tuple[str, ...] = (), most: int = 12, min_distinct: int = 10) -> list[str]:
-    """Columns that may be part of a composite key of a table: foreign keys first, then in the table's order."""
+def composite_candidates(profiles: DataFrame, table: str, fk_columns: tuple[str, ...] = (), most: int | None = None, min_distinct: int = 10) -> list[str]:
+    """Columns that may be part of a composite key of a table: foreign keys first, then in the table's order; all of them, or the first ``most``."""
     p = profiles.where((F.col("table_name") == table) & (F.col("n_null") == 0) & (F.col("n_unique") >= min_distinct) & ~F.col("is_unary_ucc"))
     p = p.where("dtype_family <> 'float' and (dtype_family <> 'string' or avg_len <= 40)").where(~has_part(F.col("column_name"), MEASURE_PARTS))
-    return [r[0] for r in p.orderBy(F.col("column_name").isin(list(fk_columns) or [""]).desc(), "ordinal").select("column_name").limit(most).collect()]
-
-
-def unique_combinations(df: DataFrame, combos: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """Those column sets without nulls whose values never repeat. All are tested in one pass: an expansion by combo, counted, without Expand's distinct sets."""
-    if not combos:
-        return []
-    parts = [F.struct(F.lit(i).alias("i"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in cs)), {"ignoreNullFields": "false"}).alias("v"), reduce(lambda a, b: a | b, (F.col(f"`{c}`").isNull() for c in cs)).alias("hole")) for i, cs in enumerate(combos)]
-    g = df.select(F.inline(F.array(*parts))).groupBy("i", "v").agg(F.count("*").alias("n"), F.max("hole").alias("hole")).groupBy("i").agg(F.max("n").alias("n"), F.max("hole").alias("hole"))
-    ok = {r["i"] for r in g.collect() if r["n"] == 1 and not r["hole"]}
-    return [c for i, c in enumerate(combos) if i in ok]
+    p = p.orderBy(F.col("column_name").isin(list(fk_columns) or [""]).desc(), "ordinal").select("column_name")
+    return [r[0] for r in (p.limit(most) if most else p).collect()]
 
 
 def composite_ucc(df: DataFrame, columns: list[str], max_k: int = 3) -> list[tuple[str, ...]]:
-    """Minimal unique column sets of two to ``max_k`` columns, level by level."""
-    found: list[tuple[str, ...]] = []
-    for k in range(2, max_k + 1):
-        found += unique_combinations(df, [c for c in combinations(columns, k) if not any(set(f) <= set(c) for f in found)])
-    return found
+    """Minimal unique column sets of two to ``max_k`` columns."""
+    return [f.columns for f in search(df, columns, max_k).found]
 
 
 def uuid_like(freq: DataFrame, share: float = 0.95) -> DataFrame:
@@ -90,9 +75,6 @@ def uuid_like(freq: DataFrame, share: float = 0.95) -> DataFrame:
     return g.select("table_name", "column_name", (F.col("s") >= share).alias("uuid_like"))
 
 
-BAD_REFERENCE_PARTS = ("minute", "second", "hour", "status", "flag", "qty", "count", "number_of")
-
-
 def reliable(edges: DataFrame, min_score: float = 0.95, min_sim: float = 0.30) -> DataFrame:
     """Edges that count as references to a key."""
     both = ends_in_id(F.col("fk_column")) & ends_in_id(F.col("pk_column"))

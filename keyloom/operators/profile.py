@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import date_formats, date_mask, parse_date
 from ..functions.normalize import int_like, numeric_tokens, strip
 from ..plans.cells import family
 
@@ -186,23 +187,28 @@ def consistency_string(df: DataFrame, column: str, order: str, n: int = 200) ->
 
 
 TRUE_TOKENS, FALSE_TOKENS = ("true", "t", "yes", "y", "1", "on"), ("false", "f", "no", "n", "0", "off")
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "yyyyMMdd", "yyyy")
 
 
-def _date(v: Column) -> Column:
-    # years stand alone only from 1000 on, as other short numbers aren't dates
-    ok = F.when(v.rlike("^[0-9]+$") & ~v.rlike("^([12][0-9]{3}|[12][0-9]{7})$"), F.lit(None)).otherwise(v)
-    return F.coalesce(*(F.try_to_timestamp(ok, F.lit(f)) for f in DATE_FORMATS))
+def _number(v: Column) -> Column:
+    """A text as a number, also with signs of currency and the like; most are plain ones, and those without a digit aren't looked at twice."""
+    return F.coalesce(v.try_cast("double"), F.when(v.rlike("[0-9]"), numeric_tokens(v).try_cast("double")))
 
 
-def type_ratios(freq: DataFrame) -> DataFrame:
-    """Shares of a column's non-null cells that read as boolean, date, number and, of the numbers, integer; on all values, weighted."""
+def induced_dates(freq: DataFrame, day_first: bool = False) -> DataFrame:
+    """(table_name, column_name, mask, order, cells, dates, date_min, date_max): the formats of dates that columns show."""
+    values = freq.where("v is not null").select("table_name", "column_name", strip(F.col("v")).alias("v"), "cnt")
+    return date_formats(values, ["table_name", "column_name"], day_first)
+
+
+def type_ratios(freq: DataFrame, day_first: bool = False) -> DataFrame:
+    """Shares of a column's non-null cells that read as boolean, date, number and, of the numbers, integer; on all values, weighted. Dates are read in the order that their mask shows."""
+    two = ["table_name", "column_name"]
     f = freq.where("v is not null").withColumn("low", F.lower(strip(F.col("v"))))
-    num = numeric_tokens(F.col("v")).try_cast("double")
-    f = f.select("table_name", "column_name", "cnt", F.col("low").isin(*TRUE_TOKENS, *FALSE_TOKENS).alias("b"), _date(strip(F.col("v"))).isNotNull().alias("d"), num.alias("x"))
+    f = f.select(*two, "cnt", F.col("low").isin(*TRUE_TOKENS, *FALSE_TOKENS).alias("b"), _number(F.col("v")).alias("x"))
     share = lambda hit: F.sum(F.when(hit, F.col("cnt")).otherwise(0)).cast("double")
-    g = f.groupBy("table_name", "column_name").agg(F.sum("cnt").cast("double").alias("n"), share(F.col("b")).alias("b"), share(F.col("d")).alias("d"), share(F.col("x").isNotNull()).alias("x"), share(int_like(F.col("x"), 1e-9)).alias("i"))
-    return g.select("table_name", "column_name", (F.col("b") / F.col("n")).alias("bool_ratio"), (F.col("d") / F.col("n")).alias("date_ratio"), (F.col("x") / F.col("n")).alias("numeric_ratio"), F.when(F.col("x") > 0, F.col("i") / F.col("x")).otherwise(0.0).alias("int_ratio"))
+    g = f.groupBy(*two).agg(F.sum("cnt").cast("double").alias("n"), share(F.col("b")).alias("b"), share(F.col("x").isNotNull()).alias("x"), share(int_like(F.col("x"), 1e-9)).alias("i"))
+    g = g.join(induced_dates(freq, day_first).groupBy(*two).agg(F.sum("dates").cast("double").alias("d")), two, "left")
+    return g.select(*two, (F.col("b") / F.col("n")).alias("bool_ratio"), (F.coalesce("d", F.lit(0.0)) / F.col("n")).alias("date_ratio"), (F.col("x") / F.col("n")).alias("numeric_ratio"), F.when(F.col("x") > 0, F.col("i") / F.col("x")).otherwise(0.0).alias("int_ratio"))
 
 
 def decide_types(ratios: DataFrame) -> DataFrame:
@@ -214,19 +220,22 @@ def decide_types(ratios: DataFrame) -> DataFrame:
     return ratios.withColumns({"atomic_type": kind, "atomic_prob": prob})
 
 
-def convert(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Columns cast to inferred types; what doesn't read becomes null."""
+def convert(df: DataFrame, types: dict[str, str], orders: DataFrame | None = None, day_first: bool = False) -> DataFrame:
+    """Columns cast to inferred types; what doesn't read becomes null. ``orders`` (column_name, mask, order), as ``induced_dates`` gives them for this table, tell how dates are to be read; without it each one is read by itself."""
+    known: dict[str, list[tuple[str, str]]] = {}
+    for r in orders.select("column_name", "mask", "order").collect() if orders is not None else []:  # few masks a column
+        known.setdefault(r[0], []).append((r[1], r[2]))
 
     def of(c: str) -> Column:
         v = F.col(f"`{c}`").cast("string")
         low = F.lower(strip(v))
-        num = numeric_tokens(v).try_cast("double")
         kind = types.get(c, "string")
         if kind == "bool":
             return F.when(low.isin(*TRUE_TOKENS), True).when(low.isin(*FALSE_TOKENS), False)
         if kind == "date":
-            return _date(strip(v))
-        return {"int": F.rint(num).cast("long"), "float": num}.get(kind, v)
+            order = F.try_element_at(F.create_map(*(F.lit(x) for kv in known[c] for x in kv)), date_mask(strip(v))) if c in known else None
+            return parse_date(strip(v), order, day_first)
+        return {"int": F.rint(_number(v)).cast("long"), "float": _number(v)}.get(kind, v)
 
     return df.select(*(of(c).alias(c) for c in df.columns))
 

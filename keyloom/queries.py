@@ -6,6 +6,8 @@ digits, and lists are joined to text, so that results compare.
 
 from __future__ import annotations
 
+import itertools
+import json
 import tempfile
 import uuid
 
@@ -16,8 +18,9 @@ from . import viz
 from .config import DefaultConfig, SoftConfig
 from .functions import names
 from .functions.normalize import int_like, int_rep, memory_clean, no_zeros_rep, raw_rep, sql_clean, zfill_rep
-from .operators import inclusion, keys, profile, quality, recommend, selection
-from .plans.cells import frequencies
+from .operators import composite, inclusion, keys, profile, quality, recommend, selection
+from .plans.cells import frequencies, small
+from .sources import store
 from .sources.catalog import Catalog, null_tokens_to_null
 
 #: The integer and text columns of the relational tables, with their families.
@@ -202,7 +205,7 @@ def _profiles(spark, d):
 
 def _chain(spark, d):
     freq = frequencies(core(spark, d)).persist()
-    p = profile.profile(freq)
+    p = small(profile.profile(freq))
     ucc = keys.unary_ucc(p)
     ind = inclusion.strict_inclusions(freq, p, ucc)
     scored = selection.score(ind)
@@ -821,6 +824,88 @@ def _(spark, d):
     return profile.convert(_typed(spark, d).drop("mixed"), {"num": "int", "flag": "bool", "day": "date", "price": "float"}).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
+#: Texts of an order's date in several formats, and what shows their order: name, format in SQL, mask, order, whether only days up to 12 are taken.
+DAYS = [
+    ("eu", "%d-%m-%Y", "99-99-9999", "dmy", ""),
+    ("us", "%m/%d/%Y", "99/99/9999", "mdy", ""),
+    ("open", "%d.%m.%Y", "99.99.9999", "mdy", "day(o_orderdate) > 12"),
+    ("named", "%d %b %Y", "99 aaa 9999", "ymd", ""),
+    ("stamp", "%b %d, %Y %I:%M %p", "aaa 99, 9999 99:99 aa", "ymd", ""),
+    ("iso", "%Y-%m-%dT%H:%M:%S", "9999-99-99a99:99:99", "ymd", ""),
+]
+_SPARK_DAY = {"%d": "dd", "%m": "MM", "%Y": "yyyy", "%b": "MMM", "%I": "hh", "%M": "mm", "%p": "a", "%H": "HH", "%S": "ss"}
+MIX = "CASE WHEN o_orderkey % 3 = 0 THEN {iso} WHEN o_orderkey % 3 = 1 THEN {eu} ELSE concat('no day ', cast(o_orderkey AS {text})) END"
+
+
+def _day(fmt: str, spark: bool) -> str:
+    if not spark:
+        return f"strftime(o_orderdate, '{fmt}')"
+    for a, b in _SPARK_DAY.items():
+        fmt = fmt.replace(a, b)
+    return f"date_format(o_orderdate, {json.dumps(fmt.replace('T', chr(39) + 'T' + chr(39)))})"
+
+
+def _days(spark: bool) -> list[tuple[str, str]]:
+    cols = [(n, f"CASE WHEN {skip} THEN NULL ELSE {_day(f, spark)} END" if skip else _day(f, spark)) for n, f, _, _, skip in DAYS]
+    mix = MIX.format(iso=_day("%Y-%m-%d", spark), eu=_day("%d/%m/%Y", spark), text="string" if spark else "VARCHAR")
+    return [*cols, ("mix", mix)]
+
+
+def _days_sql() -> str:
+    midnight = "o_orderdate::DATE::TIMESTAMP"
+    parts = [(n, m, o, f"NOT ({skip})" if skip else "true", "make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate))::TIMESTAMP" if n == "open" else midnight) for n, _, m, o, skip in DAYS]
+    parts += [("mix", "9999-99-99", "ymd", "o_orderkey % 3 = 0", midnight), ("mix", "99/99/9999", "dmy", "o_orderkey % 3 = 1", midnight)]
+    return " UNION ALL ".join(f"SELECT '{n}' AS column_name, '{m}' AS mask, '{o}' AS \"order\", count(*) AS cells, count(*) AS dates, strftime(min(t), '%Y-%m-%d %H:%M') AS date_min, strftime(max(t), '%Y-%m-%d %H:%M') AS date_max FROM (SELECT {t} AS t FROM orders WHERE {w})" for n, m, o, w, t in parts)
+
+
+@query("date_formats_induced", _days_sql())
+def _(spark, d):
+    """Formats of dates by masks: day-first, month-first, open and named ones, times, and two formats in one column."""
+    days = _t(spark, d, "orders").selectExpr(*(f"{e} AS {n}" for n, e in _days(True)))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    return profile.induced_dates(frequencies({"days": days})).select("column_name", "mask", "order", "cells", "dates", iso("date_min"), iso("date_max"))
+
+
+@query("date_types_and_values", f"""WITH t AS (SELECT o_orderkey, {", ".join(f"{e} AS {n}" for n, e in _days(False))} FROM orders)
+SELECT o_orderkey, strftime(strptime(eu, '%d-%m-%Y'), '%Y-%m-%d') AS eu, strftime(strptime(us, '%m/%d/%Y'), '%Y-%m-%d') AS us, strftime(strptime(named, '%d %b %Y'), '%Y-%m-%d') AS named, strftime(coalesce(try_strptime(mix, '%Y-%m-%d'), try_strptime(mix, '%d/%m/%Y')), '%Y-%m-%d') AS mix FROM t""")
+def _(spark, d):
+    """Texts become dates by the induced order of their mask."""
+    t = _t(spark, d, "orders").selectExpr("o_orderkey", *(f"{e} AS {n}" for n, e in _days(True))).select("o_orderkey", "eu", "us", "named", "mix")
+    orders = profile.induced_dates(frequencies({"t": t}))
+    out = profile.convert(t, {"o_orderkey": "int", **dict.fromkeys(("eu", "us", "named", "mix"), "date")}, orders)
+    return out.select("o_orderkey", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("eu", "us", "named", "mix")))
+
+
+# Signatures -----------------------------------------------------------------------------------------------------------------
+def _signature_sql(t: str, cols) -> str:
+    text = ", ".join(f"coalesce(cast({c} AS VARCHAR), chr(30))" for c in cols)
+    return f"SELECT '{t}' AS table_name, count(*) AS n_rows, bit_xor(h) AS hash_xor, cast(sum(h::HUGEINT) AS VARCHAR) AS hash_sum FROM (SELECT ('0x' || substr(md5(concat_ws(chr(31), {text})), 1, 15))::BIGINT AS h FROM {t})"
+
+
+@query("content_signatures", " UNION ALL ".join(_signature_sql(t, c) for t, c in COLUMNS.items()))
+def _(spark, d):
+    return store.signatures(core(spark, d), portable=True).withColumn("hash_sum", F.col("hash_sum").cast("string"))
+
+
+def _scratch(spark) -> str:
+    """A new folder that driver and executors share; one of this machine in local sessions only."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='keyloom-')}/keyloom/{uuid.uuid4().hex}"
+
+
+@query("frequencies_kept_and_added", "SELECT o, column_name, count(v) AS n_unique, sum(cnt)::BIGINT AS n_rows FROM (" + " UNION ALL ".join(f"SELECT '{o}' AS o, '{c}' AS column_name, cast({c} AS VARCHAR) AS v, count(*) AS cnt FROM orders WHERE {w} GROUP BY ALL" for o, w in (("1 counted", "o_orderkey % 3 > 0"), ("2 kept", "o_orderkey % 3 > 0"), ("3 appended", "true")) for c in COLUMNS["orders"]) + ") GROUP BY ALL")
+def _(spark, d):
+    """Counts two thirds of a table's files, takes them from the store at the next call, and adds the last third when it is there."""
+    folder, orders = _scratch(spark), core(spark, d)["orders"]
+    kept, out = store.FrequencyStore(spark, f"{folder}/store"), None
+    for turn, rest in enumerate(([1, 2], [], [0]), 1):
+        for r in rest:
+            orders.where(F.col("o_orderkey") % 3 == r).write.mode("append").parquet(f"{folder}/orders")
+        freq = kept.frequencies({"orders": spark.read.parquet(f"{folder}/orders")}, sql_clean, "sql")
+        one = freq.groupBy("column_name").agg(F.count("v").alias("n_unique"), F.sum("cnt").alias("n_rows")).select(F.lit(f"{turn} {kept.outcome['orders']}").alias("o"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # Recommendations ------------------------------------------------------------------------------------------------------------
 PK = """pk AS (SELECT u.table_name, u.column_name, round(least(1.0, 0.65 * u.unique_ratio_non_null + 0.25 * (1 - u.null_ratio) + CASE WHEN u.dtype_family = 'int' THEN 0.1 ELSE 0 END), 6)::DOUBLE AS confidence, (SELECT count(*) FROM edges e WHERE e.pk_table = u.table_name AND e.pk_column = u.column_name) AS refs, u.dtype_family FROM ucc u),
 pk1 AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY confidence DESC, column_name) AS place FROM pk)"""
@@ -848,10 +933,23 @@ def _(spark, d):
     return _round(_fks(spark, d))
 
 
-@query("recommend_composite", f"SELECT 'lineitem' AS table_name, columns, 0.3::DOUBLE AS confidence, '' AS reason_codes FROM ({ORACLE['composite_ucc_k3_minimal']})")
+def _ratios_sql(cols, table: str) -> str:
+    hole = " OR ".join(f"{c} IS NULL" for c in cols)
+    return f"SELECT '{table}' AS table_name, '{','.join(cols)}' AS columns, {len(cols)} AS k, count(*) FILTER ({hole}) AS holes, count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(cols)} FROM {table} WHERE NOT ({hole}))) AS vals FROM {table}"
+
+
+#: Columns of a derived table: (lot, slot) repeats in places, (lot, desk) is unique where it isn't null.
+SLOTS = "o_orderkey - o_orderkey % 10 AS lot, o_orderkey % 9 AS slot, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 10 END AS desk, o_custkey AS client"
+SLOT_SETS = [c for k in (2, 3) for c in itertools.combinations(("lot", "slot", "desk", "client"), k)]
+
+
+@query("recommend_composite", f"""WITH slots AS (SELECT {SLOTS} FROM orders), s AS ({" UNION ALL ".join([_ratios_sql(c, "lineitem") for c in (*PAIRS, LINE)] + [_ratios_sql(c, "slots") for c in SLOT_SETS])}),
+ok AS (SELECT * FROM s WHERE vals = n - holes AND n > holes), minimal AS (SELECT * FROM ok a WHERE NOT EXISTS (SELECT 1 FROM ok b WHERE b.table_name = a.table_name AND b.k < a.k AND list_has_all(string_split(a.columns, ','), string_split(b.columns, ','))))
+SELECT table_name, columns, round(0.7 * vals / (n - holes) + 0.3 * (1 - holes::DOUBLE / n), 6)::DOUBLE AS confidence, round(vals::DOUBLE / (n - holes), 6)::DOUBLE AS unique_ratio, round(holes::DOUBLE / n, 6)::DOUBLE AS null_ratio, CASE WHEN vals::DOUBLE / (n - holes) >= 0.999 THEN 'composite_unique_high' ELSE '' END AS reason_codes FROM minimal""")
 def _(spark, d):
-    rows = [("lineitem", tuple(r["columns"].split(","))) for r in _composite(spark, d, 3).collect()]
-    return _round(recommend.composite_keys(rows, spark))
+    tables = {"lineitem": (_t(spark, d, "lineitem"), LINE), "slots": (_t(spark, d, "orders").selectExpr(*SLOTS.split(", ")), ["lot", "slot", "desk", "client"])}
+    found = [(t, list(f.columns), f.unique_ratio, f.null_ratio) for t, (df, columns) in tables.items() for f in composite.search(df, columns, allow_nulls=True).found]
+    return _round(recommend.composite_keys(spark.createDataFrame(found, "table_name string, columns array<string>, unique_ratio double, null_ratio double"), 9))
 
 
 TYPES = """CASE WHEN dtype_family = 'int' AND int_min >= -32768 AND int_max <= 32767 THEN 'SMALLINT' WHEN dtype_family = 'int' AND int_min >= -2147483648 AND int_max <= 2147483647 THEN 'INT' WHEN dtype_family = 'int' THEN 'BIGINT'
