@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SoftConfig, StrictConfig
 from ..functions.names import name_similarity
-from ..functions.normalize import int_rep, is_digits, no_zeros_rep, raw_rep, strip, to_number, zfill_rep
+from ..functions.normalize import int_like, raw_rep
 from ..plans.cells import small
 from .sketches import gated_pairs
 
@@ -119,68 +120,105 @@ REPS = ("raw_str", "num_int_str", "digits_lstrip_zeros", "zfill", "num_int_str_z
 
 
 def _numeric_columns(values: DataFrame) -> DataFrame:
-    """Per column: whether it takes integer representations, and its longest run of digits."""
-    x = to_number(F.col("v"))
-    n, parsed = F.sum("cnt"), F.sum(F.when(x.isNotNull(), F.col("cnt")).otherwise(0))
-    whole = F.sum(F.when(F.abs(x - F.rint(x)) <= F.lit(1e-9) + F.lit(1e-5) * F.abs(F.rint(x)), F.col("cnt")).otherwise(0))
-    width = F.coalesce(F.max(F.when(is_digits(F.col("v")), F.length(strip(F.col("v"))))), F.lit(0))
-    g = values.groupBy(*_COLUMN).agg(n.alias("n"), parsed.alias("p"), whole.alias("w"), width.alias("digits"), F.sum(F.when(F.col("v").isNotNull(), F.col("cnt")).otherwise(0)).alias("eff"))
+    """Per column of stripped values: whether it takes integer representations, its longest run of digits, and how many cells it has with a value."""
+    x, v = F.col("v").try_cast("double"), F.col("v")
+    values = values.withColumn("x", x)
+    near = F.abs(F.col("x") - F.rint("x")) <= F.lit(1e-9) + F.lit(1e-5) * F.abs(F.rint("x"))
+    n, parsed, whole = F.sum("cnt"), F.sum(F.when(F.col("x").isNotNull(), F.col("cnt")).otherwise(0)), F.sum(F.when(near, F.col("cnt")).otherwise(0))
+    width = F.coalesce(F.max(F.when(v.rlike("^[0-9]+$"), F.length(v))), F.lit(0))
+    g = values.groupBy(*_COLUMN).agg(n.alias("n"), parsed.alias("p"), whole.alias("w"), width.alias("digits"), F.sum(F.when(v.isNotNull(), F.col("cnt")).otherwise(0)).alias("eff"))
     return g.select(*_COLUMN, ((F.col("p") > 0) & (F.col("p") >= 0.5 * F.col("n")) & (F.col("w") >= 0.98 * F.col("p"))).alias("numeric"), "digits", "eff")
 
 
-def representations(values: DataFrame, widths: DataFrame, max_abs: int) -> DataFrame:
-    """(table_name, column_name, rep, width, x, cnt): each column's values in each representation; padded ones for each width in ``widths`` (table_name, column_name, numeric, width)."""
+class _Codes:
+    """Numbers for (column, representation, width): plain representations of every column, padded ones for each width that one of its pairs asks for."""
+
+    def __init__(self, pairs: list[dict]):
+        self.all: list[tuple[str, str, str, int]] = []
+        self.of: dict[tuple[str, str], dict[tuple[str, int], int]] = {}
+        self.numeric: dict[tuple[str, str], bool] = {}
+        widths: dict[tuple[str, str], set[int]] = {}
+        for p in pairs:
+            for s in ("fk", "pk"):
+                c = (p[f"{s}_table"], p[f"{s}_column"])
+                self.numeric[c] = p[f"{s}_numeric"]
+                widths.setdefault(c, set()).update({p["pair_width"]} - {0})
+        for c, ws in widths.items():
+            for rep, width in [(r, 0) for r in REPS[:3]] + [(r, w) for w in sorted(ws) for r in REPS[3:]]:
+                self.of.setdefault(c, {})[rep, width] = len(self.all)
+                self.all.append((*c, rep, width))
+
+    def columns(self, spark: SparkSession) -> DataFrame:
+        rows = [(*c, self.numeric[c], [k[r, 0] for r in REPS[:3]], [(w, k[REPS[3], w], k[REPS[4], w]) for w in sorted({w for _, w in k} - {0})]) for c, k in self.of.items()]
+        return spark.createDataFrame(rows, "table_name string, column_name string, numeric boolean, plain array<int>, padded array<struct<width:int,text:int,number:int>>")
+
+    def routes(self, pairs: list[dict]) -> dict[int, list[int]]:
+        """For each number of a child those of its routed parents' representations."""
+        to: dict[int, list[int]] = {}
+        for p in pairs:
+            fk, pk = (self.of[p[f"{s}_table"], p[f"{s}_column"]] for s in ("fk", "pk"))
+            parents = [i for (_, w), i in pk.items() if w in (0, p["pair_width"])]
+            for (_, w), i in fk.items():
+                if w in (0, p["pair_width"]):
+                    to.setdefault(i, []).extend(parents)
+        return to
+
+
+def representations(values: DataFrame, columns: DataFrame, max_abs: int) -> DataFrame:
+    """(rid, x, cnt): the stripped values of columns in each of their representations, by its number; ``columns`` as _Codes gives them, a row per column."""
     v = F.col("v")
-    number = F.when(F.col("numeric"), int_rep(v, max_abs))
-    base = values.join(widths.select(*_COLUMN, "numeric").distinct(), _COLUMN)
-    plain = base.select(*_COLUMN, "cnt", F.inline(F.array(*(F.struct(F.lit(n).alias("rep"), F.lit(0).alias("width"), x.alias("x")) for n, x in zip(REPS, (raw_rep(v), number, no_zeros_rep(v)), strict=False)))))
-    wide = values.join(widths.where("width > 1").distinct(), _COLUMN)
-    padded = wide.select(*_COLUMN, "cnt", F.inline(F.array(*(F.struct(F.lit(n).alias("rep"), F.col("width").alias("width"), zfill_rep(x, F.col("width")).alias("x")) for n, x in zip(REPS[3:], (v, number), strict=True)))))
-    return plain.unionByName(padded).where("x is not null").groupBy(*_COLUMN, "rep", "width", "x").agg(F.sum("cnt").alias("cnt"))
+    base = values.join(F.broadcast(columns), _COLUMN).withColumns({"digits": v.rlike("^[0-9]+$"), "number": F.when(F.col("numeric"), v.try_cast("double"))})
+    whole = int_like(F.col("number"), 1e-9) & (F.abs(F.rint("number")) <= max_abs)
+    base = base.withColumn("number", F.when(whole, F.rint("number").cast("long").cast("string")))
+    pad = lambda x, digits, w: F.when(digits, F.lpad(x, F.greatest(F.length(x), w), F.lit("0"))).otherwise(x)
+    plain = F.array(*(F.struct(F.col("plain")[i].alias("rid"), x.alias("x")) for i, x in enumerate((v, F.col("number"), F.when(F.col("digits"), F.regexp_replace(v, "^0+(?=.)", ""))))))
+    texts = F.transform("padded", lambda p: F.struct(p["text"].alias("rid"), pad(v, F.col("digits"), p["width"]).alias("x")))
+    numbers = F.transform("padded", lambda p: F.struct(p["number"].alias("rid"), pad(F.col("number"), ~F.col("number").startswith("-"), p["width"]).alias("x")))
+    return base.select("cnt", F.inline(F.concat(plain, texts, numbers))).where("x is not null").groupBy("rid", "x").agg(F.sum("cnt").alias("cnt"))
 
 
 def soft_matches(freq: DataFrame, pairs: DataFrame, cfg: SoftConfig = SoftConfig()) -> DataFrame:
-    """Coverages of every routed pair in every pair of representations with a value in common; placeholders that dominate a child are left out.
+    """Coverages of every routed pair in every pair of representations with a value in common, and the bounds of both; placeholders that dominate a child are left out.
 
-    Ties for a child's most frequent value go to the smallest value. ``freq`` holds raw (unstripped) values.
+    One shuffle by value serves all pairs: where a value meets, it counts for routed pairs only. Ties for a child's most frequent value go to the smallest value. The bounds are those of the texts that
+    read as numbers, null without any. ``freq`` holds raw (unstripped) values. What comes out has a few rows for each pair, and is worked out at once.
     """
+    spark = freq.sparkSession
     used = pairs.select(F.col("fk_table").alias("table_name"), F.col("fk_column").alias("column_name")).unionByName(pairs.select("pk_table", "pk_column").toDF(*_COLUMN)).distinct()
-    values = freq.join(used, _COLUMN, "left_semi").select(*_COLUMN, raw_rep(F.col("v")).alias("v"), "cnt")
+    values = freq.join(F.broadcast(used), _COLUMN, "left_semi").select(*_COLUMN, raw_rep(F.col("v")).alias("v"), "cnt")
     stats = small(_numeric_columns(values))
-    of = lambda s: stats.select(F.col("table_name").alias(f"{s}_table"), F.col("column_name").alias(f"{s}_column"), F.col("numeric").alias(f"{s}_numeric"), F.col("digits").alias(f"{s}_digits"), F.col("eff").alias(f"{s}_eff"))
+    of = lambda s: stats.toDF(f"{s}_table", f"{s}_column", f"{s}_numeric", f"{s}_digits", f"{s}_eff")
     w = F.greatest("fk_digits", "pk_digits")
     pairs = pairs.join(of("fk"), ["fk_table", "fk_column"]).join(of("pk"), ["pk_table", "pk_column"]).where((F.col("fk_eff") >= cfg.min_non_null) & (F.col("pk_eff") >= cfg.min_non_null))
-    pairs = pairs.withColumn("pair_width", F.when((w > 1) & (w <= cfg.max_width), w).otherwise(0)).drop("fk_digits", "pk_digits", "fk_eff", "pk_eff")
-    pairs = small(pairs)  # max_parents for each child at most
-    widths = pairs.select("fk_table", "fk_column", "fk_numeric", "pair_width").toDF(*_COLUMN, "numeric", "width").unionByName(pairs.select("pk_table", "pk_column", "pk_numeric", "pair_width").toDF(*_COLUMN, "numeric", "width")).distinct()
-    reps = representations(values.where("v is not null"), widths, cfg.max_abs_int)
-    mine = ["table_name", "column_name", "rep", "width"]
-    top = reps.groupBy(*mine).agg(F.sum("cnt").alias("rows"), F.count("*").alias("distinct"), F.min(F.struct((-F.col("cnt")).alias("k"), F.col("x"))).alias("top"))
-    top = small(top.select(*mine, "rows", "distinct", F.col("top.x").alias("top_x"), (-F.col("top.k")).alias("top_cnt")))
-    named = lambda df, s: df.select(F.col("table_name").alias(f"{s}_table"), F.col("column_name").alias(f"{s}_column"), F.col("rep").alias(f"{s}_rep"), F.col("width").alias(f"{s}_width"), *(F.col(c) for c in df.columns if c not in mine))
-    # Each value takes the list of its column's parents along, a few names, instead of a copy for each of them; the join on the value looks at the list.
-    route = F.struct("pk_table", "pk_column", "pair_width")
-    routes = pairs.select("fk_table", "fk_column", route.alias("route"), F.explode(F.array_distinct(F.array(F.lit(0), F.col("pair_width")))).alias("fk_width"))
-    routes = routes.groupBy("fk_table", "fk_column", "fk_width").agg(F.collect_list("route").alias("routes"))
-    child = named(reps, "fk").join(routes, ["fk_table", "fk_column", "fk_width"])
-    parent = named(reps.select(*mine, "x"), "pk")
-    group = ["fk_table", "fk_column", "pk_table", "pk_column", "fk_rep", "fk_width", "pk_rep", "pk_width"]
-    heads = named(top, "fk")
-    routed = F.exists("routes", lambda r: (r["pk_table"] == F.col("pk_table")) & (r["pk_column"] == F.col("pk_column")) & ((F.col("pk_width") == 0) | (F.col("pk_width") == r["pair_width"])))
-    met = child.join(parent, "x").where(routed)
+    pairs = pairs.withColumn("pair_width", F.when((w > 1) & (w <= cfg.max_width), w).otherwise(0))
+    listed = [r.asDict() for r in pairs.select("fk_table", "fk_column", "pk_table", "pk_column", "name_sim", "fk_numeric", "pk_numeric", "pair_width").collect()]  # max_parents for each child at most
+    codes = _Codes(listed)
+    to = codes.routes(listed)
+    wanted = {i for ps in to.values() for i in ps}
+    routes = spark.createDataFrame([(i, p, i in wanted) for i in range(len(codes.all)) for p in [to.get(i, [])]], "rid int, to array<int>, parent boolean")
+    reps = representations(values.where("v is not null"), codes.columns(spark), cfg.max_abs_int).persist(StorageLevel.MEMORY_AND_DISK)
+    number = F.col("x").try_cast("double")
+    top = small(reps.groupBy("rid").agg(F.sum("cnt").alias("rows"), F.count("*").alias("distinct"), F.min(F.struct((-F.col("cnt")).alias("k"), F.col("x"))).alias("top"), F.min(number).alias("min"), F.max(number).alias("max")))
+    routes = F.broadcast(routes)
+    met = reps.join(routes.select("rid", (F.size("to") > 0).alias("child"), "parent"), "rid").groupBy("x").agg(F.collect_list(F.when(F.col("child"), F.struct("rid", "cnt"))).alias("children"), F.collect_list(F.when(F.col("parent"), F.col("rid"))).alias("parents"))
+    met = met.where((F.size("children") > 0) & (F.size("parents") > 0)).select("x", "parents", F.inline("children")).join(routes.select("rid", "to"), "rid")
+    met = met.select("rid", F.explode(F.array_intersect("to", "parents")).alias("pid"), "x", "cnt")
     # if the child's most frequent value is among the common ones, it is the most frequent of these
-    met = met.groupBy(*group).agg(F.count("*").alias("intersection_distinct"), F.sum("cnt").alias("matched_rows"), F.min(F.struct((-F.col("cnt")).alias("k"), F.col("x"))).alias("common"))
-    met = met.join(heads, ["fk_table", "fk_column", "fk_rep", "fk_width"]).join(named(top, "pk").select("pk_table", "pk_column", "pk_rep", "pk_width", F.col("distinct").alias("pk_distinct")), ["pk_table", "pk_column", "pk_rep", "pk_width"])
-    met = met.withColumn("top_in", (F.col("common.x") == F.col("top_x")).cast("int")).join(pairs.select("fk_table", "fk_column", "pk_table", "pk_column", "name_sim"), ["fk_table", "fk_column", "pk_table", "pk_column"])
-    ratio = F.col("top_cnt") / F.col("rows")
-    drop = ((ratio >= cfg.placeholder_top1) & F.lower("top_x").isin(list(cfg.placeholders))) | ((ratio >= cfg.max_top1) & (F.col("top_in") == 0))
+    met = small(met.groupBy("rid", "pid").agg(F.count("*").alias("intersection_distinct"), F.sum("cnt").alias("matched_rows"), F.min(F.struct((-F.col("cnt")).alias("k"), F.col("x"))).alias("common")))
+    reps.unpersist()
+    place = {r: i for i, r in enumerate(REPS, 1)}
+    names = spark.createDataFrame([(i, t, c, f"{r}_{w}" if w else r, place[r]) for i, (t, c, r, w) in enumerate(codes.all)], "rid int, table string, column string, rep string, place int")
+    side = lambda s, key: names.join(top, "rid").select(F.col("rid").alias(key), *(F.col(c).alias(f"{s}_{c}") for c in ("table", "column", "rep", "place", "min", "max", "rows", "distinct", "top")))
+    met = met.join(side("fk", "rid"), "rid").join(side("pk", "pid").drop("pk_rows", "pk_top"), "pid")
+    met = met.join(spark.createDataFrame([tuple(p[c] for c in ("fk_table", "fk_column", "pk_table", "pk_column", "name_sim")) for p in listed], "fk_table string, fk_column string, pk_table string, pk_column string, name_sim double"), ["fk_table", "fk_column", "pk_table", "pk_column"])
+    met = met.withColumns({"top_cnt": -F.col("fk_top.k"), "top_in": (F.col("common.x") == F.col("fk_top.x")).cast("int")})
+    ratio = F.col("top_cnt") / F.col("fk_rows")
+    drop = ((ratio >= cfg.placeholder_top1) & F.lower("fk_top.x").isin(list(cfg.placeholders))) | ((ratio >= cfg.max_top1) & (F.col("top_in") == 0))
     cut = lambda c, by: F.col(c) - F.when(F.col("drop"), by).otherwise(0)
-    met = met.withColumn("drop", drop).withColumns({"fk_non_null_rows": cut("rows", F.col("top_cnt")), "fk_distinct": cut("distinct", F.lit(1)), "matched_rows": cut("matched_rows", F.col("top_cnt") * F.col("top_in")), "intersection_distinct": cut("intersection_distinct", F.col("top_in"))})
+    met = met.withColumn("drop", drop).withColumns({"fk_non_null_rows": cut("fk_rows", F.col("top_cnt")), "fk_distinct": cut("fk_distinct", F.lit(1)), "matched_rows": cut("matched_rows", F.col("top_cnt") * F.col("top_in")), "intersection_distinct": cut("intersection_distinct", F.col("top_in"))})
     met = met.withColumns({"distinct_coverage": F.coalesce(F.try_divide("intersection_distinct", "fk_distinct"), F.lit(0.0)), "row_coverage": F.coalesce(F.try_divide("matched_rows", "fk_non_null_rows"), F.lit(0.0)), "top1_ratio": ratio})
-    full = lambda s: F.when(F.col(f"{s}_width") > 0, F.concat_ws("_", f"{s}_rep", F.col(f"{s}_width").cast("string"))).otherwise(F.col(f"{s}_rep"))
-    place = lambda s: F.array_position(F.array(*map(F.lit, REPS)), F.col(f"{s}_rep"))
-    met = met.withColumns({"fk_place": place("fk"), "pk_place": place("pk")}).withColumns({"fk_rep": full("fk"), "pk_rep": full("pk")})
-    return met.select("fk_table", "fk_column", "pk_table", "pk_column", "name_sim", "fk_rep", "pk_rep", "fk_place", "pk_place", "fk_non_null_rows", "fk_distinct", "pk_distinct", "intersection_distinct", "matched_rows", "distinct_coverage", "row_coverage", "top1_ratio")
+    counts = ("fk_non_null_rows", "fk_distinct", "pk_distinct", "intersection_distinct", "matched_rows", "distinct_coverage", "row_coverage", "top1_ratio")
+    return met.select("fk_table", "fk_column", "pk_table", "pk_column", "name_sim", "fk_rep", "pk_rep", "fk_place", "pk_place", *counts, "fk_min", "fk_max", "pk_min", "pk_max")
 
 
 def best_representation(matches: DataFrame) -> DataFrame:
@@ -217,8 +255,6 @@ def soft_inclusions(freq: DataFrame, profiles: DataFrame, ucc: DataFrame, cfg: S
     pairs = route_pairs(soft_children(profiles, cfg), soft_parents(profiles, ucc, cfg), cfg)
     judged = soft_verdict(best_representation(soft_matches(freq, pairs, cfg)), cfg)
     four = ["fk_table", "fk_column", "pk_table", "pk_column"]
-    bounds = _side(profiles, "fk").select("fk_table", "fk_column", "fk_min", "fk_max")
-    accepted = judged.where("reason is null").drop("reason", "top1_ratio").withColumn("mode", F.lit("soft")).join(bounds, ["fk_table", "fk_column"], "left")
-    accepted = accepted.join(_side(profiles, "pk").select("pk_table", "pk_column", "pk_min", "pk_max"), ["pk_table", "pk_column"], "left")
+    accepted = judged.where("reason is null").drop("reason", "top1_ratio").withColumn("mode", F.lit("soft"))
     rejected = judged.where("reason is not null").select(*four, "name_sim", "reason")
     return accepted, rejected.unionByName(untested_pairs(freq, pairs, judged, cfg))

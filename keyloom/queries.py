@@ -592,6 +592,21 @@ def _(spark, d):
     return v.select("fk_column", "pk_column", F.coalesce("reason", F.lit("accepted")).alias("reason"))
 
 
+BOUNDS = ("fk_min", "fk_max", "pk_min", "pk_max")
+
+
+@query("soft_scores_range_penalty", _soft_sql() + f""", one AS (SELECT * FROM best WHERE intersection_distinct > 0 QUALIFY row_number() OVER (PARTITION BY fk_column, pk_column ORDER BY intersection_distinct::DOUBLE / fk_distinct DESC, matched_rows::DOUBLE / fk_non_null_rows DESC, fk_k, pk_k) = 1),
+bd AS (SELECT t, c, rep, min(try_cast(x AS DOUBLE)) AS lo, max(try_cast(x AS DOUBLE)) AS hi FROM r GROUP BY ALL),
+b AS (SELECT o.*, f.lo AS fk_min, f.hi AS fk_max, g.lo AS pk_min, g.hi AS pk_max, {sim_sql("fk_column", "pk_column")} AS name_sim FROM one o JOIN bd f ON f.t = fk_table AND f.c = fk_column AND f.rep = fk_rep JOIN bd g ON g.t = pk_table AND g.c = pk_column AND g.rep = pk_rep),
+p AS (SELECT *, CASE WHEN fk_min IS NULL OR pk_min IS NULL THEN 0.0 ELSE log10(greatest(1.0, greatest(1, pk_max - pk_min + 1)::DOUBLE / greatest(1, fk_max - fk_min + 1))) END AS wide, least(0.95, wide / (1 + wide)) * least(1.0, 2000.0::DOUBLE / greatest(1, fk_distinct)) AS range_penalty FROM b)
+SELECT fk_column, pk_column, fk_rep, pk_rep, {", ".join(f"round({c}, 6) AS {c}" for c in BOUNDS)}, round(range_penalty, 6) AS range_penalty,
+  round(greatest(0.0, least(1.0, 0.75 * (intersection_distinct::DOUBLE / fk_distinct) + 0.2 * (matched_rows::DOUBLE / fk_non_null_rows) + 0.05 * name_sim - 0.1 * range_penalty)), 6)::DOUBLE AS score FROM p""")
+def _(spark, d):
+    """The range penalty of soft inclusions takes the bounds of the representations that won."""
+    best = inclusion.best_representation(_soft(spark, d)[1])
+    return _round(selection.score(best.drop("name_sim")).select("fk_column", "pk_column", "fk_rep", "pk_rep", *BOUNDS, "range_penalty", "score"))
+
+
 UNTESTED = [
     ("sparse", "account_no", "accounts", "account_no"),
     ("sparse", "account_tag", "accounts", "account_no"),
