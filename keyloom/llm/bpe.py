@@ -9,8 +9,12 @@ occur. So no occurrence of a word is ever shuffled. Bytes are decoded from the i
 from __future__ import annotations
 
 import base64
+import fcntl
+import hashlib
 import json
+import os
 import re
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -245,24 +249,34 @@ def _sent_words(words: DataFrame, path: str) -> list[str]:
     return [f.rsplit("/", 1)[1] for f in files]
 
 
+def _mapped(files: list[str]) -> str:
+    """The folder with the words of fetched files as flat arrays, sorted by digest. The first worker of an executor that needs it writes it, next to the files."""
+    folder = os.path.join(SparkFiles.getRootDirectory(), f"words-{hashlib.sha1(' '.join(files).encode()).hexdigest()}")
+    with open(f"{folder}.lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if not os.path.isdir(folder):
+            kinds = pa.schema([("word", pa.binary()), ("digest", pa.int64()), ("ids", pa.string())])
+            t = pa.concat_tables([pq.read_table(SparkFiles.get(f), schema=kinds, use_threads=False) for f in files] or [kinds.empty_table()])
+            t = t.take(np.argsort(t["digest"].to_numpy())).combine_chunks()
+            new = tempfile.mkdtemp(dir=os.path.dirname(folder))
+            np.save(f"{new}/digest.npy", t["digest"].to_numpy())
+            for name in ("word", "ids"):
+                column = pa.concat_arrays(t[name].chunks) if t[name].num_chunks else pa.array([], t[name].type)
+                np.save(f"{new}/{name}.npy", np.frombuffer(column.buffers()[2] or b"", np.uint8))
+                np.save(f"{new}/{name}_at.npy", np.frombuffer(column.buffers()[1] or bytes(4), np.int32)[column.offset : column.offset + len(column) + 1])
+            del t, column
+            pa.default_memory_pool().release_unused()
+            os.rename(new, folder)
+    return folder
+
+
 class KnownWords:
-    """Words and their ids, as text, in flat arrays; found by their digests."""
-
-    def __init__(self, files: list[str]):
-        kinds = pa.schema([("word", pa.binary()), ("digest", pa.int64()), ("ids", pa.string())])
-        t = pa.concat_tables([pq.read_table(f, schema=kinds, use_threads=False) for f in files] or [kinds.empty_table()]).combine_chunks()
-        digests = t["digest"].to_numpy()
-        self.order = np.argsort(digests).astype(np.int32)
-        self.digests = digests[self.order]
-        self.word, self.word_at = self._flat(t["word"])
-        self.ids, self.ids_at = self._flat(t["ids"])
-        del t, digests
-        pa.default_memory_pool().release_unused()
-
-    @staticmethod
-    def _flat(column: pa.ChunkedArray) -> tuple[memoryview, np.ndarray]:
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-        return memoryview(column.buffers()[2] or b"").cast("B"), np.frombuffer(column.buffers()[1] or bytes(4), np.int32)[column.offset : column.offset + len(column) + 1]
+    """Words and their ids, as text, in memory-mapped arrays; found by their digests. A worker that has them open holds none of them."""
+
+    def __init__(self, folder: str):
+        mapped = lambda name: np.load(f"{folder}/{name}.npy", mmap_mode="r") if os.path.getsize(f"{folder}/{name}.npy") > 128 else np.load(f"{folder}/{name}.npy")
+        self.digests, self.word_at, self.ids_at = mapped("digest"), mapped("word_at"), mapped("ids_at")
+        self.word, self.ids = (memoryview(mapped(n)) for n in ("word", "ids"))
 
     def codes(self, words: list[str]) -> list[str | None]:
         """The ids of each word; None for words that aren't known."""
@@ -273,7 +287,7 @@ class KnownWords:
         digests = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in coded), np.uint64, len(coded)).view(np.int64)
         at = np.minimum(np.searchsorted(self.digests, digests), len(self.digests) - 1)
         hits = np.flatnonzero(self.digests[at] == digests)
-        at = self.order[at[hits]]
+        at = at[hits]
         word, ids = self.word, self.ids
         for i, w0, w1, i0, i1 in zip(*(x.tolist() for x in (hits, self.word_at[at], self.word_at[at + 1], self.ids_at[at], self.ids_at[at + 1])), strict=True):
             if word[w0:w1] == coded[i]:
@@ -313,7 +327,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public
     spaced = splits_at_spaces(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = KnownWords([SparkFiles.get(f) for f in files])  # not kept: idle workers would hold its memory through other stages
+        known = kept(("bpe words", *files), lambda: KnownWords(_mapped(files)))
         decoder = kept(("bpe tokens", path), lambda: Decoder(tokens.value))
         memo: dict[str, str] = kept(("bpe parts", *files), dict)
         find = regex.compile(plain).findall
