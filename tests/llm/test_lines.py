@@ -50,7 +50,9 @@ def test_line_dedup(spark, seed):
         assert (r["n_lines"], r["n_removed"]) == (len(ls), len(gone)), r
         assert r["clean_text"] == "\n".join(x for i, x in enumerate(ls) if i not in gone)
     assert any(r["n_removed"] for r in got)
-    assert ld.repeated_lines(ld.windows(df, 10, 4)).count() == sum(map(len, want.values()))
+    flat = ld.split_lines(df)
+    places = ld.selected_places(flat, 10, 4)
+    assert ld.repeated_lines(ld.extended(flat, ld.meeting_places(places), 10, 4)).count() == sum(map(len, want.values()))
 
 
 def test_passages_of_fifty_words(spark):
@@ -76,3 +78,35 @@ def test_long_texts_of_equal_lines(spark):
     df = spark.createDataFrame([(i, "\n".join(["the same line"] * 50_000)) for i in (1, 2)], "doc_id long, text string")
     assert [(r["doc_id"], r["n_removed"]) for r in ld.dedup_lines(df).orderBy("doc_id").collect()] == [(1, 49_999), (2, 50_000)]
     assert time.time() - began < 60
+
+
+def test_long_texts_of_different_lines_with_one_repeat(spark):
+    began = time.time()
+    passage = [f"passage line {i} of eight" for i in range(8)]
+    rows = [(1, "\n".join([*(f"first {i}" for i in range(50_000)), *passage])), (2, "\n".join([*passage, *(f"second {i}" for i in range(50_000))]))]
+    got = {r["doc_id"]: (r["n_removed"], r["clean_text"]) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (8, rows[1][1][len("\n".join(passage)) + 1 :])}
+    assert time.time() - began < 60
+
+
+def test_selection_is_sparse_and_decides_what_is_compared(spark):
+    rng = random.Random(7)
+    rows = [(i, "\n".join(f"line {i} {rng.random()}" for _ in range(200))) for i in range(20)]
+    rows += [(100 + i, "\n".join([f"head {i}", *(f"shared {k}" for k in range(12)), f"tail {i}"])) for i in range(3)]
+    flat = ld.split_lines(spark.createDataFrame(rows, "doc_id long, text string")).persist()
+    places, all_windows = ld.selected_places(flat), ld.windows(flat)
+    met = ld.meeting_places(places)
+    assert places.count() < 0.4 * all_windows.count()
+    around = ld.extended(flat, met)
+    assert {r["doc"]["doc_id"] for r in around.select("doc").distinct().collect()} == {100, 101, 102}
+    unselected = flat.select("doc", F.posexplode("arr").alias("low", "x")).select("doc", "low", F.col("x.h").alias("lh"))
+    assert ld.meeting_places(unselected).count() > met.count() > 0  # each shared line would meet, not a few of them
+    assert ld.repeated_lines(around).count() == 2 * 12
+    assert ld.repeated_lines(ld.extended(flat, met.where("doc.doc_id < 101"))).count() == 0
+
+
+def test_ties_of_doc_ids_are_broken_by_the_text(spark):
+    passage = "\n".join(f"p{i}" for i in range(8))
+    rows = [(1, passage + "\nx"), (1, passage + "\ny"), (1, passage + "\ny")]
+    got = [(r["text"], r["n_removed"]) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(n for _, n in got) in ([0, 0, 8], [0, 8, 8]) and len({(t, n) for t, n in got}) == 2
