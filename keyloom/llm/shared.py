@@ -49,11 +49,6 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return store[kind][1]
 
 
-def fixed_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of the input can't clash with ours."""
-    return df.select(*(F.col(f"`{n}`") for n in names))
-
-
 def to_hex64(c: Column) -> Column:
     """A signed long as 16 lower-case hex digits of its bits."""
     return F.lower(F.lpad(F.hex(c), 16, "0"))

@@ -130,13 +130,5 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, small: int = SMALL) -
     return simhash_components(materialize(fingerprints(docs, shingle)), small)
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id. Rows with a null doc_id stay."""
-    groups = simhash_dedup(docs, shingle)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", to_hex64(F.col("fp")).alias("fingerprint"), "component_id")

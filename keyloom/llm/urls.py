@@ -131,9 +131,9 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defa
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "host", "path", "rule", "verdict"])
 
     keys = [c for c in pages.columns if c not in (url, "host", "path", "rule", "verdict")]
-    kept = pages.select(*(F.col(f"`{c}`") for c in keys), F.col(f"`{url}`").cast("string").alias("_url"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "host string, path string, rule string, verdict string"])
-    return kept.mapInArrow(run, schema)
+    kept = pages.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keys)), F.col(f"`{url}`").cast("string").alias("address"))  # no name of theirs can clash with ours
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "host string, path string, rule string, verdict string"])
+    return kept.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keys)), "host", "path", "rule", "verdict")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

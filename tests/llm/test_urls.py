@@ -39,3 +39,13 @@ def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
     urls.DigestArray.write(str(tmp_path / "a"), {b"ab": 1, b"cd": 0, b"x": 1})
     a = urls.DigestArray(str(tmp_path / "a"))
     assert [a.entry(i) if i >= 0 else None for i in a.find([b"cd", b"ab", b"zz", b"x", b"", b"abcd"]).tolist()] == [b"cd", b"ab", None, b"x", None, None]
+
+
+def test_columns_that_clash_and_rules_of_equal_length(spark):
+    df = spark.createDataFrame([(1, "http://a.b.com/xy/z", "mine", 5)], "page_id long, url string, _url string, address int")
+    got = urls.filter_urls(df, rules=(("block", "b.com/xy"), ("allow", "com/xy/z")))
+    assert got.columns == ["page_id", "_url", "address", "host", "path", "rule", "verdict"]
+    r = got.first()
+    assert (r["_url"], r["address"], r["host"], r["path"]) == ("mine", 5, "a.b.com", "/xy/z")
+    # of rules of equal length that with the longer host wins
+    assert (r["rule"], r["verdict"]) == ("b.com/xy", "block") == brute("http://a.b.com/xy/z", (("block", "b.com/xy"), ("allow", "com/xy/z")))[2:]
