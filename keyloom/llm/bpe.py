@@ -34,7 +34,7 @@ from .shared import kept, materialize, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: How many words are sent to executors at most, of how many bytes each, and in how many files; parts between spaces that a worker remembers.
-HOT, HOT_BYTES, FILES, MEMO = 1 << 20, 32, 8, 1 << 16
+HOT, HOT_BYTES, FILES, MEMO = 1 << 20, 32, 8, 1 << 19
 #: Characters of a plan's text that the driver keeps, at most: plans here hold the rank map.
 PLAN_TEXT = 100_000
 #: Words of more bytes merge all places of the best pair in one step.
