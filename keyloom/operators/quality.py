@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..config import DefaultConfig, MissingConfig
 from ..functions.names import id_like, natural_like
-from ..functions.normalize import sql_clean
+from ..functions.normalize import sql_clean, strip
+from ..plans.cells import small
+from ..plans.topk import examples, first_of_groups
 
 Clean = Callable[[Column], Column]
 
@@ -94,12 +96,26 @@ def key_duplicates(freq: DataFrame, profiles: DataFrame, natural: bool = False,
     return g.select(*two, "duplicate_rows", "duplicate_values", F.round(F.col("duplicate_rows") / F.col("n_non_null"), 6).alias("duplicate_ratio"), "examples")
 
 
+def typed_values(freq: DataFrame) -> DataFrame:
+    """``freq`` without nulls, values as sets compare them: numbers of a float column without fractions as whole numbers, so that 7.0 meets 7 and "7"; other text stripped."""
+    two = ["table_name", "column_name"]
+    known = freq.where("v is not null")
+    x = F.col("v").try_cast("double")
+    whole = known.where("family = 'float'").groupBy(*two).agg(F.min(F.coalesce((x == F.rint(x)) & (F.abs(x) < 2.0**53), F.lit(False))).alias("whole"))
+    out = known.join(F.broadcast(whole), two, "left")  # a row per float column
+    return out.withColumn("v", F.when(F.col("whole"), x.cast("long").cast("string")).otherwise(strip(F.col("v")))).drop("whole")
+
+
+def _compared(freq: DataFrame, columns: DataFrame) -> DataFrame:
+    return typed_values(freq.join(columns.select("table_name", "column_name").distinct(), ["table_name", "column_name"], "left_semi")).select("table_name", "column_name", "v").distinct()
+
+
 def overlaps(freq: DataFrame, columns: DataFrame, same_name: bool = False, within: bool = False, least: float = 0.10) -> DataFrame:
     """Pairs of columns that share values: of different tables (of equal names, if asked), or ``within`` a table.
 
-    ``columns`` (table_name, column_name) are compared; a pair counts if it shares at least the given part of its smaller set.
+    ``columns`` (table_name, column_name) are compared by their typed values; a pair counts if it shares at least the given part of its smaller set.
     """
-    f = freq.where("v is not null").join(columns.select("table_name", "column_name").distinct(), ["table_name", "column_name"], "left_semi")
+    f = _compared(freq, columns)
     sizes = f.groupBy("table_name", "column_name").agg(F.count("*").alias("n"))
     side = lambda df, s: df.select(*(F.col(c).alias(f"{c.removesuffix('_name')}_{s}") for c in ("table_name", "column_name")), *([F.col("n").alias(f"n_{s}")] if "n" in df.columns else ["v"]))
     rule = (F.col("table_a") == F.col("table_b")) & (F.col("column_a") < F.col("column_b")) if within else F.col("table_a") < F.col("table_b")
@@ -112,6 +128,16 @@ def overlaps(freq: DataFrame, columns: DataFrame, same_name: bool = False, withi
     return out.withColumn("overlap_ratio", F.round(ratio, 6)).where(ratio >= least).select(*four, "shared", "n_a", "n_b", "overlap_ratio")
 
 
+def with_examples(found: DataFrame, freq: DataFrame, k: int = 10) -> DataFrame:
+    """``found`` overlaps (a row per pair of columns) with the ``k`` smallest values that a pair shares. Values meet for these pairs only."""
+    four = ["table_a", "column_a", "table_b", "column_b"]
+    pairs = small(found.select(*four))
+    f = _compared(freq, pairs.select("table_a", "column_a").toDF("table_name", "column_name").unionByName(pairs.select("table_b", "column_b").toDF("table_name", "column_name")))
+    side = lambda s: f.toDF(f"table_{s}", f"column_{s}", "v")
+    met = side("a").join(F.broadcast(pairs), ["table_a", "column_a"]).join(side("b"), ["table_b", "column_b", "v"], "left_semi")  # a row per pair
+    return found.join(examples(met, four, "v", k), four, "left")
+
+
 def signature(columns: list[str]) -> Column:
     return F.concat_ws("|", *(F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in columns))
 
@@ -123,9 +149,18 @@ def signature_conflicts(df: DataFrame, id_column: str, columns: list[str]) -> Da
     return g.where("distinct_ids > 1").withColumns({"id_column": F.lit(id_column), "signature_columns": F.lit(",".join(columns))})
 
 
-def collapse_signatures(conflicts: DataFrame) -> DataFrame:
-    """One row per signature: the id columns that conflict on it, and the most distinct ids."""
-    return conflicts.groupBy("signature").agg(F.array_join(F.sort_array(F.collect_set("id_column")), ",").alias("id_columns"), F.max("distinct_ids").alias("max_distinct_ids"), F.max("n_rows").alias("n_rows"))
+def with_example_rows(conflicts: DataFrame, df: DataFrame, id_column: str, columns: list[str], k: int = 10) -> DataFrame:
+    """``conflicts`` of ``df`` with the first ``k`` different rows (id and signature columns, as JSON) of each signature, by id."""
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in [id_column, *(c for c in columns if c != id_column)])), {"ignoreNullFields": "false"})
+    rows = df.where(F.col(f"`{id_column}`").isNotNull()).select(signature(columns).alias("signature"), F.col(f"`{id_column}`").alias("id"), row.alias("row")).join(conflicts.select("signature"), "signature", "left_semi").distinct()
+    kept = first_of_groups(rows, ["signature"], ["id", "row"], k).groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("place", "row")))["row"].alias("example_rows"))
+    return conflicts.join(kept, "signature", "left")
+
+
+def collapse_signatures(conflicts: DataFrame, k: int = 10) -> DataFrame:
+    """One row per signature: the id columns that conflict on it, and the most distinct ids; if there are example rows, the first ``k`` different ones of all."""
+    merged = [F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("example_rows")))), 1, k).alias("example_rows")] if "example_rows" in conflicts.columns else []
+    return conflicts.groupBy("signature").agg(F.array_join(F.sort_array(F.collect_set("id_column")), ",").alias("id_columns"), F.max("distinct_ids").alias("max_distinct_ids"), F.max("n_rows").alias("n_rows"), *merged)
 
 
 def summarise_signatures(collapsed: DataFrame) -> DataFrame:
@@ -188,13 +223,13 @@ def duplicate_checks(tables: dict[str, DataFrame], freq: DataFrame, profiles: Da
     out = {
         "key_values": key_duplicates(freq, profiles),
         "natural_key_values": key_duplicates(freq, profiles, natural=True),
-        "overlap_same_name": overlaps(freq, profiles, same_name=True),
-        "overlap_keys": overlaps(freq, keys),
-        "within_table": overlaps(freq, ids, within=True),
+        "overlap_same_name": with_examples(overlaps(freq, profiles, same_name=True), freq),
+        "overlap_keys": with_examples(overlaps(freq, keys), freq),
+        "within_table": with_examples(overlaps(freq, ids, within=True), freq),
         "exact_rows": named(duplicate_rows(d).withColumn("table_name", F.lit(n)) for n, d in tables.items()),
     }
     chosen = signature_choice(profiles)
-    conflicts = [signature_conflicts(tables[t], i, columns).withColumn("table_name", F.lit(t)) for t, (of, columns) in chosen.items() for i in of]
+    conflicts = [with_example_rows(signature_conflicts(tables[t], i, columns), tables[t], i, columns).withColumn("table_name", F.lit(t)) for t, (of, columns) in chosen.items() for i in of]
     if conflicts:
         out["signatures"] = named(conflicts)
         parts = {t: out["signatures"].where(F.col("table_name") == t) for t in dict.fromkeys(t for t, (of, _) in chosen.items() if of)}

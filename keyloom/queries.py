@@ -18,7 +18,7 @@ from . import viz
 from .config import DefaultConfig, SoftConfig
 from .functions import names
 from .functions.normalize import int_like, int_rep, memory_clean, no_zeros_rep, raw_rep, sql_clean, zfill_rep
-from .operators import composite, inclusion, keys, profile, quality, recommend, selection
+from .operators import composite, inclusion, keys, profile, quality, recommend, selection, statistics
 from .plans.cells import frequencies, small
 from .sources import store
 from .sources.catalog import Catalog, null_tokens_to_null
@@ -332,6 +332,31 @@ def _(spark, d):
     return _round(profile.consistency_string(_t(spark, d, "part"), "p_name", "p_partkey"))
 
 
+STATS = {"lineitem": {"l_quantity": "float", "l_discount": "float", "l_linenumber": "int", "l_suppkey": "int", "l_shipdate": "datetime"}, "orders": {"o_orderkey": "int", "o_totalprice": "float", "o_orderdate": "datetime", "o_orderstatus": "string"}}
+STAT_FIELDS = ["num_count", "num_mean", "num_min", "num_max", "num_std_dev", "num_skewness", "num_q25", "num_median", "num_q75", "num_iqr", "date_min", "date_max", "date_range_days", "freshness_score", "pk_continuity"]
+
+
+def _stat_sql(t: str, c: str, f: str) -> str:
+    x, num, day, whole = f"{c}::DOUBLE", f in ("int", "float"), f == "datetime", f == "int"
+    q = lambda p: f"quantile_cont({x}, {p})" if num else "NULL::DOUBLE"
+    one = lambda e, on=num: e if on else "NULL::DOUBLE"
+    text = lambda e: f"strftime({e}, '%Y-%m-%d %H:%M:%S')" if day else "NULL::VARCHAR"
+    fields = [
+        f"count({c})::BIGINT" if num else "NULL::BIGINT", *(f"round({one(e)}, 5)" for e in (f"avg({x})", f"min({x})", f"max({x})", f"stddev_samp({x})", f"skewness({x})", q(0.25), q(0.5), q(0.75), f"{q(0.75)} - {q(0.25)}")),
+        text(f"min({c})"), text(f"max({c})"), f"floor(epoch(max({c}) - min({c})) / 86400)::BIGINT" if day else "NULL::BIGINT",
+        f"round({one(f"greatest(0.0, least(100.0, 100 - date_diff('day', max({c})::DATE, DATE '2000-01-01') / 365.0::DOUBLE * 100))", day)}, 5)::DOUBLE", f"round({one(f'least(100.0, 100.0 * count(DISTINCT {c}) / (max({c}) - min({c}) + 1))', whole)}, 5)::DOUBLE",
+    ]
+    return f"SELECT '{t}' AS table_name, '{c}' AS column_name, " + ", ".join(f"{e} AS {n}" for e, n in zip(fields, STAT_FIELDS, strict=True)) + f" FROM {t} HAVING count(*) >= 0"
+
+
+@query("enhanced_statistics", " UNION ALL ".join(_stat_sql(t, c, f) for t, cs in STATS.items() for c, f in cs.items()))
+def _(spark, d):
+    """Numbers, dates and continuity of all columns in one frame, from frequencies; brackets of over 2,000 values are narrowed."""
+    freq = frequencies({t: _t(spark, d, t).select(*cs) for t, cs in STATS.items()}).persist()
+    out = statistics.enhanced_statistics(freq, small(profile.profile(freq)), "2000-01-01", limit=2000).select("table_name", "column_name", *STAT_FIELDS)
+    return out.select(*(F.round(c, 5).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
 @query("sample_values_sorted", f"WITH {freq_sql()} SELECT table_name, column_name, place::INTEGER AS place, v FROM (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY v) AS place FROM freq WHERE v IS NOT NULL) WHERE place <= 5")
 def _(spark, d):
     return profile.sample_values(frequencies(core(spark, d)))
@@ -730,6 +755,46 @@ def _(spark, d):
     return _overlap(spark, d, ("lineitem", "orders"), within=True)
 
 
+def _least(cte: str, by: str) -> str:
+    return f"SELECT {by}, string_agg(v, ',' ORDER BY v) AS examples FROM (SELECT DISTINCT {by}, v FROM {cte} QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY v) <= 10) GROUP BY {by}"
+
+
+@query("overlap_examples", f"WITH {freq_sql(OVER2)}, n AS (SELECT table_name, column_name, count(*) AS n FROM freq WHERE v IS NOT NULL GROUP BY 1, 2), met AS (SELECT a.table_name AS table_a, a.column_name AS column_a, b.table_name AS table_b, b.column_name AS column_b, a.v FROM freq a JOIN freq b ON a.v = b.v AND a.table_name < b.table_name), "
+    "ok AS (SELECT table_a, column_a, table_b, column_b FROM met m JOIN n x ON x.table_name = table_a AND x.column_name = column_a JOIN n y ON y.table_name = table_b AND y.column_name = column_b GROUP BY ALL HAVING count(*)::DOUBLE / least(any_value(x.n), any_value(y.n)) >= 0.1), "
+    f"e AS ({_least('met', 'table_a, column_a, table_b, column_b')}) SELECT e.* FROM e JOIN ok USING (table_a, column_a, table_b, column_b)")
+def _(spark, d):
+    """The ten smallest values that overlapping columns share."""
+    freq = frequencies({t: x for t, x in core(spark, d).items() if t in OVER2}).persist()
+    found = quality.with_examples(quality.overlaps(freq, small(profile.profile(freq))), freq)
+    return _round(found.select("table_a", "column_a", "table_b", "column_b", "examples"))
+
+
+TYPED_SETS = {"lots": ("orders", "o_orderkey % 100 AS code, cast(o_orderkey % 40 AS {text}) AS label"), "parts": ("customer", "cast(c_custkey % 50 AS double) AS code_float, c_custkey % 50 + 0.5 * (c_custkey % 2) AS mixed, concat(' ', cast(c_custkey % 30 AS {text}), ' ') AS tag")}
+_SETS = [("lots", "code", "cast(o_orderkey % 100 AS VARCHAR)", "orders"), ("lots", "label", "cast(o_orderkey % 40 AS VARCHAR)", "orders"), ("parts", "code_float", "cast(c_custkey % 50 AS VARCHAR)", "customer"), ("parts", "mixed", "cast((c_custkey % 50 + 0.5 * (c_custkey % 2))::DOUBLE AS VARCHAR)", "customer"), ("parts", "tag", "cast(c_custkey % 30 AS VARCHAR)", "customer")]
+
+
+@query("overlap_int_float", "WITH f AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, {e} AS v FROM {b}" for t, c, e, b in _SETS) + "), n AS (SELECT t, c, count(*) AS n FROM f GROUP BY ALL) SELECT a.t AS table_a, a.c AS column_a, b.t AS table_b, b.c AS column_b, count(*) AS shared, any_value(x.n) AS n_a, any_value(y.n) AS n_b, round(count(*)::DOUBLE / least(any_value(x.n), any_value(y.n)), 6) AS overlap_ratio FROM f a JOIN f b ON a.v = b.v AND a.t < b.t JOIN n x ON x.t = a.t AND x.c = a.c JOIN n y ON y.t = b.t AND y.c = b.c GROUP BY ALL HAVING overlap_ratio >= 0.1")
+def _(spark, d):
+    """Numbers of an integer column, of a float column without fractions, and of text meet; those of a column with fractions keep theirs."""
+    freq = frequencies({t: _t(spark, d, b).selectExpr(*_expr(e, "string").split(", ")) if t == "lots" else _t(spark, d, b).selectExpr("cast(c_custkey % 50 AS double) AS code_float", "cast(c_custkey % 50 + 0.5 * (c_custkey % 2) AS double) AS mixed", "concat(' ', cast(c_custkey % 30 AS string), ' ') AS tag") for t, (b, e) in TYPED_SETS.items()})
+    return quality.overlaps(freq, profile.profile(freq))
+
+
+EXAMPLE_ROW = "'{' || '\"customer_id\":' || customer_id || ',\"email\":\"' || email || '\"}'"
+
+
+@query("identity_examples", f"""WITH c AS (SELECT coalesce(trim(email), '') AS signature, customer_id, full_name, email FROM {C}), b AS (SELECT signature FROM c GROUP BY 1 HAVING count(DISTINCT customer_id) > 1), b2 AS (SELECT signature FROM c GROUP BY 1 HAVING count(DISTINCT full_name) > 1),
+r AS (SELECT 'customer_id' AS id_column, signature, {EXAMPLE_ROW} AS r, row_number() OVER (PARTITION BY signature ORDER BY customer_id) AS k FROM c WHERE signature IN (SELECT signature FROM b)),
+r2 AS (SELECT 'full_name', signature, '{{' || '"full_name":"' || full_name || '","email":"' || email || '"}}' AS r, row_number() OVER (PARTITION BY signature ORDER BY full_name) AS k FROM (SELECT DISTINCT signature, full_name, email FROM c WHERE signature IN (SELECT signature FROM b2))),
+a AS (SELECT * FROM r WHERE k <= 3 UNION ALL SELECT * FROM r2 WHERE k <= 3)
+SELECT signature, string_agg(r, ',' ORDER BY r) AS example_rows FROM (SELECT signature, r, row_number() OVER (PARTITION BY signature ORDER BY r) AS k FROM (SELECT DISTINCT signature, r FROM a)) WHERE k <= 4 GROUP BY 1""")
+def _(spark, d):
+    """Example rows of conflicting ids, three for each id column, and the first four of those merged for each signature."""
+    c = messy(spark, d, "messy_customers")["messy_customers"]
+    parts = [quality.with_example_rows(quality.signature_conflicts(c, i, ["email"]), c, i, ["email"], 3) for i in ("customer_id", "full_name")]
+    return _round(quality.collapse_signatures(parts[0].unionByName(parts[1]), 4).select("signature", "example_rows"))
+
+
 SIG = "SELECT coalesce(trim(email), '') AS signature, count(DISTINCT customer_id) AS distinct_ids, count(*) AS n_rows, min(cast(customer_id AS VARCHAR)) AS first_id, 'customer_id' AS id_column FROM {0} GROUP BY 1 HAVING count(DISTINCT customer_id) > 1".format(C)
 SIG2 = "SELECT coalesce(trim(email), '') AS signature, count(DISTINCT full_name) AS distinct_ids, count(*) AS n_rows, min(full_name) AS first_id, 'full_name' AS id_column FROM {0} GROUP BY 1 HAVING count(DISTINCT full_name) > 1".format(C)
 COLLAPSED = f"SELECT signature, string_agg(DISTINCT id_column, ',' ORDER BY id_column) AS id_columns, max(distinct_ids) AS max_distinct_ids, max(n_rows) AS n_rows FROM ({SIG} UNION ALL {SIG2}) GROUP BY 1"
