@@ -110,6 +110,8 @@ class DefaultConfig:
     partner_distinct: int = 10
     partner_ratio: float = 0.20
     partner_overall: int = 20
+    #: Columns of a parent that may call one of its rows a dummy.
+    parent_labels: tuple[str, ...] = ()
     sentinel_texts: tuple[str, ...] = ("unknown", "unk", "na", "n/a", "n.a.", "nan", "null", "none", "nil", "missing", "undefined", "unset", "not_set", "notset", "not applicable", "not_applicable", "not available", "not_available", "default", "other", "misc", "tbd", "todo", "?", "??")
     sentinel_ints: tuple[int, ...] = (-1, 0, 99, 999, 9999, 99999, 999999, 88, 8888, 888888)
 

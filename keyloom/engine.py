@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from datetime import UTC, date, datetime
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -13,7 +14,7 @@ from . import viz
 from .config import EngineConfig
 from .functions.names import id_like
 from .functions.normalize import memory_clean, sql_clean
-from .operators import composite, inclusion, keys, profile, quality, recommend, selection
+from .operators import composite, inclusion, keys, profile, quality, recommend, selection, statistics
 from .plans.cells import frequencies
 from .sources.catalog import Catalog, json_safe
 from .sources.store import FrequencyStore
@@ -35,6 +36,8 @@ ORDER = {
     "surrogate_keys": ("-key_role", "-key_kind", "-confidence", "table_name", "column_name"),
     "surrogate_keys_summary": ("-key_role", "-key_kind", "-confidence", "table_name", "column_name"),
 }
+#: Frames within a stage are ordered by those of these columns that they have.
+_FIRST = ("table_name", "fk_table", "table_a", "fk_column", "column_a", "pk_table", "table_b", "pk_column", "column_b", "column_name", "place", "signature", "id_column", "left_column", "right_column", "left_value", "right_value", "priority", "columns")
 #: Families of inferred types.
 _FAMILY = {"int": "int", "float": "float", "bool": "bool", "date": "datetime"}
 IMPLIED = {"recommendations": ("rel_missing", "duplicates", "default_fk", "surrogate_keys", "ucc_composite")}
@@ -99,8 +102,9 @@ class Engine:
 
     @cached_property
     def profiles_enhanced(self) -> DataFrame:
-        """Profiles with inferred types, completeness, consistency and quality."""
-        return self._small(profile.enhanced(self.profiles, profile.consistency(self.freq)).join(self._types, ["table_name", "column_name"], "left"))
+        """Profiles with inferred types, statistics of numbers and dates, continuity, completeness, consistency and quality."""
+        told = self._small(statistics.enhanced_statistics(self.freq, self.profiles, str(date.today())))
+        return self._small(profile.enhanced(told, profile.consistency(self.freq)).join(self._types, ["table_name", "column_name"], "left"))
 
     @cached_property
     def ucc_unary(self) -> DataFrame:
@@ -146,12 +150,18 @@ class Engine:
 
     @cached_property
     def default_fk(self) -> DataFrame | None:
-        """The most frequent values of each foreign key; the table's other id columns are its partners."""
+        """The most frequent values of each foreign key; the table's other id columns are its partners, and the parent's columns named in the settings may call a row a dummy."""
+        ids: dict[str, list[str]] = {}
+        for r in self.profiles.where(id_like(F.col("column_name"))).select("table_name", "column_name").orderBy("column_name").collect():  # a row per column
+            ids.setdefault(r[0], []).append(r[1])
         out = None
         for e in self._edge_list:
-            partners = tuple(r[0] for r in self.profiles.where((F.col("table_name") == e["fk_table"]) & id_like(F.col("column_name"))).select("column_name").collect() if r[0] != e["fk_column"])
-            r = quality.default_keys(self.catalog.tables[e["fk_table"]], e["fk_column"], self.catalog.tables[e["pk_table"]], e["pk_column"], partners, cfg=self.config.defaults, clean=self.clean)
-            r = r.select(*(F.lit(e[c]).alias(c) for c in ("fk_table", "fk_column", "pk_table", "pk_column")), "*")
+            child, parent = self.catalog.tables[e["fk_table"]], self.catalog.tables[e["pk_table"]]
+            partners, labels = tuple(c for c in ids.get(e["fk_table"], []) if c != e["fk_column"]), tuple(c for c in self.config.defaults.parent_labels if c in parent.columns)
+            r = quality.default_keys(child, e["fk_column"], parent, e["pk_column"], partners, labels, self.config.defaults, self.clean)
+            if "dummy_parent" not in r.columns:
+                r = r.withColumn("dummy_parent", F.lit(None).cast("boolean"))
+            r = r.select(*(F.lit(e[c]).alias(c) for c in _FOUR), "*")
             out = r if out is None else out.unionByName(r)
         return None if out is None else self._small(out)  # a few values a relationship
 
@@ -163,9 +173,13 @@ class Engine:
         top = F.max_by(F.struct("v", "ratio", "reasons"), F.struct("ratio", "cnt"))
         return self.default_fk.groupBy(*_FOUR).agg(F.count_if("flagged").alias("flagged_values"), top.alias("top")).select(*_FOUR, "flagged_values", "top.*")
 
+    @cached_property
+    def _uuids(self) -> DataFrame:
+        return self._small(keys.uuid_like(self.freq))
+
     @cached_property
     def surrogate_keys(self) -> DataFrame:
-        return self._small(keys.surrogate_keys(self.profiles, self._small(keys.uuid_like(self.freq)), self.ucc_unary, self.edges))
+        return self._small(keys.surrogate_keys(self.profiles, self._uuids, self.ucc_unary, self.edges))
 
     @cached_property
     def ucc_composite(self) -> DataFrame:
@@ -186,7 +200,13 @@ class Engine:
         missing = self.rel_missing if self.rel_missing is not None else self.edges.withColumn("orphan_fk_ratio", F.lit(None).cast("double"))
         fks = self._small(recommend.foreign_keys(self.edges, missing))
         comps = self._small(recommend.composite_keys(self.ucc_composite))
-        return {"primary_key": pks, "foreign_keys": fks, "composite_keys": comps, "datatypes": recommend.datatypes(self.profiles), "indexes": recommend.indexes(pks, fks, comps, self.profiles)}
+        return {"primary_key": pks, "foreign_keys": fks, "composite_keys": comps, "datatypes": recommend.datatypes(self.profiles, self._uuids), "indexes": recommend.indexes(pks, fks, comps, self.profiles)}
+
+    def recommendation_tree(self) -> dict:
+        """The recommendations of all tables as one document."""
+        rows = {r[0]: r[1] for r in self.profiles.groupBy("table_name").agg(F.max("n_rows")).collect()}  # a row per table
+        found = recommend.records(self.recommendations, self.catalog.list_tables())
+        return recommend.schema_document(found, {t: rows.get(t, 0) for t in self.catalog.list_tables()}, datetime.now(UTC).isoformat(timespec="seconds"))
 
     def stage(self, name: str):
         of = {"ind": "ind", "scored": "scored", "relationships": "edges", "duplicates_summary": "duplicates", "surrogate_keys_summary": "surrogate_keys"}
@@ -215,7 +235,7 @@ class Engine:
             by = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order if c.lstrip("-") in got.columns]
             return [r.asDict(recursive=True) for r in json_safe(got.orderBy(*by) if by else got).limit(n).collect()]
         if isinstance(got, dict):
-            return {k: self._payload(v, n) for k, v in got.items()}
+            return {k: self._payload(v, n, ORDER.get(k, tuple(c for c in _FIRST if c in v.columns))) for k, v in got.items()}
         return got[:n]
 
     def close(self) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,11 +45,16 @@ def composite_keys(found: DataFrame, alternatives: int = 3) -> DataFrame:
     return kept.select("table_name", "columns", "confidence", "unique_ratio", "null_ratio", _codes((F.col("unique_ratio") >= 0.999, "composite_unique_high")).alias("reason_codes"))
 
 
-def datatypes(profiles: DataFrame) -> DataFrame:
-    """A database type for each column, with confidence and reason."""
+def datatypes(profiles: DataFrame, uuids: DataFrame | None = None) -> DataFrame:
+    """A database type for each column, with confidence, reason, and what a smaller type would risk: blocked_alternative (null or db_type, confidence, blocker, low, high). ``uuids`` (table_name, column_name, uuid_like) tells which text columns hold UUIDs."""
+    if uuids is None:
+        profiles = profiles.withColumn("uuid_like", F.lit(False))
+    else:
+        profiles = profiles.join(uuids.select("table_name", "column_name", "uuid_like"), ["table_name", "column_name"], "left")
     f, lo, hi, most = F.col("dtype_family"), F.col("int_min"), F.col("int_max"), F.coalesce("max_len", F.lit(0.0)).cast("int")
     ranged = (f == "int") & lo.isNotNull() & hi.isNotNull()
     rules = [
+        ((f == "string") & F.coalesce("uuid_like", F.lit(False)), F.lit("UUID"), 0.95, "dtype_uuid_regex"),
         (f == "bool", F.lit("BOOLEAN"), 0.90, "dtype_bool_pattern"),
         (f == "datetime", F.lit("TIMESTAMP"), 0.85, "dtype_date_parse_high"),
         (ranged & (lo >= -32768) & (hi <= 32767), F.lit("SMALLINT"), 0.85, "dtype_int_range_small"),
@@ -64,7 +70,9 @@ def datatypes(profiles: DataFrame) -> DataFrame:
     kind, conf, why = F.when(rules[0][0], rules[0][1]), F.when(rules[0][0], rules[0][2]), F.when(rules[0][0], rules[0][3])
     for c, t, n, r in rules[1:]:
         kind, conf, why = kind.when(c, t), conf.when(c, n), why.when(c, r)
-    return profiles.select("table_name", "column_name", kind.otherwise("TEXT").alias("db_type"), conf.otherwise(0.50).alias("confidence"), why.alias("reason_code"))
+    risk = F.struct(F.lit("INT").alias("db_type"), F.lit(0.40).alias("confidence"), F.lit("int_overflow_risk").alias("blocker"), lo.alias("low"), hi.alias("high"))
+    beyond = ranged & ((lo < -2147483648) | (hi > 2147483647))
+    return profiles.select("table_name", "column_name", kind.otherwise("TEXT").alias("db_type"), conf.otherwise(0.50).alias("confidence"), why.alias("reason_code"), F.when(beyond, risk).alias("blocked_alternative"))
 
 
 def indexes(pks: DataFrame, fks: DataFrame, composites: DataFrame | None, profiles: DataFrame) -> DataFrame:
@@ -95,3 +103,55 @@ def to_json(parts: dict[str, DataFrame], tables: list[str]) -> str:
     for r in document(parts).collect():  # a row per table and section
         tree.setdefault(r["table_name"], {"constraints": []})[r["section"]] = json.loads(r["items"])
     return json.dumps({"tables": tree}, sort_keys=True)
+
+
+#: What is done to values before keys are compared, and to numbers before they are typed.
+KEY_NORMALISATION, NUMERIC_COERCION = ("trim_whitespace", "casefold_strings"), ("numeric_coercion",)
+POLICY = {"null_tokens_mapped": ["", "null", "none", "n/a", "na"], "trim_whitespace": True, "casefold_strings": True, "remove_punctuation": False}
+_RECORD = ("table_name", "decision", "item", "status", "confidence", "reason_codes", "blockers", "applied", "alternatives")
+
+
+def records(parts: dict[str, DataFrame], tables: list[str]) -> DataFrame:
+    """One row per recommendation: table_name, decision, item, status, confidence, reason_codes, blockers, applied (what is disclosed of normalisation), alternatives (name, confidence, blocker).
+
+    ``parts`` has the frames of primary_key, foreign_keys, composite_keys, datatypes and indexes, or some of them. A table without a primary key gets one of status info.
+    """
+    none, option = F.array().cast("array<string>"), "array<struct<name:string,confidence:double,blocker:string>>"
+    out: list[DataFrame] = []
+
+    def add(df: DataFrame, decision: str, **of) -> None:
+        of = {"table_name": F.col("table_name"), "decision": F.lit(decision), "status": F.lit("recommended"), "confidence": F.col("confidence"), "reason_codes": none, "blockers": none, "applied": none, "alternatives": F.array().cast(option), **of}
+        out.append(df.select(*(of[c].alias(c) for c in _RECORD)))
+
+    words = lambda ws: F.array(*map(F.lit, ws))
+    if pks := parts.get("primary_key"):
+        others = pks.where("place > 1").groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct("place", F.col("column_name").alias("name"), "confidence"))).alias("o"))
+        best = pks.where("place = 1").join(others, "table_name", "left")
+        runners = F.transform(F.coalesce("o", F.array().cast("array<struct<place:int,name:string,confidence:double>>")), lambda o: F.struct(o["name"].alias("name"), o["confidence"].alias("confidence"), F.lit(None).cast("string").alias("blocker")))
+        add(best, "PRIMARY_KEY", item=F.col("column_name"), reason_codes=F.col("reason_codes"), applied=words(KEY_NORMALISATION), alternatives=runners.cast(option))
+        bare = pks.sparkSession.createDataFrame([(t,) for t in tables], "table_name string").join(pks.select("table_name").distinct(), "table_name", "left_anti")
+        add(bare, "PRIMARY_KEY", item=F.lit(""), status=F.lit("info"), confidence=F.lit(0.0), applied=words(KEY_NORMALISATION))
+    if fks := parts.get("foreign_keys"):
+        add(fks, "FOREIGN_KEY", table_name=F.col("fk_table"), item=F.concat("fk_column", F.lit(" -> "), "pk_table", F.lit("."), "pk_column"), status=F.col("status"), reason_codes=F.col("reason_codes"), blockers=F.col("blockers"))
+    if comps := parts.get("composite_keys"):
+        add(comps, "COMPOSITE_KEY", item=F.array_join("columns", ","), reason_codes=F.col("reason_codes"))
+    if types := parts.get("datatypes"):
+        blocked = F.col("blocked_alternative")
+        risky = F.when(blocked.isNotNull(), F.array(F.struct(blocked["db_type"].alias("name"), blocked["confidence"].alias("confidence"), blocked["blocker"].alias("blocker")))).otherwise(F.array().cast(option))
+        add(types, "DATATYPE", item=F.concat("column_name", F.lit(": "), "db_type"), reason_codes=F.array_compact(F.array("reason_code")), applied=F.when(blocked.isNotNull(), words(NUMERIC_COERCION)).otherwise(none), alternatives=risky)
+    if idx := parts.get("indexes"):
+        add(idx, "INDEX", item=F.concat("priority", F.lit(": "), "columns"), status=F.col("status"), reason_codes=F.array("reason_code"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def schema_document(found: DataFrame, row_counts: dict[str, int], generated_at: str) -> dict:
+    """The tree of all tables' ``records``: structure, constraints, datatypes and performance, with what is disclosed. It has a node for each key, reference, column and index."""
+    tree = {t: {"table_name": t, "row_count": n, "structure": {"primary_key": None, "composite_keys": [], "foreign_keys": [], "surrogate_key": None}, "constraints": {"recommended": [], "blocked": []}, "datatypes": {"columns": []}, "performance": {"indexes": []}, "notes": []} for t, n in row_counts.items()}
+    for r in found.orderBy("table_name", "decision", F.desc("confidence"), "item").collect():
+        t, record = tree[r["table_name"]], {k: v for k, v in r.asDict(recursive=True).items() if k != "table_name"}
+        record["normalisation_disclosure"] = {"applied": record.pop("applied"), "notes": ""}
+        if r["decision"] == "PRIMARY_KEY":
+            t["structure"]["primary_key"] = record
+        else:
+            {"FOREIGN_KEY": t["structure"]["foreign_keys"], "COMPOSITE_KEY": t["structure"]["composite_keys"], "DATATYPE": t["datatypes"]["columns"], "INDEX": t["performance"]["indexes"]}[r["decision"]].append(record)
+    return {"meta": {"generated_at": generated_at}, "normalisation_policy": POLICY, "tables": [tree[t] for t in sorted(tree)], "global_warnings": []}

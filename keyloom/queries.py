@@ -22,6 +22,7 @@ from .operators import composite, inclusion, keys, profile, quality, recommend,
 from .plans.cells import frequencies, small
 from .sources import store
 from .sources.catalog import Catalog, null_tokens_to_null
+from .sources.previews import csv_previews
 
 #: The integer and text columns of the relational tables, with their families.
 COLUMNS = {
@@ -956,6 +957,22 @@ def _(spark, d):
     return out.select("o_orderkey", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("eu", "us", "named", "mix")))
 
 
+# Previews -------------------------------------------------------------------------------------------------------------------
+PLACES = "concat(o_orderstatus, ' \u00e9t\u00e9, \"', cast(o_custkey AS {text}), '\"')"
+
+
+@query("csv_previews", "WITH t AS (" + " UNION ALL ".join(f"SELECT '{e}' AS encoding, {k} AS part, o_orderkey AS id, {_expr(PLACES, 'VARCHAR')} AS place FROM orders WHERE o_orderkey % 3 = {k}" for e, k in (("utf-8", 0), ("latin-1", 1), ("utf-8", 2))) + "), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY id) AS n FROM t QUALIFY n <= 7) "
+    """SELECT part, encoding, count(*) AS n_rows, 'id,place' || chr(10) || string_agg(id || ',"' || replace(place, '"', '""') || '"' || chr(10), '' ORDER BY id) AS body FROM r GROUP BY ALL""")
+def _(spark, d):
+    """The first rows of CSV files in nested folders, one of them in Latin-1."""
+    folder, orders = _scratch(spark), _t(spark, d, "orders").selectExpr("o_orderkey AS id", f"{_expr(PLACES, 'string')} AS place")
+    for k, encoding in enumerate(("UTF-8", "ISO-8859-1", "UTF-8")):
+        orders.where(F.col("id") % 3 == k).repartitionByRange(1, "id").sortWithinPartitions("id").write.option("header", True).option("escape", '"').option("encoding", encoding).csv(f"{folder}/nested/part={k}")
+    shown = csv_previews(spark, folder)
+    body = F.rtrim(F.regexp_replace("preview", "^[^\n]*\n=+\n", ""))
+    return shown.select(F.regexp_extract("path", "part=([0-9])", 1).cast("int").alias("part"), "encoding", "n_rows", F.concat(F.regexp_replace(body, "\n+$", ""), F.lit("\n")).alias("body"))
+
+
 # Signatures -----------------------------------------------------------------------------------------------------------------
 def _signature_sql(t: str, cols) -> str:
     text = ", ".join(f"coalesce(cast({c} AS VARCHAR), chr(30))" for c in cols)
@@ -1049,6 +1066,34 @@ def _(spark, d):
     return _round(recommend.indexes(pks, _fks(spark, d), None, p))
 
 
+_NO_CODES = "'' AS blockers, 'trim_whitespace,casefold_strings' AS applied"
+
+
+@query("datatypes_uuid_and_blocked", "SELECT 'customer_uuid' AS column_name, 'UUID' AS db_type, 0.95::DOUBLE AS confidence, 'dtype_uuid_regex' AS reason_code, NULL::VARCHAR AS blocked, NULL::BIGINT AS high UNION ALL "
+    "SELECT 'big_no', CASE WHEN max(c_custkey) * 10000000 > 2147483647 THEN 'BIGINT' ELSE 'INT' END, CASE WHEN max(c_custkey) * 10000000 > 2147483647 THEN 0.92 ELSE 0.9 END, CASE WHEN max(c_custkey) * 10000000 > 2147483647 THEN 'dtype_int_range_big' ELSE 'dtype_int_range_small' END, CASE WHEN max(c_custkey) * 10000000 > 2147483647 THEN 'INT: int_overflow_risk' END, CASE WHEN max(c_custkey) * 10000000 > 2147483647 THEN max(c_custkey) * 10000000 END FROM customer UNION ALL "
+    "SELECT 'small_no', CASE WHEN max(c_custkey) <= 32767 THEN 'SMALLINT' ELSE 'INT' END, CASE WHEN max(c_custkey) <= 32767 THEN 0.85 ELSE 0.9 END, 'dtype_int_range_small', NULL, NULL FROM customer")
+def _(spark, d):
+    """UUIDs have a type of their own, and integers beyond four bytes tell what INT would risk."""
+    freq = frequencies({"t": _t(spark, d, "customer").selectExpr(f"{_expr(UUID, 'string')} AS customer_uuid", "c_custkey * 10000000 AS big_no", "c_custkey AS small_no")}).persist()
+    types = recommend.datatypes(profile.profile(freq), keys.uuid_like(freq))
+    b = F.col("blocked_alternative")
+    return types.select("column_name", "db_type", "confidence", "reason_code", F.concat(b["db_type"], F.lit(": "), b["blocker"]).alias("blocked"), b["high"].alias("high"))
+
+
+@query("recommendation_records", f"""WITH k AS ({ORACLE["recommend_pk"]}), f AS ({ORACLE["recommend_fk"]}), y AS ({ORACLE["recommend_datatypes"]}), p AS (SELECT table_name, column_name, int_min, int_max FROM (WITH {freq_sql()}, {PROF} SELECT * FROM prof))
+SELECT table_name, 'PRIMARY_KEY' AS decision, column_name AS item, 'recommended' AS status, confidence, reason_codes, {_NO_CODES}, coalesce((SELECT string_agg(o.column_name, ',' ORDER BY o.place) FROM k o WHERE o.table_name = k.table_name AND o.place > 1), '') AS alternatives FROM k WHERE place = 1
+UNION ALL SELECT t, 'PRIMARY_KEY', '', 'info', 0.0, '', '', 'trim_whitespace,casefold_strings', '' FROM (SELECT unnest([{", ".join(repr(t) for t in COLUMNS)}]) AS t) WHERE t NOT IN (SELECT table_name FROM k)
+UNION ALL SELECT fk_table, 'FOREIGN_KEY', fk_column || ' -> ' || pk_table || '.' || pk_column, status, confidence, reason_codes, blockers, '', '' FROM f
+UNION ALL SELECT table_name, 'DATATYPE', column_name || ': ' || db_type, 'recommended', confidence, NULL, '', CASE WHEN int_max > 2147483647 THEN 'numeric_coercion' ELSE '' END, CASE WHEN int_max > 2147483647 THEN 'INT' ELSE '' END FROM y JOIN p USING (table_name, column_name)""")
+def _(spark, d):
+    """Recommendations as records with their reasons, blockers, disclosures and alternatives."""
+    pks, p, _ = _pks(spark, d)
+    parts = {"primary_key": small(pks), "foreign_keys": small(_fks(spark, d)), "datatypes": recommend.datatypes(p)}
+    found = recommend.records(parts, list(COLUMNS))
+    reasons = F.when(F.col("decision") != "DATATYPE", F.array_join("reason_codes", ","))
+    return _round(found.withColumns({"reason_codes": reasons, "alternatives": F.transform("alternatives", lambda a: a["name"])}))
+
+
 @query("recommendation_document")
 def _(spark, d):
     pks, p, _ = _pks(spark, d)
