@@ -7,7 +7,7 @@ from dataclasses import asdict, replace
 from pyspark.sql import SparkSession
 
 from .config import EngineConfig, SelectConfig, SoftConfig, StrictConfig
-from .engine import Engine, EngineError, parse_stages
+from .engine import STAGES, Engine, EngineError, parse_stages
 from .sources.catalog import Catalog, CatalogError
 
 #: Parameters of either mode: name, setting, lowest and highest value.
@@ -36,9 +36,10 @@ def configure(mode: str, params: dict) -> EngineConfig:
     return EngineConfig(strict=strict, soft=soft, select=replace(SelectConfig(), **of(COMMON)))
 
 
-def discover(spark: SparkSession, paths: list[str], include: str | None = None, mode: str = "strict", max_rows: int = 500, dot: bool = False, **params) -> dict:
-    """The stages named in ``include`` for CSV files. Errors come back as {"error": {code, message}}."""
+def discover(spark: SparkSession, paths: list[str], include: str | None = None, mode: str = "strict", max_rows: int = 500, dot: bool = False, debug_bundle: bool = False, **params) -> dict:
+    """The stages named in ``include`` for CSV files, all of them with ``debug_bundle`` and no ``include``. Errors come back as {"error": {code, message}}."""
     try:
+        include = ",".join(STAGES) if debug_bundle and not include else include
         if not 1 <= max_rows <= 50_000:
             raise EngineError("PARAM_OUT_OF_RANGE", "max_rows must be 1 to 50000")
         parse_stages(include)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from datetime import UTC, date, datetime
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -34,7 +34,7 @@ ORDER = {
     "default_fk_summary": _FOUR,
     "ucc_composite": ("table_name", "k", "columns"),
     "surrogate_keys": ("-key_role", "-key_kind", "-confidence", "table_name", "column_name"),
-    "surrogate_keys_summary": ("-key_role", "-key_kind", "-confidence", "table_name", "column_name"),
+    "duplicates_summary": ("check",),
 }
 #: Frames within a stage are ordered by those of these columns that they have.
 _FIRST = ("table_name", "fk_table", "table_a", "fk_column", "column_a", "pk_table", "table_b", "pk_column", "column_b", "column_name", "place", "signature", "id_column", "left_column", "right_column", "left_value", "right_value", "priority", "columns")
@@ -181,6 +181,16 @@ class Engine:
     def surrogate_keys(self) -> DataFrame:
         return self._small(keys.surrogate_keys(self.profiles, self._uuids, self.ucc_unary, self.edges))
 
+    @cached_property
+    def duplicates_summary(self) -> DataFrame:
+        """How many rows each duplicate check has, without the rows."""
+        parts = [d.groupBy().agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("check"), "n_rows") for n, d in self.duplicates.items()]
+        return self._small(reduce(DataFrame.unionByName, parts))
+
+    @cached_property
+    def surrogate_keys_summary(self) -> DataFrame:
+        return self.surrogate_keys.agg(F.count("*").alias("candidates"), F.count_if(F.col("key_kind") == "surrogate").alias("flagged_surrogate"))
+
     @cached_property
     def ucc_composite(self) -> DataFrame:
         """Composite keys of all tables: table_name, columns, k, ucc_type, n_rows_used, unique_ratio, null_ratio."""
@@ -209,8 +219,7 @@ class Engine:
         return recommend.schema_document(found, {t: rows.get(t, 0) for t in self.catalog.list_tables()}, datetime.now(UTC).isoformat(timespec="seconds"))
 
     def stage(self, name: str):
-        of = {"ind": "ind", "scored": "scored", "relationships": "edges", "duplicates_summary": "duplicates", "surrogate_keys_summary": "surrogate_keys"}
-        return getattr(self, of.get(name, name))
+        return getattr(self, {"relationships": "edges"}.get(name, name))
 
     def run(self, stages: str | None = None, max_rows: int = 500, dot: bool = False) -> dict:
         """Payloads of stages: rows as records. A stage that fails doesn't stop the others."""

@@ -54,3 +54,27 @@ def select_edges(scored: DataFrame, profiles: DataFrame, cfg: SelectConfig = Sel
 def relationship_summary(edges: DataFrame) -> DataFrame:
     c, o = F.col("cardinality"), F.col("optional")
     return edges.agg(F.count("*").alias("total"), F.count_if(c == "many_to_one").alias("many_to_one"), F.count_if(c == "one_to_one").alias("one_to_one"), F.count_if(o).alias("optional"), F.count_if(~o).alias("required"))
+
+
+def _first(df: DataFrame, top: int | None, *order) -> DataFrame:
+    return df.orderBy(*order).limit(top) if top is not None else df
+
+
+def pick_surrogates(found: DataFrame, only: bool = False, role: str | None = None, min_confidence: float = 0.0, top: int | None = None) -> DataFrame:
+    """Of surrogate annotations those judged surrogate (if ``only``), of a role and confidence; the ``top`` most confident ones."""
+    found = found.where(F.col("key_kind") == "surrogate") if only else found
+    found = found.where(F.col("key_role") == role) if role else found
+    return _first(found.where(F.col("confidence") >= min_confidence), top, F.desc("confidence"), "table_name", "column_name")
+
+
+def pick_composites(found: DataFrame, table: str | None = None, k: int | None = None, min_coverage: float = 0.0, top: int | None = None) -> DataFrame:
+    """Of composite keys those of a table, a width and a share of rows without nulls; the ``top`` narrowest ones."""
+    found = found.where(F.col("table_name") == table) if table else found
+    found = found.where(F.size("columns") == k) if k else found
+    return _first(found.where(1 - F.col("null_ratio") >= min_coverage), top, F.size("columns"), "table_name", "columns")
+
+
+def pick_edges(edges: DataFrame, relationships: list[str] | None = None, tables: list[str] | None = None) -> DataFrame:
+    """Of selected edges those named (as ``a.x -> b.y``), and those between some tables only."""
+    edges = edges.where(F.col("relationship").isin(relationships)) if relationships is not None else edges
+    return edges.where(F.col("fk_table").isin(tables) & F.col("pk_table").isin(tables)) if tables is not None else edges

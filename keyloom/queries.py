@@ -10,6 +10,7 @@ import itertools
 import json
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,9 +209,9 @@ def _chain(spark, d):
     freq = frequencies(core(spark, d)).persist()
     p = small(profile.profile(freq))
     ucc = keys.unary_ucc(p)
-    ind = inclusion.strict_inclusions(freq, p, ucc)
+    ind = small(inclusion.strict_inclusions(freq, p, ucc))
     scored = selection.score(ind)
-    return freq, p, ucc, ind, scored, selection.select_edges(scored, p)
+    return freq, p, ucc, ind, scored, small(selection.select_edges(scored, p))
 
 
 # Profiles -------------------------------------------------------------------------------------------------------------------
@@ -417,6 +418,19 @@ def _(spark, d):
     return keys.surrogate_keys(p, keys.uuid_like(freq), ucc, edges).select("table_name", "column_name", "key_role", "key_kind", "confidence", "refs")
 
 
+@query("surrogate_filters", f"SELECT * FROM ({ORACLE['surrogate_annotations']}) WHERE key_role = 'pk_candidate' AND confidence >= 0.6 ORDER BY confidence DESC, table_name, column_name LIMIT 3")
+def _(spark, d):
+    """The three most confident keys that are referred to."""
+    freq, p, ucc, _, _, edges = _chain(spark, d)
+    found = keys.surrogate_keys(p, keys.uuid_like(freq), ucc, edges).select("table_name", "column_name", "key_role", "key_kind", "confidence", "refs")
+    return selection.pick_surrogates(found, role="pk_candidate", min_confidence=0.6, top=3)
+
+
+@query("edge_subset", f"{CHAIN} SELECT relationship, round(score, 6) AS score FROM edges WHERE fk_table IN ('orders', 'lineitem', 'customer', 'part') AND pk_table IN ('orders', 'lineitem', 'customer', 'part')")
+def _(spark, d):
+    return _round(selection.pick_edges(_chain(spark, d)[5], tables=["orders", "lineitem", "customer", "part"]).select("relationship", "score"))
+
+
 UUID = "concat(substr(md5(cast(c_custkey AS {text})), 1, 8), '-', substr(md5(cast(c_custkey AS {text})), 9, 4), '-4', substr(md5(cast(c_custkey AS {text})), 14, 3), '-a', substr(md5(cast(c_custkey AS {text})), 18, 3), '-', substr(md5(cast(c_custkey AS {text})), 21, 12))"
 
 
@@ -524,10 +538,15 @@ def _(spark, d):
 NAMES = ["customer_id", "CustomerID", "custId", "orderCustomer", "customer", "id", "o_custkey", "c_custkey", "AccountNo", "account_code", "", "name", "full name"]
 
 
-@query("name_similarity_pairs", f"WITH n(a) AS (VALUES {', '.join(f'({n!r})' for n in NAMES)}) SELECT x.a AS a, y.a AS b, round({sim_sql('x.a', 'y.a')}, 6) AS name_sim FROM n x, n y")
+_NAMED = (("region", "r_name"), ("nation", "n_name"), ("part", "p_brand"))
+
+
+@query("name_similarity_pairs", f"WITH n(a) AS (SELECT unnest([{', '.join(repr(n) for n in NAMES)}]) UNION {' UNION '.join(f'SELECT {c} FROM {t}' for t, c in _NAMED)} UNION SELECT unnest([{', '.join(repr(c) for cs in COLUMNS.values() for c in cs)}])) SELECT x.a AS a, y.a AS b, round({sim_sql('x.a', 'y.a')}, 6) AS name_sim FROM n x, n y")
 def _(spark, d):
-    n = spark.createDataFrame([(x,) for x in NAMES], "a string")
-    return n.crossJoin(n.withColumnRenamed("a", "b")).select("a", "b", F.round(names.name_similarity(F.col("a"), F.col("b")), 6).alias("name_sim"))  # a dozen names
+    """All pairs of the tables' column names, some names out of their rows, and names with odd spellings."""
+    n = spark.createDataFrame([(x,) for x in (*NAMES, *(c for df in core(spark, d).values() for c in df.columns))], "a string")
+    n = reduce(DataFrame.unionByName, [_t(spark, d, t).select(F.col(c).alias("a")) for t, c in _NAMED], n).distinct()
+    return n.crossJoin(n.withColumnRenamed("a", "b")).select("a", "b", F.round(names.name_similarity(F.col("a"), F.col("b")), 6).alias("name_sim"))  # names of columns, brands and places: few
 
 
 SCORE_COLUMNS = ["fk_table", "fk_column", "pk_table", "pk_column"]
