@@ -149,15 +149,16 @@ def _reaches(u: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
 
 def fitted_factor(u: np.ndarray, forest: Forest, nearest: int, recall: float) -> float:
     """By which a query's reach is multiplied, so that ``recall`` of the sampled points' nearest neighbours in the sample are found."""
-    probes = u[:: max(1, len(u) // PROBES)][:PROBES]
-    close = probes @ u.T
-    k = min(nearest + 1, len(u))
-    near = np.argpartition(-close, k - 1, axis=1)[:, :k]
-    reach = _reaches(probes, u, k)
-    leaf, v = forest.route(u), forest.violations(probes)
-    need = np.sqrt(np.array([v[i][leaf[n]].min(1) for i, n in enumerate(near)]))
-    ratio = np.where(need > 0, need / np.maximum(reach, 1e-12)[:, None], 0.0)
-    return float(np.quantile(ratio, recall)) if len(u) else 1.0
+    probes, leaf, k, ratios = u[:: max(1, len(u) // PROBES)][:PROBES], forest.route(u), min(nearest + 1, len(u)), [np.zeros(0)]
+    for at in range(0, len(probes), 32):  # a few rows of the distances at a time
+        part = probes[at : at + 32]
+        close = part @ u.T
+        near = np.argpartition(close, len(u) - k, axis=1)[:, len(u) - k :]
+        reach, v = _reaches(part, u, k), forest.violations(part)
+        need = np.sqrt(np.array([v[i][leaf[n]].min(1) for i, n in enumerate(near)]))
+        ratios.append(np.where(need > 0, need / np.maximum(reach, 1e-12)[:, None], 0.0).ravel())
+    ratio = np.concatenate(ratios)
+    return float(np.quantile(ratio, recall)) if len(ratio) else 1.0
 
 
 class Index(NamedTuple):
