@@ -66,4 +66,4 @@ def csv_previews(spark: SparkSession, folder: str, n_rows: int = ROWS, recursive
 
 def write_previews(previews: DataFrame, folder: str) -> None:
     """The previews as text files in a folder, in the order of their paths: a file for each partition."""
-    previews.repartitionByRange("path").sortWithinPartitions("path").select("preview").write.mode("overwrite").option("lineSep", "").text(folder)
+    previews.repartitionByRange("path").sortWithinPartitions("path").select(F.regexp_replace("preview", r"\n\z", "").alias("preview")).write.mode("overwrite").text(folder)
