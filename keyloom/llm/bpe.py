@@ -14,7 +14,6 @@ import hashlib
 import json
 import os
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -250,23 +249,23 @@ def _sent_words(words: DataFrame, path: str) -> list[str]:
 
 
 def _mapped(files: list[str]) -> str:
-    """The folder with the words of fetched files as flat arrays, sorted by digest. The first worker of an executor that needs it writes it, next to the files."""
+    """The folder with the words of fetched files as flat arrays, sorted by digest. The first worker of an executor that needs it writes it, next to the files, and marks it as whole; not by a rename, which not every file system does for folders."""
     folder = os.path.join(SparkFiles.getRootDirectory(), f"words-{hashlib.sha1(' '.join(files).encode()).hexdigest()}")
     with open(f"{folder}.lock", "w") as lock:
         fcntl.flock(lock, fcntl.LOCK_EX)
-        if not os.path.isdir(folder):
+        if not os.path.exists(f"{folder}/whole"):
             kinds = pa.schema([("word", pa.binary()), ("digest", pa.int64()), ("ids", pa.string())])
             t = pa.concat_tables([pq.read_table(SparkFiles.get(f), schema=kinds, use_threads=False) for f in files] or [kinds.empty_table()])
             t = t.take(np.argsort(t["digest"].to_numpy())).combine_chunks()
-            new = tempfile.mkdtemp(dir=os.path.dirname(folder))
-            np.save(f"{new}/digest.npy", t["digest"].to_numpy())
+            os.makedirs(folder, exist_ok=True)
+            np.save(f"{folder}/digest.npy", t["digest"].to_numpy())
             for name in ("word", "ids"):
                 column = pa.concat_arrays(t[name].chunks) if t[name].num_chunks else pa.array([], t[name].type)
-                np.save(f"{new}/{name}.npy", np.frombuffer(column.buffers()[2] or b"", np.uint8))
-                np.save(f"{new}/{name}_at.npy", np.frombuffer(column.buffers()[1] or bytes(4), np.int32)[column.offset : column.offset + len(column) + 1])
+                np.save(f"{folder}/{name}.npy", np.frombuffer(column.buffers()[2] or b"", np.uint8))
+                np.save(f"{folder}/{name}_at.npy", np.frombuffer(column.buffers()[1] or bytes(4), np.int32)[column.offset : column.offset + len(column) + 1])
             del t, column
             pa.default_memory_pool().release_unused()
-            os.rename(new, folder)
+            open(f"{folder}/whole", "w").close()
     return folder
 
 

@@ -1,10 +1,15 @@
 import base64
+import errno
 import hashlib
+import os
 import random
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe
@@ -67,3 +72,20 @@ def test_frequent_words_are_bounded(spark):
         got = {r["word"] for r in bpe.frequent_words(words, most).collect()}
         assert len(got) <= most and "x" * 100 not in got
     assert bpe.frequent_words(words, 1000).count() == 400
+
+
+def test_known_words_need_no_rename_of_folders(spark, tmp_path, monkeypatch):
+    """Some file systems refuse it; and a folder that a lost worker left half-written is written again."""
+    coded = pa.table({"word": [b"b", b"a"], "digest": pa.array([xxhash.xxh64_intdigest(w, 42) for w in (b"b", b"a")], pa.uint64()).cast(pa.int64(), safe=False), "ids": ["2", "1,1"]})
+    name = f"{tmp_path.name}.parquet"
+    pq.write_table(coded, tmp_path / name)
+    spark.sparkContext.addFile(str(tmp_path / name))
+
+    def refuse(*_):
+        raise OSError(errno.EXDEV, "Invalid cross-device link")
+
+    monkeypatch.setattr(os, "rename", refuse)
+    folder = bpe._mapped([name])
+    os.remove(f"{folder}/whole")
+    os.remove(f"{folder}/ids.npy")
+    assert bpe.KnownWords(bpe._mapped([name])).codes(["a", "c", "b"]) == ["1,1", None, "2"]
