@@ -63,3 +63,24 @@ def test_empty_tables_repeated_rows_and_null_columns(spark):
     assert composite.search(spark.createDataFrame([], "a int, b int"), ["a", "b"]).found == []
     assert composite.search(spark.createDataFrame([(1, 2), (1, 2)], "a int, b int"), ["a", "b"]).found == []
     assert composite.search(spark.createDataFrame([(1, None), (2, None)], "a int, b int"), ["a", "b"], allow_nulls=True).found == []
+
+
+def test_slices_of_the_hashes_and_their_verdicts(spark, monkeypatch):
+    """Sets are refuted by a slice of the hashes, or by the rest; hashes that repeat by chance alone refute nothing."""
+    monkeypatch.setattr(composite, "TASK_HASHES", 1000)
+    df = spark.range(3000).select((F.col("id") % 50).alias("a"), F.floor(F.col("id") / 50).alias("b"), F.floor(F.col("id") / 2).alias("c"), F.greatest("id", F.lit(1)).alias("d"), F.when(F.col("id") > 5, F.col("id")).alias("e"))
+    sets = [("a", "b"), ("c", "b"), ("d", "c"), ("d", "a"), ("e", "b")]
+    assert composite.repeating(df, sets, 3000) == [False, True, True, False, False]
+    assert composite.repeating(df.withColumn("a", F.lit(1)), [("a", "d")], 3000) == [True]
+    monkeypatch.setattr(composite, "_hash", lambda columns, whole=composite._hash: F.shiftrightunsigned(whole(columns), 54))
+    assert composite.repeating(df, sets, 3000) == [False, True, True, False, False]
+
+
+def test_hashes_are_spread_over_as_many_tasks_as_rows_need(spark, monkeypatch):
+    """No task gets more hashes when there are more rows, and counts aren't shuffled along."""
+    monkeypatch.setattr(composite, "TASK_HASHES", 1000)
+    df = spark.range(20_000).select((F.col("id") % 200).alias("a"), F.floor(F.col("id") / 200).alias("b"))
+    seen = []
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *by, whole=type(df).repartition: seen.append(n) or whole(self, n, *by))
+    assert composite.repeating(df, [("a", "b")], 20_000) == [False]
+    assert seen == [8, 20]
