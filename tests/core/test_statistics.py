@@ -66,3 +66,19 @@ def test_example_rows_of_conflicts_are_few_and_merged(spark):
     assert [r["example_rows"] for r in parts[0].collect()] == [[f'{{"a":{i},"s":"same"}}' for i in range(3)]]
     merged = quality.collapse_signatures(parts[0].unionByName(parts[1]), 5).collect()
     assert len(merged) == 1 and len(merged[0]["example_rows"]) == 5 == len(set(merged[0]["example_rows"]))
+
+
+def test_numeric_stats_ranks_rows_without_gathering_a_column(spark):
+    import math
+
+    from keyloom.operators import profile
+
+    inf, nan = float("inf"), float("nan")
+    values = [float((i * 7919) % 1000) for i in range(3000)] + [5.0] * 2000
+    df = spark.createDataFrame([(v, -inf if i < 2000 else inf if i < 4500 else nan, float(i)) for i, v in enumerate(values)], "a double, b double, c double")
+    got = {r["column_name"]: r for r in profile.numeric_stats(df, ["a", "b", "c"], limit=10).collect()}
+    for c in "ac":
+        want = df.selectExpr(f"percentile({c}, array(0.25D, 0.5D, 0.75D))").first()[0]
+        assert [got[c][f"num_{q}"] for q in ("q25", "median", "q75")] == pytest.approx(want)
+    assert (got["b"]["num_q25"], got["b"]["num_median"], got["b"]["num_q75"]) == (-inf, inf, inf) and math.isnan(got["b"]["num_max"])
+    assert profile.numeric_stats(df.limit(0), ["a"]).count() == 0
