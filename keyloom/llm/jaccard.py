@@ -5,6 +5,9 @@ each one's n, so that only texts that meet there are compared, and no pair is mi
 no texts together. It rests on a sample, but as any order will do, nothing is lost by that. Pairs leave where the places of the shingle or the parity sketches
 (bits that differ are no more than shingles that do) show that they can't be similar. Of texts that meet at a shingle each is first
 compared with one of them. What this joins into one component needs no more comparing; the other pairs are then compared one by one.
+
+Before all that SimHash links sets by its pigeonhole blocks and the Hamming distance of their fingerprints, each link checked by the similarity itself. Sets of a similarity of 4/5 differ in more bits
+than blocks allow for, so that it finds a part of the pairs only; the prefix filter adds the others, between texts that aren't joined yet.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import connected_components, materialize
-from .simhash import _LOWER
+from .simhash import _LOWER, near_links
 
 #: Words of a shingle. Linked texts have 4/5 or more of their shingles in common.
 SHINGLE = 5
@@ -84,8 +87,14 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
+def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes: a bit is set if it is set in over half of them."""
+    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
+
+
 def prefixes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, rk, sid, n, bits, keys) of every row of ``docs``: its row key, its set of shingles as a digest, the set's size, parities and first shingles."""
+    """(doc_id, rk, sid, n, bits, keys, fp) of every row of ``docs``: its row key, its set of shingles as a digest, the set's size, parities, first shingles and SimHash."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -95,18 +104,19 @@ def prefixes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
         for b in batches:
-            sids, sizes, bits, keys = [], [], [], []
+            sids, sizes, bits, keys, fps = [], [], [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py(), shingle)
                 sids.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
                 sizes.append(len(s))
                 bits.append(parities(s))
+                fps.append(set_fingerprint(s))
                 order = np.argsort(_common(s, common), kind="stable")  # of equally common ones the smaller hash first
                 keys.append(s[order[: len(s) - (4 * len(s) + 4) // 5 + 1]].view(np.int64))
-            cols = [b.column(0), b.column(1), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32)), lists(bits), lists(keys)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rk", "sid", "n", "bits", "keys"])
+            cols = [b.column(0), b.column(1), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32)), lists(bits), lists(keys), pa.array(np.concatenate([np.zeros(0, np.int64), *fps]))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rk", "sid", "n", "bits", "keys", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, rk long, sid long, n int, bits array<long>, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, rk long, sid long, n int, bits array<long>, keys array<long>, fp long")
 
 
 def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -147,14 +157,30 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int =
     return materialize(found.where(both * 9 >= (F.size("sa") + F.size("sb")) * 4).select("a", "b"))
 
 
+def simhash_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different sids, a > b, that SimHash links: each set with the least one of its fingerprint, and these ones where fingerprints are within the bits that link."""
+    least = rows.select("sid", "fp").distinct().groupBy("fp").agg(F.min("sid").alias("least"))
+    least = materialize(least)
+    same = rows.select("sid", "fp").distinct().join(least, "fp").where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b"))
+    near = near_links(least.select("fp"))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"sid_{c}"))
+    linked = near.join(of("a"), "a").join(of("b"), "b").select(F.greatest("sid_a", "sid_b").alias("a"), F.least("sid_a", "sid_b").alias("b"))
+    return materialize(same.unionByName(linked).distinct())
+
+
 def similar_links(rows: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Links (a, b) between the sids of ``rows`` (prefixes of ``docs``), which join all pairs of similar sets, directly or by a chain."""
     each = Window.partitionBy("key")
     filed = rows.select("sid", "n", F.posexplode("keys").alias("pos", "key"))
     met = filed.withColumns({"low": F.min(F.struct("sid", "n", "pos")).over(each), "high": F.max("sid").over(each)}).where("low.sid <> high")
     met = materialize(met.select("key", "sid", "n", "pos", F.col("low.sid").alias("low"), F.col("low.n").alias("low_n"), F.col("low.pos").alias("low_pos")).distinct())
-    first = materialize(met.where("sid <> low").where(_may_be_similar("n", "pos", "low_n", "low_pos")).select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct())
-    links = confirmed(first, rows, docs, shingle)
+    near = confirmed(simhash_pairs(rows), rows, docs, shingle)
+    known = connected_components(near).select("node", "component")
+    first = met.where("sid <> low").where(_may_be_similar("n", "pos", "low_n", "low_pos")).select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct()
+    # texts that SimHash has joined need no more comparing
+    first = first.join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
+    first = materialize(first)
+    links = near.unionByName(confirmed(first, rows, docs, shingle))
     of = connected_components(links).select(F.col("node").alias("sid"), "component")
     named = met.where("sid <> low").select("key", "sid", "n", "pos").join(of, "sid", "left").withColumn("c", F.coalesce("component", "sid"))
     apart = named.withColumns({"c0": F.min("c").over(each), "c1": F.max("c").over(each)}).where("c0 <> c1")

@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from keyloom.llm import jaccard
 from test_dedup import brute_components, docs_of
 
@@ -64,3 +66,18 @@ def test_columns_of_the_input_stay_as_they_are(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x", 7), (2, "a b c d e f", "y", 8)], "doc_id long, text string, _rk string, rk int")
     left = jaccard.drop_similar(df)
     assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [(1, "a b c d e f", "x", 7)]
+
+
+def test_simhash_links_near_texts_and_each_link_is_checked(spark):
+    words = [f"w{i}" for i in range(400)]
+    near = " ".join(words[:399] + ["other"])
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, near), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    rows = jaccard.prefixes(docs).localCheckpoint()
+    sid = {r["doc_id"]: r["sid"] for r in rows.collect()}
+    close = {r["doc_id"]: r["fp"] for r in rows.collect()}
+    assert bin((close[1] ^ close[2]) & (2**64 - 1)).count("1") <= 2
+    pairs = {tuple(r) for r in jaccard.simhash_pairs(rows).collect()}
+    assert pairs == {(max(sid[1], sid[2]), min(sid[1], sid[2]))}
+    one = rows.withColumn("fp", F.lit(0).cast("long"))  # fingerprints that agree by chance link nothing
+    assert jaccard.confirmed(jaccard.simhash_pairs(one), one, docs).count() == 1
+    assert {frozenset(r) for r in jaccard.similar_links(one, docs).select("a", "b").collect()} == {frozenset((sid[1], sid[2]))}
