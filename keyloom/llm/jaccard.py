@@ -7,7 +7,8 @@ no texts together. It rests on a sample, but as any order will do, nothing is lo
 compared with one of them. What this joins into one component needs no more comparing; the other pairs are then compared one by one.
 
 Before all that SimHash links sets by its pigeonhole blocks and the Hamming distance of their fingerprints, each link checked by the similarity itself. Sets of a similarity of 4/5 differ in more bits
-than blocks allow for, so that it finds a part of the pairs only; the prefix filter adds the others, between texts that aren't joined yet.
+than blocks allow for, so that it finds a part of the pairs only. MinHash finds most of the others, some for each text, so that large groups of similar texts come to be one component
+before their pairs would be listed. The prefix filter adds those that both have missed, between texts that aren't joined yet.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ SHINGLE = 5
 SHARE, SAMPLE, LISTED = 1 / 8, 200_000, 1 << 18
 #: Longs of a parity sketch.
 LONGS = 16
+#: Tables of two MinHashes each.
+TABLES = 6
+_ODD = np.array([xxhash.xxh64_intdigest(bytes([i]), 42) | 1 for i in range(2 * TABLES)], np.uint64)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -93,8 +97,13 @@ def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
 
 
+def minhashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of a set of hashes in each of 2 * TABLES orders of all longs."""
+    return np.array([(hashes * odd).min() for odd in _ODD]).view("<i8")
+
+
 def prefixes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, rk, sid, n, bits, keys, fp) of every row of ``docs``: its row key, its set of shingles as a digest, the set's size, parities, first shingles and SimHash."""
+    """(doc_id, rk, sid, n, bits, keys, fp, mins) of every row of ``docs``: its row key, its set of shingles as a digest, the set's size, parities, first shingles, SimHash and MinHashes."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -104,19 +113,20 @@ def prefixes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
         for b in batches:
-            sids, sizes, bits, keys, fps = [], [], [], [], []
+            sids, sizes, bits, keys, fps, mins = [], [], [], [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py(), shingle)
                 sids.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
                 sizes.append(len(s))
                 bits.append(parities(s))
                 fps.append(set_fingerprint(s))
+                mins.append(minhashes(s))
                 order = np.argsort(_common(s, common), kind="stable")  # of equally common ones the smaller hash first
                 keys.append(s[order[: len(s) - (4 * len(s) + 4) // 5 + 1]].view(np.int64))
-            cols = [b.column(0), b.column(1), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32)), lists(bits), lists(keys), pa.array(np.concatenate([np.zeros(0, np.int64), *fps]))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rk", "sid", "n", "bits", "keys", "fp"])
+            cols = [b.column(0), b.column(1), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32)), lists(bits), lists(keys), pa.array(np.concatenate([np.zeros(0, np.int64), *fps])), lists(mins)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rk", "sid", "n", "bits", "keys", "fp", "mins"])
 
-    return docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, rk long, sid long, n int, bits array<long>, keys array<long>, fp long")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, rk long, sid long, n int, bits array<long>, keys array<long>, fp long, mins array<long>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -168,16 +178,34 @@ def simhash_pairs(rows: DataFrame) -> DataFrame:
     return materialize(same.unionByName(linked).distinct())
 
 
+def minhash_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different sids, a > b, that agree in both MinHashes of a table: each set with the least one of its bucket, and with the next one in the order of another MinHash, so that there are no more than two a set and table."""
+    at = [F.struct(F.lit(i).alias("i"), *(F.col("mins")[(2 * i + k) % (2 * TABLES)].alias(f"m{k}") for k in range(4))) for i in range(TABLES)]
+    bucket = Window.partitionBy("i", "m0", "m1")
+    filed = rows.select("sid", F.col("mins")).distinct().select("sid", F.inline(F.array(*at)))
+    seen = filed.withColumns({"least": F.min("sid").over(bucket), "next": F.lead("sid").over(bucket.orderBy("m2", "m3", "sid"))})
+    pairs = seen.select("sid", F.explode(F.array("least", "next")).alias("other")).where("sid <> other")  # a null is none
+    return materialize(pairs.select(F.greatest("sid", "other").alias("a"), F.least("sid", "other").alias("b")).distinct())
+
+
+def listed_pairs(apart: DataFrame) -> DataFrame:
+    """(a, b), once for each key where they meet: the pairs of ``apart`` (key, sid, n, pos, c, bits) of different components c that places and parities allow to be similar."""
+    other = apart.select("key", F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("c").alias("bc"), F.col("bits").alias("bbits"))
+    close = _differing("bits", "bbits") * 9 <= F.col("n") + F.col("bn")
+    pairs = apart.join(other, (apart["key"] == other["key"]) & (F.col("sid") > F.col("b")) & (F.col("c") != F.col("bc")) & _may_be_similar("n", "pos", "bn", "bpos") & close)
+    return pairs.select(F.col("sid").alias("a"), "b")
+
+
 def similar_links(rows: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Links (a, b) between the sids of ``rows`` (prefixes of ``docs``), which join all pairs of similar sets, directly or by a chain."""
     each = Window.partitionBy("key")
     filed = rows.select("sid", "n", F.posexplode("keys").alias("pos", "key"))
     met = filed.withColumns({"low": F.min(F.struct("sid", "n", "pos")).over(each), "high": F.max("sid").over(each)}).where("low.sid <> high")
     met = materialize(met.select("key", "sid", "n", "pos", F.col("low.sid").alias("low"), F.col("low.n").alias("low_n"), F.col("low.pos").alias("low_pos")).distinct())
-    near = confirmed(simhash_pairs(rows), rows, docs, shingle)
+    near = confirmed(simhash_pairs(rows).unionByName(minhash_pairs(rows)).distinct(), rows, docs, shingle)
     known = connected_components(near).select("node", "component")
     first = met.where("sid <> low").where(_may_be_similar("n", "pos", "low_n", "low_pos")).select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct()
-    # texts that SimHash has joined need no more comparing
+    # texts that SimHash and MinHash have joined need no more comparing
     first = first.join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
     first = materialize(first)
     links = near.unionByName(confirmed(first, rows, docs, shingle))
@@ -187,10 +215,7 @@ def similar_links(rows: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> D
     # the sketches go along, so that only pairs whose parities are close enough come out of the join
     sketch = rows.groupBy("sid").agg(F.first("bits").alias("bits"))
     apart = materialize(apart.select("key", "sid", "n", "pos", "c").join(sketch, "sid"))
-    other = apart.select("key", F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("c").alias("bc"), F.col("bits").alias("bbits"))
-    close = _differing("bits", "bbits") * 9 <= F.col("n") + F.col("bn")
-    rest = apart.join(other, (apart["key"] == other["key"]) & (F.col("sid") > F.col("b")) & (F.col("c") != F.col("bc")) & _may_be_similar("n", "pos", "bn", "bpos") & close)
-    rest = materialize(rest.select(F.col("sid").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti"))
+    rest = materialize(listed_pairs(apart).distinct().join(first, ["a", "b"], "left_anti"))
     return links.unionByName(confirmed(rest, rows, docs, shingle))
 
 

@@ -81,3 +81,26 @@ def test_simhash_links_near_texts_and_each_link_is_checked(spark):
     one = rows.withColumn("fp", F.lit(0).cast("long"))  # fingerprints that agree by chance link nothing
     assert jaccard.confirmed(jaccard.simhash_pairs(one), one, docs).count() == 1
     assert {frozenset(r) for r in jaccard.similar_links(one, docs).select("a", "b").collect()} == {frozenset((sid[1], sid[2]))}
+
+
+def test_few_pairs_of_a_group_of_edited_copies_are_listed(spark, monkeypatch):
+    """Copies that the least set of their shingles doesn't join are joined by others before their pairs would be listed."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    seen, real = [], jaccard.confirmed
+
+    def counting(pairs, *rest):
+        seen.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "confirmed", counting)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(docs_of(spark, rows)).collect()}
+    text = dict(rows)
+    assert got == brute_components(sorted(text), lambda a, b: similar(text[a], text[b]))
+    assert seen[-1] < 160, seen
