@@ -72,6 +72,7 @@ class CoverTree:
                 self.children[node].append(len(self.first) - 1)
                 todo.append((len(self.first) - 1, r))
                 i += len(part)
+        self.first, self.last = np.array(self.first), np.array(self.last)
 
     def _distance(self, members: np.ndarray, centre: int) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[members] @ self.x[centre])))
@@ -82,6 +83,12 @@ class CoverTree:
     def points(self, node: int) -> np.ndarray:
         return self.order[self.first[node] : self.last[node]]
 
+    def points_of(self, nodes: np.ndarray) -> np.ndarray:
+        """The points of several nodes, one after the other."""
+        first = self.first[nodes]
+        size = self.last[nodes] - first
+        return self.order[np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)]
+
 
 class Links:
     """Weighted link counts, and groups of linked points."""
@@ -128,7 +135,8 @@ class Links:
 def dual_traversal(a: CoverTree, b: CoverTree | None, links: Links, cosine: float) -> None:
     """Add to ``links`` every link between points of a and b, or within a if b is None. Points of b count from len(a.x) on.
 
-    The stack holds pairs of nodes that may hold links; the children of such a pair are compared as a matrix, some rows at a time.
+    The stack holds nodes of a, each with the nodes of b that may hold links with it (itself alone, if it is one of them); the children of both are compared as a matrix, some rows at a time.
+    A node may be near thousands of nodes of one point, so these are never taken pair by pair.
     """
     same, shift = b is None, 0 if b is None else len(a.x)
     b = a if b is None else b
@@ -136,20 +144,21 @@ def dual_traversal(a: CoverTree, b: CoverTree | None, links: Links, cosine: floa
         return
     reach = np.sqrt(2 - 2 * cosine)
     ra, rb, ca, cb = (np.array(v) for v in (a.radius, b.radius, a.centre, b.centre))
-    na, nb = (np.array(t.last) - np.array(t.first) for t in (a, b))
-    stack = [(0, 0)]
+    na, nb = (t.last - t.first for t in (a, b))
+    leaf_a, leaf_b = (np.array([not c for c in t.children]) for t in (a, b))
+    stack = [(0, np.array([0]))]
     while stack:
-        m, n = stack.pop()
-        own = same and m == n
-        if not a.children[m] and not b.children[n]:
-            p, q = a.points(m), b.points(n)
+        m, ns = stack.pop()
+        own = same and ns[0] == m
+        if leaf_a[m] and leaf_b[ns].all():
+            p, q = a.points(m), b.points_of(ns)
             found = a.x[p] @ b.x[q].T >= cosine
             if own:
                 found = np.triu(found, 1)
             links.some(p, q + shift, found)
             continue
         left = np.array(a.children[m] or [m])
-        right = np.array(b.children[n] or [n])
+        right = np.concatenate([b.children[n] or [n] for n in ns])
         for at in range(0, len(left), _BATCH):
             rows = left[at : at + _BATCH]
             cos = a.x[ca[rows]] @ b.x[cb[right]].T
@@ -172,7 +181,13 @@ def dual_traversal(a: CoverTree, b: CoverTree | None, links: Links, cosine: floa
                 else:
                     links.all_between(a.points(rows[i]), b.points(right[j]) + shift)
             opened = keep & ~single & ~whole & ~(diagonal & (na[rows] == 1)[:, None])
-            stack += [(int(rows[i]), int(right[j])) for i, j in zip(*np.nonzero(opened), strict=True)]
+            leaves = opened & ~diagonal & leaf_a[rows][:, None] & leaf_b[right]
+            for i in np.flatnonzero(leaves.any(1)):
+                p, q = a.points(rows[i]), b.points_of(right[leaves[i]])
+                links.some(p, q + shift, a.x[p] @ b.x[q].T >= cosine)
+            stack += [(int(rows[i]), right[j : j + 1]) for i, j in zip(*np.nonzero(opened & diagonal), strict=True)]
+            opened &= ~leaves & ~diagonal
+            stack += [(int(rows[i]), right[opened[i]]) for i in np.flatnonzero(opened.any(1))]
 
 
 def _units(vectors: pa.Array) -> list[np.ndarray | None]:

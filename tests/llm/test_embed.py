@@ -92,3 +92,17 @@ def test_many_blocks_of_one_label(spark):
         least = new
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed.near_groups(df, block=4).collect()}
     assert got == {i: (int(count[i]), int(least[i])) for i in range(1500)}
+
+
+def test_a_near_group_among_many_lone_points_takes_few_steps(monkeypatch):
+    """Nodes of one point are compared with an inner node's children together, not one by one."""
+    rng = np.random.default_rng(4)
+    group = rng.normal(size=12) + 0.7 * rng.normal(size=(300, 12))
+    x = np.vstack([group, rng.normal(size=(900, 12))])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    steps, real = [], embed.Links.some
+    monkeypatch.setattr(embed.Links, "some", lambda *a: (steps.append(1), real(*a)))
+    links, w = embed.Links(np.ones(len(x), np.int64)), np.ones(len(x), np.int64)
+    embed.dual_traversal(embed.CoverTree(x), None, links, 0.93)
+    assert links.count.tolist() == brute(x, w, 0.93)[0].tolist()
+    assert len(steps) < 3 * len(x)
