@@ -34,6 +34,8 @@ from .shared import kept, materialize, table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: How many words are sent to executors at most, of how many bytes each, and in how many files; parts between spaces that a worker remembers.
 HOT, HOT_BYTES, FILES, MEMO = 1 << 20, 32, 8, 1 << 19
+#: Characters of ids that are decoded together.
+TOGETHER = 1 << 16
 #: Characters of a plan's text that the driver keeps, at most: plans here hold the rank map.
 PLAN_TEXT = 100_000
 #: Words of more bytes merge all places of the best pair in one step.
@@ -301,12 +303,23 @@ class Decoder:
         self.bytes, self.size = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens])
         self.start = np.cumsum(self.size) - self.size
 
-    def decode(self, ids: str) -> tuple[int, bytes]:
-        """How many ids there are, and their bytes."""
-        of = np.fromstring(ids, np.int32, sep=",")
-        size = self.size[of]
-        end = np.cumsum(size)
-        return len(of), self.bytes[np.arange(end[-1]) + np.repeat(self.start[of] - end + size, size)].tobytes()
+    def decode(self, runs: list[str]) -> Iterator[tuple[int, bytes]]:
+        """How many ids each run has, and their bytes; short runs are gathered together."""
+        at = 0
+        while at < len(runs):
+            some, room = [runs[at]], TOGETHER - len(runs[at])
+            while at + len(some) < len(runs) and (room := room - len(runs[at + len(some)])) >= 0:
+                some.append(runs[at + len(some)])
+            at += len(some)
+            of = np.fromstring(",".join(some), np.int32, sep=",")
+            size = self.size[of]
+            end = np.cumsum(size)
+            whole = self.bytes[np.arange(end[-1]) + np.repeat(self.start[of] - end + size, size)].tobytes()
+            n = [r.count(",") + 1 for r in some]
+            begin = 0
+            for k, last in zip(n, end[np.cumsum(n) - 1].tolist(), strict=True):
+                yield k, whole[begin:last]
+                begin = last
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, hot: int = HOT) -> DataFrame:
@@ -366,7 +379,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public
                 def close(run: list[str]) -> None:
                     if run:
                         done = ",".join(run)
-                        for column, value in ((ids, done), (cold, None), *zip((n, decoded), decoder.decode(done), strict=True)):
+                        for column, value in ((ids, done), (cold, None), (n, None), (decoded, None)):
                             column.append(value)
 
                 for k, (ps, cs) in enumerate(zip(parts, codes, strict=True)):
@@ -377,6 +390,9 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public
                             run, start = put(run + cs[start:i], place[ps[i]]), i + 1
                     close(run + cs[start:])
                     ends.append(len(ids))
+                known_runs = [i for i, done in enumerate(ids) if done is not None]
+                for i, (k, whole_run) in zip(known_runs, decoder.decode([ids[i] for i in known_runs]), strict=True):
+                    n[i], decoded[i] = k, whole_run
                 runs = pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.binary()), pa.array(cold, pa.string())], ["n", "ids", "bytes", "word"])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)], ["doc_id", "runs"])
 

@@ -89,3 +89,15 @@ def test_known_words_need_no_rename_of_folders(spark, tmp_path, monkeypatch):
     os.remove(f"{folder}/whole")
     os.remove(f"{folder}/ids.npy")
     assert bpe.KnownWords(bpe._mapped([name])).codes(["a", "c", "b"]) == ["1,1", None, "2"]
+
+
+@pytest.mark.parametrize("together", [1, 40, bpe.TOGETHER])
+def test_short_runs_are_decoded_together(monkeypatch, together):
+    rng, tokens, calls, real = random.Random(6), [b"a", b"bc", b"\xc3", b"  d"], [], bpe.np.fromstring
+    runs = [[rng.randrange(4) for _ in range(rng.choice([1, 2, 30]))] for _ in range(200)]
+    monkeypatch.setattr(bpe, "TOGETHER", together)
+    monkeypatch.setattr(bpe.np, "fromstring", lambda *a, **k: (calls.append(1), real(*a, **k))[1])
+    got = list(bpe.Decoder(tokens).decode([",".join(map(str, r)) for r in runs]))
+    assert got == [(len(r), b"".join(tokens[i] for i in r)) for r in runs]
+    assert len(calls) == 1 if together > 1000 else len(calls) > 50
+    assert list(bpe.Decoder(tokens).decode([])) == []
