@@ -72,3 +72,10 @@ def test_empty_columns_and_single_values(spark):
     freq = frequencies({"a": spark.createDataFrame([], "x int"), "b": spark.createDataFrame([(1,)], "x int")})
     p = small(profile.profile(freq))
     assert inclusion.strict_inclusions(freq, p, keys.unary_ucc(p)).collect() == []
+
+
+def test_one_reading_of_the_values_serves_both_sides(spark):
+    freq = frequencies(_tables(spark)).localCheckpoint()
+    p = small(profile.profile(freq))
+    pairs = inclusion.strict_pairs(freq, p, small(keys.unary_ucc(p)))
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD[table_name") == 1
