@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import kept, materialize, table
+from .shared import kept, map_texts, materialize, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: How many words are sent to executors at most, of how many bytes each, and in how many files; parts between spaces that a worker remembers.
@@ -397,7 +397,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str = public
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)], ["doc_id", "runs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    runs = docs.mapInArrow(run, f"doc_id {kind}, runs array<struct<n long, ids string, bytes binary, word string>>")
+    runs = map_texts(docs, run, f"doc_id {kind}, runs array<struct<n long, ids string, bytes binary, word string>>", ("bpe words", "bpe tokens", "bpe parts"))
 
     def fold(r: Column) -> Column:
         inline = _let(encode_words(r["word"], path), lambda ids: F.struct(F.size(ids).cast("long").alias("n"), _as_text(ids).alias("ids"), decode_ids(ids, path).alias("bytes")))

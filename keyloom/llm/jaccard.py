@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize
+from .shared import connected_components, map_texts, materialize
 from .simhash import _LOWER, near_links
 
 #: Words of a shingle. Linked texts have 4/5 or more of their shingles in common.
@@ -67,7 +67,7 @@ def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), shingle).view(np.int64))], ["h"])
 
-    counts = materialize(sample.select(F.col("text").cast("string")).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3"))
+    counts = materialize(map_texts(sample.select(F.col("text").cast("string")), run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3"))
     sizes = counts.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("m")).collect()
     least, room = 1 << 62, LISTED
     for r in sorted(sizes, key=lambda r: -r["n"]):
@@ -126,7 +126,8 @@ def prefixes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             cols = [b.column(0), b.column(1), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32)), lists(bits), lists(keys), pa.array(np.concatenate([np.zeros(0, np.int64), *fps])), lists(mins)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rk", "sid", "n", "bits", "keys", "fp", "mins"])
 
-    return docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, rk long, sid long, n int, bits array<long>, keys array<long>, fp long, mins array<long>")
+    texts = docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.col("text").cast("string"))
+    return map_texts(texts, run, "doc_id long, rk long, sid long, n int, bits array<long>, keys array<long>, fp long, mins array<long>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -138,7 +139,7 @@ def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 s = pa.array(shingles(t.as_py(), shingle).view(np.int64))
                 yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 1], pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), s)], ["sid", "set"])
 
-    return texts.select("sid", "text").mapInArrow(run, "sid long, set array<long>")
+    return map_texts(texts.select("sid", "text"), run, "sid long, set array<long>")
 
 
 def _may_be_similar(n: str, pos: str, other_n: str, other_pos: str) -> Column:

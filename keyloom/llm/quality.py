@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import map_texts, materialize, table
 
 #: At most about so many labelled documents serve as target and to find the cut, picked by a hash of doc_id.
 LABELLED = 20_000
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, raw[used], target[used])], ["bucket", "raw", "target"])
 
-    rows = texts.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    rows = map_texts(texts, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = (np.zeros(_STARTS[-1]) for _ in range(2))
     at = rows["bucket"].to_numpy()
     raw[at], target[at] = rows["raw"].to_numpy(), rows["target"].to_numpy()
@@ -144,7 +144,7 @@ def score(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(weight), pa.array(n)], [*b.schema.names, "log_weight", "n_words"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "log_weight double, n_words long"])
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def _mean() -> Column:

@@ -8,12 +8,16 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of the batches in which texts go to Python workers, but for what the last text of a batch has beyond that.
+BATCH = 2 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,6 +53,32 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return store[kind][1]
 
 
+def release(keeps: tuple[str, ...] = ()) -> None:
+    """Drops what this process has kept, but for the kinds in ``keeps``."""
+    store = vars(sys.modules.get("_keyloom_kept", types.ModuleType("")))
+    others = [k for k in store if not k.startswith("__") and k not in keeps]
+    for k in others:
+        del store[k]
+    if others:
+        pa.default_memory_pool().release_unused()
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: tuple[str, ...] = ()) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in bounded memory: batches have about BATCH bytes, however long texts are, and a worker first drops what it has kept for other operators.
+
+    By default a batch has up to 10,000 rows, and an executor holds each several times: in Arrow's buffers of both directions and in Python. The session's setting is lowered, as plans read it when they run.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) != str(BATCH):
+        conf.set(name, str(BATCH))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
+        yield from run(batches)
+
+    return df.mapInArrow(own, schema)
+
+
 def to_hex64(c: Column) -> Column:
     """A signed long as 16 lower-case hex digits of its bits."""
     return F.lower(F.lpad(F.hex(c), 16, "0"))
